@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 #: Words are runs of anything but these six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,7 +49,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches, unless the session sets its own: texts may be long."""
+    """Ships the code to the executors and keeps Arrow batches small, unless the session sets its own: texts may be long."""
+    shipped(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
