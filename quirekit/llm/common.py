@@ -73,3 +73,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def buckets(df: DataFrame, bytes_each: int = 3 << 20) -> int:
+    """Hash buckets for a stage over ``df``: in proportion to its stored size, and enough for every shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    return max(least, min(1 << 22, -(-size // bytes_each)))
