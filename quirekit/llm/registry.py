@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_matroska, op2_secrets, op4_decontamination, op5_mixing, op7_reputation, op8_substrings, op9_language, op10_pii
+from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op7_reputation, op8_substrings, op9_language, op10_pii
 
 QUERIES = {
     "op1_matroska": op1_matroska.op1_matroska,
     "op2_secrets": op2_secrets.op2_secrets,
+    "op3_jaccard": op3_jaccard.op3_jaccard,
     "op4_decontamination": op4_decontamination.op4_decontamination,
     "op5_mixing": op5_mixing.op5_mixing,
     "op7_reputation": op7_reputation.op7_reputation,
