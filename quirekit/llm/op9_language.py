@@ -73,7 +73,7 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[li
 
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, bin int, n long")
-    counts = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows a language
+    counts = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most BINS rows a language
     names = sorted(counts["lang"].unique())
     table_ = np.full((BINS, max(1, len(names))), 0.5)
     for i, name in enumerate(names):

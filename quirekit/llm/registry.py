@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op7_reputation, op8_substrings, op9_language, op10_pii
+from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op6_katz, op7_reputation, op8_substrings, op9_language, op10_pii
 
 QUERIES = {
     "op1_matroska": op1_matroska.op1_matroska,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard.op3_jaccard,
     "op4_decontamination": op4_decontamination.op4_decontamination,
     "op5_mixing": op5_mixing.op5_mixing,
+    "op6_katz": op6_katz.op6_katz,
     "op7_reputation": op7_reputation.op7_reputation,
     "op8_substrings": op8_substrings.op8_substrings,
     "op9_language": op9_language.op9_language,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_katz": op6_katz.op6_katz,
     "op7_reputation": op7_reputation.ORACLE,
 }
