@@ -1,4 +1,6 @@
 """Registered queries and their checking SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import texts
+
+QUERIES: dict = dict(texts.QUERIES)
+ORACLES: dict = dict(texts.ORACLES)
