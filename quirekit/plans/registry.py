@@ -1,6 +1,6 @@
 """Registered queries and their checking SQL."""
 
-from . import texts
+from . import tables, texts
 
-QUERIES: dict = dict(texts.QUERIES)
-ORACLES: dict = dict(texts.ORACLES)
+QUERIES: dict = texts.QUERIES | tables.QUERIES
+ORACLES: dict = texts.ORACLES | tables.ORACLES
