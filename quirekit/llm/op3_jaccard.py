@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buckets, dropped, table, tuned, written
@@ -29,26 +29,48 @@ from .shingles import shingle_sets, signatures
 from .words import sliced
 
 SHINGLE = 5
-#: Cells of the sketch (4 MB of levels), bits of a bitmap, fragments of the order, entities of an n-gram that meet in one task.
-CELLS, BITS, FRAGMENTS, MEET = 22, 1024, 8, 2048
+#: Logarithm of the cells of the sketch (4 MB of levels), least bits of a bitmap, fragments of the order, entities of an n-gram that meet in one task,
+#: logarithm of the bits of a screen (8 MB).
+CELLS, BITS, FRAGMENTS, MEET, SCREEN = 22, 1024, 8, 2048, 26
+#: Most bits of a bitmap.
+MOST_BITS = 1 << 20
 _U = np.uint64
 _I = np.int64
 
 
 def _bitmaps(sets: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Parity of the number of n-grams in each of BITS cells."""
-    rows = len(offs) - 1
-    cell = ((sets >> _U(8)) % _U(BITS)).astype(_I) + np.repeat(np.arange(rows) * BITS, np.diff(offs))
-    odd = (np.bincount(cell, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS)
-    return [x.tobytes() for x in np.packbits(odd, axis=1)]
+    """Parity of the number of n-grams in each cell; as many cells as n-grams, BITS at least."""
+    out = []
+    for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+        cells = min(max(BITS, 1 << (b - a).bit_length()), MOST_BITS)
+        odd = np.bincount(((sets[a:b] >> _U(8)) & _U(cells - 1)).astype(_I), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    """A bitmap with as many cells as ``words`` 64-bit words have: cells that fall together add up."""
+    out = np.frombuffer(bits, _U)
+    while len(out) > words:
+        half = len(out) // 2
+        out = out[:half] ^ out[half:]
+    return out
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two bitmaps; at most the number of n-grams that only one set has."""
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
 
 
 def _slim(shingle: int):
-    names = ["doc_id", "rid", "n", "sig", "bits", "slice", "cells"]
+    names = ["doc_id", "uid", "n", "sig", "bits", "slice", "cells"]
 
     def run(batches):
         count = np.zeros(1 << CELLS, np.int64)
+        kind = pa.int64()
         for batch in batches:
+            kind = batch.schema.field(0).type
             for part in sliced(batch, 2 << 20):
                 sets, offs = shingle_sets(part, shingle)
                 sig = signatures(sets, offs)
@@ -57,15 +79,11 @@ def _slim(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(offs)), pa.array(sig.view(_I)), pa.array(_bitmaps(sets, offs), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
                 )
-        used = np.flatnonzero(count)
-        if len(used):
-            cut = np.searchsorted(used, np.arange(17) << (CELLS - 4))
-            for k in range(16):
-                own = used[cut[k] : cut[k + 1]]
-                body = pa.compress(own.astype(np.uint32).tobytes() + count[own].astype(np.uint32).tobytes(), "lz4_raw", asbytes=True) if len(own) else None
-                if body:
-                    head = len(own).to_bytes(4, "little")
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([head + body], pa.binary())], names)
+        if count.any():
+            for k, own in enumerate(np.split(count.astype(np.uint32), 16)):
+                planes = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T)  # high bytes are all but empty
+                body = pa.compress(planes.tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([body], pa.binary())], names)
 
     return run
 
@@ -73,9 +91,8 @@ def _slim(shingle: int):
 def _sum_cells(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1 << (CELLS - 4), np.int64)
     for body in rows["cells"]:
-        n = int.from_bytes(body[:4], "little")
-        flat = np.frombuffer(pa.decompress(body[4:], n * 8, "lz4_raw", asbytes=True), np.uint32)
-        total[flat[:n] & np.uint32((1 << (CELLS - 4)) - 1)] += flat[n:]
+        planes = np.frombuffer(pa.decompress(body, len(total) * 4, "zstd", asbytes=True), np.uint8)
+        total += np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
     return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "cells": [total.tobytes()]})
 
 
@@ -95,17 +112,17 @@ def _keys(sets: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def _prefixes(shared, n_buckets: int, shingle: int):
     def flush(held):
-        keys, sigs, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, sigs = (np.concatenate(x) for x in zip(*held, strict=True))
         rare = keys >> _U(58) == 0
         # Frequent n-grams go as they are, spread by entity; rare ones meet in buckets, where most prove to be alone.
         bucket = np.where(rare, (keys % _U(n_buckets)).astype(_I), -1 - (sigs % _U(n_buckets)).astype(_I))
         order = np.lexsort((keys, bucket))
-        keys, sigs, sizes, bucket = keys[order], sigs[order], sizes[order], bucket[order]
+        keys, sigs, bucket = keys[order], sigs[order], bucket[order]
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        out = [(int(bucket[a]), keys[a:b].tobytes(), sigs[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(keys)], strict=True)]
+        out = [(int(bucket[a]), keys[a:b].tobytes(), sigs[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(keys)], strict=True)]
         for i in range(0, len(out), 64):
             cols = list(zip(*out[i : i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "sigs", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "sigs"])
 
     def run(batches):
         levels = shared.value
@@ -129,7 +146,7 @@ def _prefixes(shared, n_buckets: int, shingle: int):
                 own = np.array(own)
                 m = need[own]
                 flat = np.repeat(offs[own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                held.append((keys[flat], np.repeat(sig[own], m), np.repeat(n[own], m).astype(np.uint32)))
+                held.append((keys[flat], np.repeat(sig[own], m)))
                 size += len(flat)
                 if size >= 1 << 20:
                     yield from flush(held)
@@ -144,18 +161,17 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Entries of a bucket whose n-gram two entities have."""
     keys = np.concatenate([np.frombuffer(x, _U) for x in rows["keys"]])
     sigs = np.concatenate([np.frombuffer(x, _U) for x in rows["sigs"]])
-    sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]])
     if rows["bucket"].iloc[0] >= 0:
         order = np.lexsort((sigs, keys))
-        keys, sigs, sizes = keys[order], sigs[order], sizes[order]
+        keys, sigs = keys[order], sigs[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1])
-        keys, sigs, sizes = keys[new], sigs[new], sizes[new]
+        keys, sigs = keys[new], sigs[new]
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         live = same[:-1] | same[1:]
-        keys, sigs, sizes = keys[live], sigs[live], sizes[live]
-    return pd.DataFrame({"key": keys.view(_I), "sig": sigs.view(_I), "n": sizes.astype(np.int32)})
+        keys, sigs = keys[live], sigs[live]
+    return pd.DataFrame({"key": keys.view(_I), "sig": sigs.view(_I)})
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +179,8 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["key", "low", "high"], kind="stable")
     key, low, high = (rows[c].to_numpy() for c in ("key", "low", "high"))
     sig, n, label, chunk = (rows[c].to_numpy() for c in ("sig", "n", "label", "chunk"))
-    bits = np.frombuffer(b"".join(rows["bits"]), _U).reshape(len(rows), -1)
+    whole = rows["bits"].tolist()
+    bits = np.stack([_folded(x, BITS // 64) for x in whole])
     n = n.astype(_I)
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
     end = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
@@ -178,8 +195,10 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
         fine = (label[a] != label[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & ((low[a] == high[a]) | (chunk[a] != chunk[b]))
         a, b = a[fine], b[fine]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(_I)
-        fine = 9 * apart <= n[a] + n[b]
-        if fine.any():
+        fine = np.flatnonzero(9 * apart <= n[a] + n[b])
+        # Bitmaps of large sets are longer than what was compared so far.
+        fine = [k for k in fine.tolist() if len(whole[a[k]]) * 8 == BITS or 9 * _distance(whole[a[k]], whole[b[k]]) <= n[a[k]] + n[b[k]]]
+        if fine:
             x, y = sig[a[fine]], sig[b[fine]]
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
         i = j
@@ -188,15 +207,33 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _apart(x: pd.Series, y: pd.Series) -> pd.Series:
-    if not len(x):
-        return pd.Series([], dtype="int32")
-    a, b = (np.frombuffer(b"".join(s), _U).reshape(len(s), -1) for s in (x, y))
-    return pd.Series(np.bitwise_count(a ^ b).sum(1).astype(np.int32))
+    return pd.Series([_distance(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+
+
+def _screen(uids: DataFrame) -> np.ndarray:
+    """One bit for each of 2**SCREEN slots that some uid falls in: of fixed size, it only saves reading the other texts."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << (SCREEN - 6), np.uint8)
+        own[rows["slot"].to_numpy() & ((1 << (SCREEN - 6)) - 1)] = 1
+        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "bits": [np.packbits(own).tobytes()]})
+
+    slots = uids.select(F.pmod("uid", F.lit(1 << SCREEN)).alias("slot")).withColumn("slice", F.shiftright("slot", SCREEN - 6))
+    out = np.zeros((64, 1 << (SCREEN - 9)), np.uint8)
+    for row in slots.distinct().groupBy("slice").applyInPandas(pack, "slice long, bits binary").collect():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
 
 
-def _fragments(shingle: int):
+def _fragments(shared, shingle: int):
     def run(batches):
-        for batch in batches:
+        screen = shared.value
+        for whole in batches:
+            slot = np.mod(whole.column(0).to_numpy(zero_copy_only=False), 1 << SCREEN)
+            keep = (screen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+            if not keep.any():
+                continue
+            batch = whole.filter(pa.array(keep.astype(bool)))
             for part in sliced(batch, 2 << 20):
                 sets, offs = shingle_sets(part, shingle)
                 sig = signatures(sets, offs).view(_I)
@@ -209,12 +246,21 @@ def _fragments(shingle: int):
     return run
 
 
-def _verified(pairs: DataFrame, entities: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link: partial overlaps of each fragment, summed."""
-    of = lambda x: entities.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
+def _near(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b) of the pairs whose sizes and bitmaps allow a link."""
     apart = F.pandas_udf(_apart, "int")
-    near = sized.filter((5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * apart("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+    of = lambda x: entities.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    return sized.filter(9 * apart("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
+
+
+def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """(a, b) of the pairs that link: overlaps counted in each fragment, summed. Only sets of these pairs are made, texts never shuffle."""
+    needed = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
+    needed = needed.join(entities.select("sig", F.col("least.uid").alias("uid")), "sig").select("uid")
+    screen = keyed.sparkSession.sparkContext.broadcast(_screen(needed))
+    found = keyed.select("uid", "text").mapInArrow(_fragments(screen, shingle), "sig long, fragment int, grams array<long>")
+    fragments = written(found.groupBy("sig", "fragment").agg(F.first("grams").alias("grams")), "fragments")
     first = fragments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     second = fragments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("grams_b"))
     parts = near.join(first, "a").join(second, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
@@ -226,57 +272,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     tuned(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     n_buckets = buckets(docs)
-    both = written(keyed.mapInArrow(_slim(shingle), f"doc_id {kind}, rid long, n long, sig long, bits binary, slice int, cells binary"), "sets")
+    both = written(keyed.mapInArrow(_slim(shingle), f"doc_id {kind}, uid long, n long, sig long, bits binary, slice int, cells binary"), "sets")
     slim = both.filter(F.col("slice").isNull())
     # The sketch has 2**CELLS counts, whatever the size of the corpus: 16 slices of 2 MB, summed by slice.
     slices = both.filter(F.col("slice").isNotNull()).select("slice", "cells").groupBy("slice").applyInPandas(_sum_cells, "slice int, cells binary").collect()
     levels = spark.sparkContext.broadcast(_levels(slices))
-    entities = written(slim.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
-    blobs = keyed.mapInArrow(_prefixes(levels, n_buckets, shingle), "bucket long, keys binary, sigs binary, sizes binary")
-    members = written(blobs.groupBy("bucket").applyInPandas(_shared, "key long, sig long, n int"), "members")
-
-    # Sets, cut into fragments, of the entities that share any of their first n-grams.
-    wanted = members.select("sig").distinct().join(entities.select("sig", "least.doc_id", "least.rid"), "sig").select("doc_id", "rid")
-    bodies = keyed.join(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("rid", "_rid"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), "left_semi")
-    fragments = bodies.select("text").mapInArrow(_fragments(shingle), "sig long, fragment int, grams array<long>")
-    fragments = written(fragments.groupBy("sig", "fragment").agg(F.first("grams").alias("grams")), "fragments")
-
+    entities = written(slim.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
+    blobs = keyed.select("uid", "text").mapInArrow(_prefixes(levels, n_buckets, shingle), "bucket long, keys binary, sigs binary")
+    members = written(blobs.groupBy("bucket").applyInPandas(_shared, "key long, sig long"), "members")
     # Round one: each member with one member of its own and of the next size class of the n-gram.
-    classed = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))))
+    classed = members.join(entities.select("sig", "n"), "sig").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))))
     hubs = classed.groupBy("key", "class").agg(F.min("sig").alias("hub"))
     steps = classed.select("key", "sig", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
     met = steps.join(hubs, ["key", "class"]).filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-    links = written(_verified(met, entities, fragments), "links")
+    links = written(_verified(written(_near(met, entities), "near"), entities, keyed, shingle), "links")
     labels = written(components(links), "labels-one")
 
     # Round two: members still in different components.
-    label = members.join(labels, F.col("sig") == F.col("v"), "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
+    label = members.join(labels, F.col("sig") == F.col("v"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     mixed = label.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("chunks"))
     left = label.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
-    left = left.join(entities.select("sig", "bits"), "sig")
+    left = left.join(entities.select("sig", "n", "bits"), "sig")
     block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("low"), F.greatest("chunk", j).alias("high")))
     left = left.withColumn("block", F.explode(block)).select("key", "sig", "n", "label", "chunk", "bits", "block.low", "block.high")
     parted = left.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets * 4)))
     rest = parted.groupBy("part").applyInPandas(_meet, "a long, b long").distinct()
-    more = written(_verified(rest, entities, fragments).unionByName(links), "links-all")
+    sizes = lambda x: entities.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"))
+    near = written(rest.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "n_a", "n_b"), "near")
+    more = written(_verified(near, entities, keyed, shingle).unionByName(links), "links-all")
     final = components(more)
 
     names = entities.join(final, F.col("sig") == F.col("v"), "left").select("sig", F.coalesce("label", "sig").alias("label"), F.col("least.doc_id").alias("least"))
     least = names.groupBy("label").agg(F.min("least").alias("component"))
     named = written(names.select("sig", "label").join(least, "label").select("sig", "component"), "components")
-    for done in (members, fragments, links):
+    for done in (members, links, entities):
         dropped(done)
     out = slim.select("doc_id", "n", "sig").join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component, that of the least doc_id; its copies under the same id, and rows without id, stay."""
+    """``docs`` with one row of each component: one of the rows with its least doc_id. Rows without doc_id stay.
+
+    The row is picked by its text's hash; rows of equal id and text count as one."""
     found = near_duplicates(docs, shingle).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    kept = found.filter(F.col("_id").isNull() | (F.col("_id") == F.col("component_id"))).select("_id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = found.filter(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("doc_id")).distinct()
+    rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    order = [F.xxhash64("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]]
+    one = rows.withColumn("__quirekit_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("__quirekit_rank = 1").drop("__quirekit_rank")
+    return one.unionByName(docs.filter("doc_id is null"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
