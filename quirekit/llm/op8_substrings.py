@@ -180,9 +180,8 @@ def repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
 
 
 def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
-    done = rows.loc[rows["bucket"] < 0, ["id", "rid", "low", "high"]]
-    blobs = rows[rows["bucket"] >= 0]
-    return pd.concat([done, _extend(blobs)]) if len(blobs) else done
+    # A part holds blobs or decided rows, never both: null columns of the ones would turn the others' integers into floats.
+    return _extend(rows) if rows["bucket"].iloc[0] >= 0 else rows[["id", "rid", "low", "high"]]
 
 
 def repeat_ranges(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
