@@ -25,8 +25,8 @@ FAIR = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, logp = op9_language.trained(docs)
     columns = docs.columns
-    told = op9_language.identified(docs, names, logp, columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= FAIR))
-    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns])
+    told = op9_language.identified(docs, names, logp, columns, "__told_").filter((F.col("__told_lang_pred") != "und") & (F.col("__told_score") >= FAIR))
+    return told.select(*[F.col("__told_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

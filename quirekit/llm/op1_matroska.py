@@ -141,6 +141,8 @@ def elements(data: bytes, at: int, end: int, inside: int = 0):
 
 
 def _unsigned(data: bytes, low: int, high: int) -> int:
+    if high - low > 8:
+        raise MediaError(f"integer of {high - low} bytes at {low}")
     return int.from_bytes(data[low:high], "big")
 
 
@@ -207,6 +209,8 @@ def parse(data: bytes) -> dict:
             raise MediaError("short block")
         moment, flags = struct.unpack_from(">hB", data, at)
         code = flags >> 1 & 3
+        if not -(1 << 63) <= (base + moment) * found["scale"] < 1 << 63:
+            raise MediaError("timestamp out of range")
         for a, b in _frames(data, at + 3, high, code):
             packets.append((track, (base + moment) * found["scale"], a, b - a, bool(flags & 0x80) if simple else key, code))
 
@@ -266,7 +270,7 @@ def padded(text: bytes) -> bytes:
 
 
 _MEDIA = "doc_id {key}, media binary"
-_PACKETS = "doc_id {key}, packet long, track int, timestamp_ns long, byte_start long, byte_length long, keyframe boolean, lacing int, error string"
+_PACKETS = "doc_id {key}, packet long, track long, timestamp_ns long, byte_start long, byte_length long, keyframe boolean, lacing int, error string"
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -296,7 +300,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                     rows = [(None, None, None, None, None, None, None, str(e))]
                 for low in range(0, len(rows), 50_000):
                     piece = rows[low : low + 50_000]
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
                     columns = [pa.array(c, k) for c, k in zip(zip(*piece, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(piece), batch.schema.field(0).type), *columns], ["doc_id", "packet", "track", "timestamp_ns", "byte_start", "byte_length", "keyframe", "lacing", "error"])
 

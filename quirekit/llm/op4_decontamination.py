@@ -229,8 +229,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that leak an item. A null doc_id is never dropped."""
-    leaks = matches(docs, benchmark, **options).filter("leak").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+    leaks = matches(docs, benchmark, **options).filter("leak").select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,8 +130,9 @@ def _infer(raw: np.ndarray, offs: np.ndarray, logp: np.ndarray) -> tuple[np.ndar
     return share, chosen, n
 
 
-def identified(docs: DataFrame, names: list[str], logp: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred, score and languages (``name:share`` of the set, largest first)."""
+def identified(docs: DataFrame, names: list[str], logp: np.ndarray, keep: list[str], prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with lang_pred, score and languages (``name:share`` of the set, largest first), their names after ``prefix``."""
+    added = [f"{prefix}{n}" for n in ("lang_pred", "score", "languages")]
     spark = docs.sparkSession
     tuned(spark)
     model = spark.sparkContext.broadcast(logp)
@@ -150,10 +151,10 @@ def identified(docs: DataFrame, names: list[str], logp: np.ndarray, keep: list[s
                 score = np.where(fine, share[np.arange(len(top)), top], 0.0).clip(0, 1)
                 sets = [",".join(f"{names[j]}:{share[i, j]:.3f}" for j in np.argsort(-share[i], kind="stable") if chosen[i, j]) if fine[i] else "" for i in range(len(top))]
                 out = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*keep, *added])
 
-    picked = docs.select(*dict.fromkeys([*keep, "text"]))
-    return picked.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double", "languages string"]))
+    picked = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    return picked.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {k}" for n, k in zip(added, ("string", "double", "string"), strict=True))]))
 
 
 def held_out(key: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
