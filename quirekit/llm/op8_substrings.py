@@ -230,3 +230,14 @@ def deduplicated(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text:
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(l[p:p + 49], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS p FROM w WHERE len(l) >= 50)),
+hit AS (SELECT DISTINCT doc_id, p FROM win JOIN (SELECT h, min(doc_id) AS d FROM win GROUP BY h) USING (h) WHERE d < doc_id),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM hit),
+word AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, count(cov.i) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE cov.i IS NULL) AS k FROM word LEFT JOIN cov USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
