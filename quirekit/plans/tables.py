@@ -122,12 +122,12 @@ def ordered_artifact_lookup(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT p_partkey, 'page' || (p_partkey % 120) || '-' || p_size || '.png' AS name FROM part) SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(name, 'page([0-9]+)', 1)::INT, regexp_extract(name, '-([0-9]+)', 1)::INT, p_partkey) AS place FROM n"
+    "WITH n AS (SELECT p_partkey, 'page' || (p_partkey % 120) || '-' || p_size || '.png' AS name, p_brand FROM part) SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY regexp_extract(name, 'page([0-9]+)', 1)::INT, regexp_extract(name, '-([0-9]+)', 1)::INT, p_partkey) AS place FROM n"
 )
 def natural_sort(spark, sf_dir):
     name = F.concat(F.lit("page"), (F.col("p_partkey") % 120).cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit(".png"))
-    ranked = table(spark, sf_dir, "part").select("p_partkey", fx.natural_key(name).alias("key"))
-    return ranked.select("p_partkey", F.row_number().over(Window.orderBy("key", "p_partkey")).cast("long").alias("place"))
+    ranked = table(spark, sf_dir, "part").select("p_brand", "p_partkey", fx.natural_key(name).alias("key"))  # a brand stands for an archive
+    return ranked.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("key", "p_partkey")).cast("long").alias("place"))
 
 
 @query(
@@ -248,13 +248,14 @@ def source_summary(spark, sf_dir):
 
 @query(
     """WITH u AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), d AS (SELECT conv_id, count(*) AS units FROM u GROUP BY 1)
-SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) - 1 AS document_order, units, coalesce(sum(units) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS text_unit_start FROM d"""
+SELECT conv_id % 10 AS package, conv_id, dense_rank() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) - 1 AS document_order, units, coalesce(sum(units) OVER (PARTITION BY conv_id % 10 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS text_unit_start FROM d"""
 )
 def document_offsets(spark, sf_dir):
     per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("units"))
-    w = Window.orderBy("conv_id")
+    per = per.withColumn("package", F.col("conv_id") % 10)
+    w = Window.partitionBy("package").orderBy("conv_id")
     start = F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select("conv_id", (F.dense_rank().over(w) - 1).cast("long").alias("document_order"), "units", start.alias("text_unit_start"))
+    return per.select("package", "conv_id", (F.dense_rank().over(w) - 1).cast("long").alias("document_order"), "units", start.alias("text_unit_start"))
 
 
 @query("SELECT lower(event_type) AS portable, user_id, count(*) AS copies, min(event_id) AS first_id FROM events GROUP BY 1, 2 HAVING count(*) > 1")
