@@ -1,6 +1,6 @@
 """Registered queries and their checking SQL."""
 
-from . import tables, texts
+from . import addresses, tables, texts
 
-QUERIES: dict = texts.QUERIES | tables.QUERIES
-ORACLES: dict = texts.ORACLES | tables.ORACLES
+QUERIES: dict = texts.QUERIES | tables.QUERIES | addresses.QUERIES
+ORACLES: dict = texts.ORACLES | tables.ORACLES | addresses.ORACLES
