@@ -254,3 +254,24 @@ def build_archives(results: DataFrame) -> DataFrame:
 
     built = results.select("source_sha256", "order", "name", "status", "content").groupBy("source_sha256").applyInPandas(run, "source_sha256 string, output binary, translated long, omitted long")
     return built.withColumn("output_sha256", F.sha2("output", 256))
+
+
+def folder_archives(files: DataFrame, limits: dict | None = None) -> DataFrame:
+    """(folder, output, pages, error_code) of folders of page images (path, content): an archive of each folder's images in order of their
+    paths without case. A folder is one group, bounded by the archive limits."""
+    shipped(files.sparkSession)
+    bound = LIMITS | (limits or {})
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(((p.casefold(), p.rsplit("/", 1)[-1], bytes(b)) for p, b in zip(frame["path"], frame["content"], strict=True)), key=lambda r: r[:2])
+        code = "ARCHIVE_LIMIT" if len(rows) > bound["files"] or sum(len(b) for _, _, b in rows) > bound["total_bytes"] else None
+        code = code or ("INVALID_FORMAT" if any(image_type(b) != _IMAGES[n.rsplit(".", 1)[-1].lower()] for _, n, b in rows) else None)
+        sink = io.BytesIO()
+        if code is None:
+            with zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as out:
+                for _, name, body in rows:
+                    out.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body)
+        return pd.DataFrame([(frame["folder"].iloc[0], None if code else sink.getvalue(), len(rows), code)], columns=["folder", "output", "pages", "error_code"])
+
+    images = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*_IMAGES) & F.col("content").isNotNull())
+    return images.withColumn("folder", F.regexp_extract("path", "^(.*)/", 1)).select("folder", "path", "content").groupBy("folder").applyInPandas(run, "folder string, output binary, pages long, error_code string")

@@ -190,3 +190,11 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.write_table(table, str(tmp_path / "t"))
     assert spark.range(1).select(sinks.as_json("id").alias("j")).first()["j"] == '{"id":0}'
+
+
+def test_folders(spark, tmp_path):
+    for name, body in (("a/B.png", png(2)), ("a/a.png", png(1)), ("a/note.txt", b"x"), ("b/1.png", b"fake")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    made = {r["folder"].rsplit("/", 1)[-1]: r for r in archives.folder_archives(files.read_files(spark, str(tmp_path), recursive=True)).collect()}
+    assert zipfile.ZipFile(io.BytesIO(made["a"]["output"])).namelist() == ["a.png", "B.png"] and made["b"]["error_code"] == "INVALID_FORMAT"
