@@ -33,7 +33,7 @@ from .words import hashed, mix, sliced
 #: Largest discounted count; most words broadcast; occurrences of a context in one task, at least, and most split contexts.
 LOW, HEAD, HOT, MOST_HOT = 5, 1 << 21, 1 << 18, 100_000
 #: Tokens a task holds at a time; bytes of stored input for each bucket.
-HELD, EACH = 1 << 22, 8 << 20
+HELD, EACH = 1 << 21, 8 << 20
 END, BEGIN = np.uint64(0x0E9D0E9D0E9D0E9D), np.uint64(0xB0B0B0B0B0B0B0B1)
 _BITS = 20
 _U, _I = np.uint64, np.int64
@@ -62,6 +62,8 @@ class Unigrams:
     unknown: float = 1.0
     head: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))  # hashes of the most frequent words, sorted
     count: np.ndarray = field(default_factory=lambda: np.zeros(0, _I))
+    rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each place by count: small numbers travel well
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each rank
     first: np.ndarray = field(default_factory=lambda: np.zeros((1 << _BITS) + 1, np.int32))
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))  # contexts that are split, sorted
     hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, _I))
@@ -210,6 +212,9 @@ def learn(train: DataFrame, head: int = HEAD, hot: int = HOT) -> tuple[DataFrame
     hashes, counts = top["word"].to_numpy().view(_U), top["n"].to_numpy()
     order = np.argsort(hashes)
     model.head, model.count = hashes[order], counts[order]
+    model.place = np.argsort(-model.count, kind="stable").astype(np.int32)
+    model.rank = np.empty(len(model.place), np.int32)
+    model.rank[model.place] = np.arange(len(model.place), dtype=np.int32)
     model.first = np.searchsorted(model.head, np.arange((1 << _BITS) + 1, dtype=_U) << _U(64 - _BITS)).astype(np.int32)
     model.first[-1] = len(model.head)
     # The number of texts is the count of ends, which is also that of beginnings.
@@ -230,19 +235,33 @@ def learn(train: DataFrame, head: int = HEAD, hot: int = HOT) -> tuple[DataFrame
 _NAMES = ["bucket", "contexts", "runs", "words", "counts", "docs", "uids", "train"]
 _KINDS = [pa.int64()] + [pa.binary()] * 7
 _BLOB = "bucket long, contexts binary, runs binary, words binary, counts binary, docs binary, uids binary, train binary"
-_PART = "uid long, n_tokens long, n_known long, base double, score double, hot long, unseen long, mass double, uni double"
+_PACKED = ["slot", "uids", "n_tokens", "n_known", "base", "score"]
+_PART = "slot long, uids binary, n_tokens binary, n_known binary, base binary, score binary, hot long, uid long, unseen long, mass double, uni double"
+_TOTAL = "uid long, n_tokens long, n_known long, base double, score double"
+
+
+def _planes(x: np.ndarray, used: int) -> bytes:
+    """The ``used`` low bytes of integers, one plane after the other, compressed: high bytes are all but empty."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :used].T)
+    return pa.compress(flat.tobytes(), "zstd", asbytes=True)
+
+
+def _plain(body: bytes, n: int, used: int) -> np.ndarray:
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :used] = np.frombuffer(pa.decompress(body, n * used, "zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return wide.view(np.uint32).ravel()
 
 
 def _pack(bucket, context, word, count, row, uids, train):
-    """Occurrences of one bucket, sorted by context: run-length contexts, words as places in the head or with counts, documents by place."""
+    """Occurrences of one bucket, sorted by context: run-length contexts, words as ranks in the head or with counts, documents by place."""
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     docs, doc = np.unique(row, return_inverse=True)
     return (
         bucket,
         context[first].tobytes(),
-        np.diff(np.r_[first, len(context)]).astype(np.uint32).tobytes(),
-        word.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() if count is None else word.tobytes(),
-        b"" if count is None else count.tobytes(),
+        _planes(np.diff(np.r_[first, len(context)]).astype(np.uint32), 4),
+        _planes(word.astype(np.uint32), 3) if count is None else word.tobytes(),
+        None if count is None else count.astype(np.uint32).tobytes(),
         doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32).tobytes(),
         uids[docs].tobytes(),
         train[docs].tobytes(),
@@ -270,7 +289,7 @@ def _occurrences(shared, n_buckets: int, tail: bool):
         for k, a, b in _cut(bucket):
             s = slice(a, b)
             # For the tail the word leads and the context follows.
-            out.append(_pack(k, token[s], context[s], np.zeros(0, np.uint32), row[s], uids, train) if tail else _pack(k, context[s], place[s], None, row[s], uids, train))
+            out.append(_pack(k, token[s], context[s], np.zeros(0, np.uint32), row[s], uids, train) if tail else _pack(k, context[s], model.rank[place[s]], None, row[s], uids, train))
             if len(out) == 16:
                 yield _batch(out, _NAMES, _KINDS)
                 out = []
@@ -304,29 +323,25 @@ def _occurrences(shared, n_buckets: int, tail: bool):
     return run
 
 
-def _unpack(blobs: pd.DataFrame, head: np.ndarray, count: np.ndarray, second: bool):
-    """Concatenated (context, word, count of the word, uid, train) of blobs; without counts unless ``second``."""
+def _unpack(blobs: pd.DataFrame, model: Unigrams):
+    """Concatenated contexts, words, counts of the words and documents of blobs; the documents' uids and training flags."""
+    uids = np.unique(np.concatenate([np.frombuffer(u, _I) for u in blobs["uids"]]))
+    flags = np.zeros(len(uids), np.uint8)
     out = []
     for c, r, w, n, d, u, t in zip(blobs["contexts"], blobs["runs"], blobs["words"], blobs["counts"], blobs["docs"], blobs["uids"], blobs["train"], strict=True):
-        runs = np.frombuffer(r, np.uint32)
+        contexts = np.frombuffer(c, _U)
+        runs = _plain(r, len(contexts), 4)
         total = int(runs.sum())
-        uids = np.frombuffer(u, _I)
-        doc = np.frombuffer(d, np.uint16 if len(d) == 2 * total else np.uint32)
-        context = np.repeat(np.frombuffer(c, _U), runs)
-        if len(w) == 3 * total:
-            wide = np.zeros((total, 4), np.uint8)
-            wide[:, :3] = np.frombuffer(w, np.uint8).reshape(-1, 3)
-            place = wide.view(np.uint32).ravel()
-            word, n_of = head[place], count[place]
+        at = np.searchsorted(uids, np.frombuffer(u, _I)).astype(np.int32)
+        flags[at] = np.frombuffer(t, np.uint8)
+        doc = at[np.frombuffer(d, np.uint16 if len(d) == 2 * total else np.uint32)]
+        if n is None:
+            place = model.place[_plain(w, total, 3)]
+            word, n_of = model.head[place], model.count[place]
         else:
-            word, n_of = np.frombuffer(w, _U), np.frombuffer(n, _I) if second else np.zeros(total, _I)
-        out.append((context, word, n_of, uids[doc], np.frombuffer(t, np.uint8)[doc]))
-    return (np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _by_doc(uid: np.ndarray, **values) -> pd.DataFrame:
-    docs, at = np.unique(uid, return_inverse=True)
-    return pd.DataFrame({"uid": docs} | {k: np.bincount(at, v, len(docs)) for k, v in values.items()})
+            word, n_of = np.frombuffer(w, _U), np.frombuffer(n, np.uint32).astype(_I) if len(n) else np.zeros(total, _I)
+        out.append((np.repeat(contexts, runs), word, n_of, doc))
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), uids, flags)
 
 
 def _tail(shared, n_buckets: int):
@@ -334,17 +349,14 @@ def _tail(shared, n_buckets: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         model: Unigrams = shared.value
-        word, context, _, uid, train = _unpack(rows, model.head, model.count, False)
+        word, context, _, row, uids, flag = _unpack(rows, model)
         order = np.argsort(word, kind="stable")
-        word, context, uid, train = word[order], context[order], uid[order], train[order]
+        word, context, row = word[order], context[order], row[order]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         n = np.diff(np.r_[first, len(word)])
-        count = np.repeat(np.add.reduceat(train.astype(_I), first), n)
-        sums = _by_doc(uid, known=(count > 0).astype(float), base=model.base(count))
-        out = [_sums(sums["uid"].to_numpy(), np.zeros(len(sums)), sums["known"].to_numpy(), sums["base"].to_numpy())]
-        uids, row = np.unique(uid, return_inverse=True)
-        flag = np.zeros(len(uids), np.uint8)
-        flag[row] = train
+        count = np.repeat(np.add.reduceat(flag[row].astype(_I), first), n)
+        known, base = np.bincount(row, count > 0, len(uids)).astype(_I), np.bincount(row, model.base(count), len(uids))
+        out = [_sums(uids, np.zeros(len(uids)), known, base)]
         bucket = (model.split(context, word) % _U(n_buckets)).astype(np.int32)
         order = np.lexsort((context, bucket))
         word, context, count, row, bucket = word[order], context[order], count[order], row[order], bucket[order]
@@ -354,7 +366,27 @@ def _tail(shared, n_buckets: int):
     return run
 
 
-def _evaluate(shared):
+def _slots(uids: np.ndarray, slots: int, **values) -> pd.DataFrame:
+    """Sums by document packed into one row for each slot of documents; sums that aren't given are null."""
+    slot = (uids.view(_U) % _U(slots)).astype(np.int32)
+    order = np.argsort(slot, kind="stable")
+    rows = [(k, uids[order[a:b]].tobytes(), *(values[c][order[a:b]].tobytes() if c in values else None for c in _PACKED[2:])) for k, a, b in _cut(slot[order])]
+    return pd.DataFrame(rows, columns=_PACKED)
+
+
+def _total(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one slot's documents."""
+    uids = np.unique(np.concatenate([np.frombuffer(u, _I) for u in rows["uids"]]))
+    out = {"n_tokens": np.zeros(len(uids), _I), "n_known": np.zeros(len(uids), _I), "base": np.zeros(len(uids)), "score": np.zeros(len(uids))}
+    for row in rows.itertuples(index=False):
+        at = np.searchsorted(uids, np.frombuffer(row.uids, _I))
+        for name, total in out.items():
+            if getattr(row, name) is not None:
+                np.add.at(total, at, np.frombuffer(getattr(row, name), total.dtype))
+    return pd.DataFrame({"uid": uids} | out)
+
+
+def _evaluate(shared, slots: int):
     """Sums by document of all tokens whose contexts lie in a bucket."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -362,15 +394,17 @@ def _evaluate(shared):
         out = []
         sums = rows[rows["bucket"] < 0]
         for u, t, k, b in zip(sums["contexts"], sums["words"], sums["counts"], sums["docs"], strict=True):
-            out.append(pd.DataFrame({"uid": np.frombuffer(u, _I), "n_tokens": np.frombuffer(t, _I), "n_known": np.frombuffer(k, _I), "base": np.frombuffer(b, float)}))
+            out.append(_slots(np.frombuffer(u, _I), slots, n_tokens=np.frombuffer(t, _I), n_known=np.frombuffer(k, _I), base=np.frombuffer(b, float)))
         blobs = rows[rows["bucket"] >= 0]
         if len(blobs):
-            context, word, n_of, uid, train = _unpack(blobs, model.head, model.count, True)
+            context, word, n_of, doc, uids, flag = _unpack(blobs, model)
             order = np.lexsort((word, context))
-            context, word, n_of, uid, train = context[order], word[order], n_of[order], uid[order], train[order]
+            context, word = context[order], word[order]
+            n_of, doc = n_of[order], doc[order]
+            del order
             new = np.r_[True, context[1:] != context[:-1]]
             pair = np.flatnonzero(new | np.r_[True, word[1:] != word[:-1]])
-            c = np.add.reduceat(train.astype(_I), pair)  # training count of each bigram
+            c = np.add.reduceat(flag[doc].astype(_I), pair)  # training count of each bigram
             group = np.flatnonzero(new[pair])  # first bigram of each context
             own = np.add.reduceat(c, group)
             p_uni = model.probability(n_of[pair])
@@ -390,17 +424,17 @@ def _evaluate(shared):
                 seen = c > 0
                 score = np.where(seen, np.log10(kept / np.repeat(total, per_group)), np.log10(p_uni) + np.where(np.repeat(hot, per_group), 0.0, np.repeat(np.log10(weight), per_group)))
             n = np.diff(np.r_[pair, len(context)])
-            out.append(_by_doc(uid, score=np.repeat(score, n)))
+            out.append(_slots(uids, slots, score=np.bincount(doc, np.repeat(score, n), len(uids))))
             if hot.any():
                 out.append(pd.DataFrame({"hot": heads[hot].view(_I), "mass": (mass / np.maximum(total, 1))[hot], "uni": uni[hot]}))
                 late = np.repeat(~seen & np.repeat(hot, per_group), n)
                 if late.any():
-                    got = pd.DataFrame({"hot": context[late].view(_I), "uid": uid[late], "unseen": 1}).groupby(["hot", "uid"], as_index=False).sum()
+                    got = pd.DataFrame({"hot": context[late].view(_I), "uid": uids[doc[late]], "unseen": 1}).groupby(["hot", "uid"], as_index=False).sum()
                     out.append(got)
-        whole = dict.fromkeys(("uid", "n_tokens", "n_known", "hot", "unseen"), "Int64")
-        columns = ["uid", "n_tokens", "n_known", "base", "score", "hot", "unseen", "mass", "uni"]
         # Typed one by one: a column that some lack would else pass through floats.
-        return pd.concat([x.reindex(columns=columns).astype(whole | {k: "float64" for k in ("base", "score", "mass", "uni")}) for x in out or [pd.DataFrame()]])
+        names, blank = [*_PACKED, "hot", "uid", "unseen", "mass", "uni"], dict.fromkeys(_PACKED[1:], None)
+        kinds = dict.fromkeys(("slot", "hot", "uid", "unseen"), "Int64") | dict.fromkeys(("mass", "uni"), "float64")
+        return pd.concat([(x if "uids" in x else x.assign(**blank)).reindex(columns=names).astype(kinds) for x in out])
 
     return run
 
@@ -413,15 +447,15 @@ def scored(docs: DataFrame, train: Column, head: int = HEAD, hot: int = HOT) ->
     _, model = learn(keyed.filter("train"), head, hot)
     total = int(model.total)
     shared = spark.sparkContext.broadcast(model)  # at most HEAD words and MOST_HOT contexts
-    n = buckets(docs, EACH)
+    n = buckets(docs, EACH, 1)
     known = keyed.select(F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("uid"), "train", "text")
     names = written(keyed.select(F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("uid"), "doc_id", "train"), "rows")
     rare = known.mapInArrow(_occurrences(shared, n, True), _BLOB).groupBy("bucket").applyInPandas(_tail(shared, n), _BLOB)
     every = known.mapInArrow(_occurrences(shared, n, False), _BLOB).unionByName(rare)
     part = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("contexts"), F.lit(4 * n)))
-    parts = written(every.withColumn("part", part).groupBy("part").applyInPandas(_evaluate(shared), _PART), "scores")
-    sums = parts.filter(F.col("uid").isNotNull() & F.col("hot").isNull())
-    weight = parts.filter("uid is null").groupBy("hot").agg(F.log10((1 - F.sum("mass")) / (1 - F.sum("uni"))).alias("weight"))
+    parts = written(every.withColumn("part", part).groupBy("part").applyInPandas(_evaluate(shared, n), _PART), "scores")
+    sums = parts.filter("slot is not null").select(*_PACKED).groupBy("slot").applyInPandas(_total, _TOTAL)
+    weight = parts.filter("hot is not null and uid is null").groupBy("hot").agg(F.log10((1 - F.sum("mass")) / (1 - F.sum("uni"))).alias("weight"))
     late = parts.filter("unseen is not null").select("uid", "hot", "unseen").join(F.broadcast(weight), "hot")  # at most MOST_HOT contexts
     late = late.select("uid", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_known"), F.lit(None).cast("double").alias("base"), (F.col("unseen") * F.col("weight")).alias("score"))
     by = sums.select("uid", "n_tokens", "n_known", "base", "score").unionByName(late).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
