@@ -264,7 +264,7 @@ def _pack(bucket, context, word, count, row, uids, train):
         None if count is None else count.astype(np.uint32).tobytes(),
         doc.astype(np.uint16 if len(docs) <= 65536 else np.uint32).tobytes(),
         uids[docs].tobytes(),
-        train[docs].tobytes(),
+        np.packbits(train[docs]).tobytes(),
     )
 
 
@@ -333,7 +333,7 @@ def _unpack(blobs: pd.DataFrame, model: Unigrams):
         runs = _plain(r, len(contexts), 4)
         total = int(runs.sum())
         at = np.searchsorted(uids, np.frombuffer(u, _I)).astype(np.int32)
-        flags[at] = np.frombuffer(t, np.uint8)
+        flags[at] = np.unpackbits(np.frombuffer(t, np.uint8), count=len(at))
         doc = at[np.frombuffer(d, np.uint16 if len(d) == 2 * total else np.uint32)]
         if n is None:
             place = model.place[_plain(w, total, 3)]
@@ -370,7 +370,7 @@ def _slots(uids: np.ndarray, slots: int, **values) -> pd.DataFrame:
     """Sums by document packed into one row for each slot of documents; sums that aren't given are null."""
     slot = (uids.view(_U) % _U(slots)).astype(np.int32)
     order = np.argsort(slot, kind="stable")
-    rows = [(k, uids[order[a:b]].tobytes(), *(values[c][order[a:b]].tobytes() if c in values else None for c in _PACKED[2:])) for k, a, b in _cut(slot[order])]
+    rows = [(k, uids[order[a:b]].tobytes(), *(_planes(values[c][order[a:b]], 8) if c in values else None for c in _PACKED[2:])) for k, a, b in _cut(slot[order])]
     return pd.DataFrame(rows, columns=_PACKED)
 
 
@@ -382,7 +382,8 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.searchsorted(uids, np.frombuffer(row.uids, _I))
         for name, total in out.items():
             if getattr(row, name) is not None:
-                np.add.at(total, at, np.frombuffer(getattr(row, name), total.dtype))
+                flat = np.frombuffer(pa.decompress(getattr(row, name), len(at) * 8, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+                np.add.at(total, at, np.ascontiguousarray(flat.T).view(total.dtype).ravel())
     return pd.DataFrame({"uid": uids} | out)
 
 
