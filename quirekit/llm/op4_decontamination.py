@@ -9,6 +9,9 @@ whose list bounds can't reach the threshold is passed over; of the others the bl
 scored in full. All items above the threshold go to verification: shares of the word 5-grams of the item's question (all but its last sentence)
 and of its answer (the last) that the whole document holds. A pair with enough of the question is a leak.
 
+So that every leak is retrieved, questions are segments of a second index too, which the whole text queries in the same way. There impacts are
+shares of the least weight that the words of enough of the question's 5-grams can have: a leak scores 1 at least, wherever its 5-grams stand.
+
 The index is broadcast in shards of at most SHARD items, one pass over the documents each; documents are never shuffled.
 
 Defined results: null and empty texts match nothing; items without words are skipped; an item of fewer than five words counts as
@@ -29,10 +32,14 @@ from .common import table, tuned
 from .words import gram_hashes, hashed, sliced, word_bounds, word_hashes
 
 SEGMENT, STRIDE, BLOCK, SHARD = 64, 64, 8, 4_000
+#: Segments in a block of the index that whole texts query.
+PART_BLOCK = 24
 K1, B = 1.2, 0.75
 #: Share of a segment's weight a passage must hold to be verified; share of the question's 5-grams that makes a leak.
 THRESHOLD, OVERLAP = 0.4, 0.5
 GRAM = 5
+#: What a leak scores at least in the index of parts, less the rounding of sums of 32-bit impacts.
+SURE = 1 - 1e-3
 #: Leading bits of a word's hash by which its term is looked up.
 HEAD = 18
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
@@ -59,13 +66,16 @@ class Index:
     block_bound: np.ndarray  # terms x blocks
     blocks: list  # (sorted terms, impacts by term and segment, with a last row of zeros) of each block
     item: np.ndarray  # of each segment
+    block: int  # segments in a block
     question: list  # (k, grams) of each item
     answer: list
+    parts: Index | None = None  # of what a leak is decided on, asked by whole texts
+    known: dict | None = None  # k: (sorted grams of all items, whether one has these leading HEAD bits)
 
 
-def build(items: list[tuple], k1: float = K1, b: float = B) -> Index | None:
+def build(items: list[tuple], k1: float = K1, b: float = B, overlap: float = OVERLAP) -> Index | None:
     """An index of (item_id, text) rows."""
-    ids, question, answer, parts, owner = [], [], [], [], []
+    ids, question, answer, parts, owner, whole, whole_owner = [], [], [], [], [], [], []
     for key, text in items:
         words = _words(text or "")
         if not len(words):
@@ -73,9 +83,12 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index | None:
         sentences = _SENTENCE.split(text.strip())
         tail = _words(sentences[-1]) if len(sentences) > 1 else words
         head = words[: len(words) - len(tail)] if len(sentences) > 1 else words
-        for grams, own in ((question, head if len(head) >= GRAM else words), (answer, tail if len(tail) else words)):
+        head, tail = head if len(head) >= GRAM else words, tail if len(tail) else words
+        for grams, own in ((question, head), (answer, tail)):
             k = min(GRAM, len(own))
             grams.append((k, _grams(own, k)))
+        whole.append(head)
+        whole_owner.append(len(ids))
         n = -(-len(words) // SEGMENT)
         for piece in np.array_split(words, n):
             parts.append(piece)
@@ -83,6 +96,33 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index | None:
         ids.append(key)
     if not ids:
         return None
+    index = _indexed(ids, parts, owner, BLOCK, k1, b, question, answer)
+    index.parts = _indexed(ids, whole, whole_owner, PART_BLOCK, k1, b, question, answer, overlap)
+    index.known = {}
+    for k in {k for k, _ in question + answer}:
+        grams = np.unique(np.concatenate([g for n, g in question + answer if n == k]))
+        leading = np.zeros(1 << HEAD, bool)
+        leading[grams >> np.uint64(64 - HEAD)] = True
+        index.known[k] = grams, leading
+    return index
+
+
+def _need(words: np.ndarray, weight: np.ndarray, overlap: float) -> float:
+    """A bound on the weight of the distinct words that any text with ``overlap`` of the 5-grams of ``words`` holds.
+
+    Each word's weight is dealt out evenly over the 5-grams it is in, so 5-grams held never have more than the words held: the bound is the sum
+    of as many of the lightest as are needed. ``weight`` is that of the sorted distinct words."""
+    k = min(GRAM, len(words))
+    start = np.unique(gram_hashes(words, k), return_index=True)[1]
+    held = np.sort(np.unique(words, return_inverse=True)[1][start[:, None] + np.arange(k)], axis=1)
+    new = np.c_[np.ones(len(held), bool), held[:, 1:] != held[:, :-1]]
+    share = (np.where(new, weight[held], 0) / np.bincount(held[new], minlength=len(weight))[held]).sum(1)
+    least = max(1, int(np.ceil(overlap * len(share) - 1e-9)))
+    return float(np.sort(share)[:least].sum())
+
+
+def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: float, question: list, answer: list, overlap: float | None = None) -> Index:
+    """An index of word arrays. Impacts are shares of a segment's whole weight, or of what ``overlap`` of its 5-grams weigh at least."""
     common = np.unique(np.concatenate(parts), return_counts=True)
     count = dict(zip(common[0].tolist(), common[1].tolist(), strict=True))
     # Segments of one language and of like lengths share blocks, which keeps block bounds tight.
@@ -97,26 +137,31 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index | None:
     df = np.bincount(term, minlength=len(terms))
     idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[segment] / length.mean()))
-    impact = (weight / np.bincount(segment, weight)[segment]).astype(np.float32)
+    if overlap is None:
+        unit = np.bincount(segment, weight)
+    else:
+        ends = np.cumsum([len(r[0]) for r in rows])
+        unit = np.array([_need(p, weight[e - len(r[0]) : e], overlap) for p, r, e in zip(parts, rows, ends, strict=True)])
+    impact = (weight / unit[segment]).astype(np.float32)
     by = np.lexsort((segment, term))
     term, segment, impact = term[by], segment[by], impact[by]
     bound = np.zeros(len(terms), np.float32)
     np.maximum.at(bound, term, impact)
-    blocks = np.zeros((len(terms), -(-len(parts) // BLOCK)), np.float32)
-    np.maximum.at(blocks, (term, segment // BLOCK), impact)
+    blocks = np.zeros((len(terms), -(-len(parts) // block)), np.float32)
+    np.maximum.at(blocks, (term, segment // block), impact)
     postings = []
     for q in range(blocks.shape[1]):
-        own = np.flatnonzero(segment // BLOCK == q)
+        own = np.flatnonzero(segment // block == q)
         held, row = np.unique(term[own], return_inverse=True)
-        dense = np.zeros((len(held) + 1, BLOCK), np.float32)
-        dense[row, segment[own] - q * BLOCK] = impact[own]
+        dense = np.zeros((len(held) + 1, block), np.float32)
+        dense[row, segment[own] - q * block] = impact[own]
         postings.append((held, dense))
     first = np.searchsorted(terms, np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD))
-    return Index(ids, terms, np.r_[first, len(terms)], bound, blocks, postings, owner, question, answer)
+    return Index(ids, terms, np.r_[first, len(terms)], bound, blocks, postings, owner, block, question, answer)
 
 
-def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (row, item, score) with a passage of the row scoring at least ``threshold`` against a segment of the item."""
+def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, item, score) with a passage of the row, or the ``whole`` row, scoring at least ``threshold`` against a segment of the item."""
     none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     head = (words >> np.uint64(64 - HEAD)).astype(np.int32)
     low, size = index.first[head], index.first[head + 1] - index.first[head]
@@ -130,10 +175,10 @@ def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float
         return none
     hit, term = np.concatenate(hit), np.concatenate(term)
     # Passage p of a row covers its word blocks p and p + 1; the last block stands alone only in short texts.
-    n_blocks = np.maximum(1, -(-(rows[1:] - rows[:-1]) // STRIDE))
+    n_blocks = np.ones(len(rows) - 1, np.int64) if whole else np.maximum(1, -(-(rows[1:] - rows[:-1]) // STRIDE))
     base = np.cumsum(n_blocks) - n_blocks
     owner = np.searchsorted(rows, hit, "right") - 1
-    block = base[owner] + (hit - rows[owner]) // STRIDE
+    block = base[owner] + (0 if whole else (hit - rows[owner]) // STRIDE)
     second = block > base[owner]
     v = len(index.terms)
     keys = np.concatenate([block * v + term, (block[second] - 1) * v + term[second]])
@@ -151,10 +196,12 @@ def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     ends = np.r_[starts[1:], len(passage)]
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // index.block_bound.shape[1] // 64)
-    for i in range(0, len(starts), step):
-        low, high = starts[i], ends[min(i + step, len(starts)) - 1]
-        bounds = np.add.reduceat(index.block_bound[term[low:high]], starts[i : i + step] - low, axis=0)
+    step = (1 << 22) // index.block_bound.shape[1]
+    j = 0
+    while j < len(starts):
+        i, j = j, max(j + 1, int(np.searchsorted(ends, starts[j] + step, "right")))
+        low, high = starts[i], ends[j - 1]
+        bounds = np.add.reduceat(index.block_bound[term[low:high]], starts[i:j] - low, axis=0)
         for q in np.flatnonzero((bounds >= threshold).any(0)):  # block bounds
             own = np.flatnonzero(bounds[:, q] >= threshold)
             a, n = starts[i + own], ends[i + own] - starts[i + own]
@@ -163,12 +210,13 @@ def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float
             spot = np.minimum(np.searchsorted(held, term[flat]), len(held) - 1)
             spot = np.where(held[spot] == term[flat], spot, len(held))
             score = np.add.reduceat(dense[spot], np.cumsum(n) - n, axis=0)
-            p, j = np.nonzero(score >= threshold - 1e-6)
-            fine = q * BLOCK + j < len(index.item)
-            p, j = p[fine], j[fine]
+            p, at = np.nonzero(score >= threshold - 1e-6)
+            at += q * index.block
+            fine = at < len(index.item)
+            p, at = p[fine], at[fine]
             if len(p):
                 row = np.searchsorted(base, passage[a[p]], "right") - 1
-                got.append((row, index.item[q * BLOCK + j], score[p, j].astype(float)))
+                got.append((row, index.item[at], score[p, at - q * index.block].astype(float)))
     if not got:
         return none
     row, item, score = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -178,15 +226,35 @@ def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float
     return row[new], item[new], score[new]
 
 
-def _share(grams: tuple[int, np.ndarray], held: dict, words: np.ndarray) -> float:
-    k, own = grams
-    if k not in held:
-        held[k] = _grams(words, k)
-    return float(np.isin(own, held[k]).mean()) if len(held[k]) else 0.0
+def _held(index: Index, words: np.ndarray, rows: np.ndarray) -> dict:
+    """k: (rows, grams) of the items' grams that the rows hold, by row."""
+    out = {}
+    for k, (known, leading) in index.known.items():
+        grams = gram_hashes(words, k)
+        at = np.flatnonzero(leading[grams >> np.uint64(64 - HEAD)])
+        at = at[known[np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)] == grams[at]]
+        row = np.searchsorted(rows, at, "right") - 1
+        whole = at + k <= rows[row + 1]
+        out[k] = row[whole], grams[at[whole]]
+    return out
+
+
+def _share(part: tuple[int, np.ndarray], held: dict, row: int) -> float:
+    k, own = part
+    low, high = np.searchsorted(held[k][0], (row, row + 1))
+    return float(np.isin(own, held[k][1][low:high]).mean()) if low < high else 0.0
+
+
+def _candidates(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float, held: dict) -> list[tuple]:
+    """(row, item, score) of all pairs to verify, by row; the score is null where only the index of parts retrieves the pair."""
+    near = {(r, i): s for r, i, s in zip(*(x.tolist() for x in retrieve(index, words, rows, threshold)), strict=True)}
+    row, item, _ = retrieve(index.parts, words, rows, SURE, True)
+    some = np.isin(row, np.concatenate([x[0] for x in held.values()]))  # the others have no share of anything
+    return [(*pair, near.get(pair)) for pair in sorted(near.keys() | set(zip(row[some].tolist(), item[some].tolist(), strict=True)))]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
-    """(doc_id, item_id, bm25, question_overlap, answer_overlap, leak) of all pairs retrieved above ``threshold``."""
+    """(doc_id, item_id, bm25, question_overlap, answer_overlap, leak) of all pairs a passage retrieves above ``threshold``, and of all leaks."""
     spark = docs.sparkSession
     tuned(spark)
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
@@ -197,7 +265,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     out = None
     for k in range(shards):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # about SHARD test items
-        index = build([(r[0], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))])
+        index = build([(r[0], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))], overlap=overlap)
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)
@@ -208,14 +276,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 for part in sliced(batch):
                     words, offs = hashed(part, True)
                     found = []
-                    held_of = -1
-                    held: dict = {}
-                    for row, item, score in zip(*retrieve(index, words, offs, threshold), strict=True):
-                        if row != held_of:
-                            held_of, held = row, {}
-                        own = words[offs[row] : offs[row + 1]]
-                        q, a = _share(index.question[item], held, own), _share(index.answer[item], held, own)
-                        found.append((int(row), index.ids[item], float(score), q, a, q >= overlap))
+                    held = _held(index, words, offs)
+                    scored, scores = -1, {}
+                    for row, item, score in _candidates(index, words, offs, threshold, held):
+                        q, a = _share(index.question[item], held, row), _share(index.answer[item], held, row)
+                        leak = q >= overlap
+                        if score is None:
+                            if not leak:
+                                continue
+                            if scored != row:
+                                own = words[offs[row] : offs[row + 1]]
+                                _, items, best = retrieve(index, own, np.array([0, len(own)]), 1e-6)
+                                scored, scores = row, dict(zip(items.tolist(), best.tolist(), strict=True))
+                            score = scores.get(item, 0.0)
+                        found.append((row, index.ids[item], score, q, a, leak))
                     if found:
                         cols = list(zip(*found, strict=True))
                         keys = part.column(0).take(pa.array(cols[0], pa.int64()))

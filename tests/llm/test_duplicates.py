@@ -221,3 +221,29 @@ def test_empty_decontamination(make, spark):
     assert op4_decontamination.matches(make([(1, "x")]), none).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert op4_decontamination.matches(make([]), some).count() == 0
+
+
+def asked(rng, n_question, n_answer, tag):
+    """An item of its own words, question first."""
+    word = lambda: rng.choice(["the", "of", "and", "is"]) if rng.random() < 0.4 else f"{tag}{rng.randrange(400)}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    return line(n_question) + "? " + line(n_answer) + "."
+
+
+def test_short_questions_of_long_items_are_found(make, spark):
+    rng = random.Random(21)
+    items = [(i, asked(rng, rng.randrange(5, 16), rng.randrange(30, 150), "z")) for i in range(50)]
+    noise = lambda n: " ".join(rng.choice(["the", "of", "and", "is", f"n{rng.randrange(900)}"]) for _ in range(n))
+    docs = []
+    for i, t in items:
+        q = t.split("? ")[0].split(" ")
+        q[-1] += "?"
+        docs.append((i, f"{noise(200)} {' '.join(q)} {noise(200)}"))
+        # the first and the last quarter of the question and a bit, far from each other
+        n = (len(q) - 4 + 3) // 4 + 4
+        docs.append((100 + i, f"{noise(100)} {' '.join(q[:n])} {noise(300)} {' '.join(q[-n:])} {noise(100)}"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op4_decontamination.matches(make(docs), table).filter("leak").collect()}
+    want = leaks(docs, items)
+    assert {(i, i) for i in range(50)} <= want
+    assert got == want
