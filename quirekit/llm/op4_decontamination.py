@@ -6,11 +6,12 @@ segments (the list's bound) and in each block (the block's bound).
 
 Queries: each text is cut into passages of 2 x STRIDE words that overlap by half; the distinct words of each are a query. A passage
 whose list bounds can't reach the threshold is passed over; of the others the blocks whose bounds can't are; segments of what is left are
-scored in full. All items above the threshold go to verification: shares of the word 5-grams of the item's question (all but its last sentence)
-and of its answer (the last) that the whole document holds. A pair with enough of the question is a leak.
+scored in full. All items above the threshold go to verification: shares of the word 5-grams of the item's question (all but its last sentence),
+of its answer (the last) and of all of it that the whole document holds. A pair with enough of the question, of the item, or of an answer of
+ANSWER words or more is a leak.
 
-So that every leak is retrieved, questions are segments of a second index too, which the whole text queries in the same way. There impacts are
-shares of the least weight that the words of enough of the question's 5-grams can have: a leak scores 1 at least, wherever its 5-grams stand.
+So that every leak is retrieved, these three are segments of a second index too, which the whole text queries in the same way. There impacts are
+shares of the least weight that the words of enough of a part's 5-grams can have: a leak scores 1 at least, wherever its 5-grams stand.
 
 The index is broadcast in shards of at most SHARD items, one pass over the documents each; documents are never shuffled.
 
@@ -35,9 +36,11 @@ SEGMENT, STRIDE, BLOCK, SHARD = 64, 64, 8, 4_000
 #: Segments in a block of the index that whole texts query.
 PART_BLOCK = 24
 K1, B = 1.2, 0.75
-#: Share of a segment's weight a passage must hold to be verified; share of the question's 5-grams that makes a leak.
+#: Share of a segment's weight a passage must hold to be verified; share of a part's 5-grams that makes a leak.
 THRESHOLD, OVERLAP = 0.4, 0.5
 GRAM = 5
+#: Words of an answer that is told without its question; shorter ones are common phrases.
+ANSWER = 10
 #: What a leak scores at least in the index of parts, less the rounding of sums of 32-bit impacts.
 SURE = 1 - 1e-3
 #: Leading bits of a word's hash by which its term is looked up.
@@ -69,13 +72,15 @@ class Index:
     block: int  # segments in a block
     question: list  # (k, grams) of each item
     answer: list
+    every: list  # of the whole item
+    alone: list  # whether the answer is told without its question
     parts: Index | None = None  # of what a leak is decided on, asked by whole texts
     known: dict | None = None  # k: (sorted grams of all items, whether one has these leading HEAD bits)
 
 
 def build(items: list[tuple], k1: float = K1, b: float = B, overlap: float = OVERLAP) -> Index | None:
     """An index of (item_id, text) rows."""
-    ids, question, answer, parts, owner, whole, whole_owner = [], [], [], [], [], [], []
+    ids, question, answer, every, alone, parts, owner, whole, whole_owner = [], [], [], [], [], [], [], [], []
     for key, text in items:
         words = _words(text or "")
         if not len(words):
@@ -84,11 +89,14 @@ def build(items: list[tuple], k1: float = K1, b: float = B, overlap: float = OVE
         tail = _words(sentences[-1]) if len(sentences) > 1 else words
         head = words[: len(words) - len(tail)] if len(sentences) > 1 else words
         head, tail = head if len(head) >= GRAM else words, tail if len(tail) else words
-        for grams, own in ((question, head), (answer, tail)):
+        for grams, own in ((question, head), (answer, tail), (every, words)):
             k = min(GRAM, len(own))
             grams.append((k, _grams(own, k)))
-        whole.append(head)
-        whole_owner.append(len(ids))
+        alone.append(len(tail) >= ANSWER)
+        for own, used in ((words, True), (head, len(head) < len(words)), (tail, alone[-1] and len(tail) < len(words))):
+            if used:
+                whole.append(own)
+                whole_owner.append(len(ids))
         n = -(-len(words) // SEGMENT)
         for piece in np.array_split(words, n):
             parts.append(piece)
@@ -96,11 +104,12 @@ def build(items: list[tuple], k1: float = K1, b: float = B, overlap: float = OVE
         ids.append(key)
     if not ids:
         return None
-    index = _indexed(ids, parts, owner, BLOCK, k1, b, question, answer)
-    index.parts = _indexed(ids, whole, whole_owner, PART_BLOCK, k1, b, question, answer, overlap)
+    told = question, answer, every, alone
+    index = _indexed(ids, parts, owner, BLOCK, k1, b, told)
+    index.parts = _indexed(ids, whole, whole_owner, PART_BLOCK, k1, b, told, overlap)
     index.known = {}
-    for k in {k for k, _ in question + answer}:
-        grams = np.unique(np.concatenate([g for n, g in question + answer if n == k]))
+    for k in {k for k, _ in question + answer + every}:
+        grams = np.unique(np.concatenate([g for n, g in question + answer + every if n == k]))
         leading = np.zeros(1 << HEAD, bool)
         leading[grams >> np.uint64(64 - HEAD)] = True
         index.known[k] = grams, leading
@@ -121,7 +130,7 @@ def _need(words: np.ndarray, weight: np.ndarray, overlap: float) -> float:
     return float(np.sort(share)[:least].sum())
 
 
-def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: float, question: list, answer: list, overlap: float | None = None) -> Index:
+def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: float, told: tuple, overlap: float | None = None) -> Index:
     """An index of word arrays. Impacts are shares of a segment's whole weight, or of what ``overlap`` of its 5-grams weigh at least."""
     common = np.unique(np.concatenate(parts), return_counts=True)
     count = dict(zip(common[0].tolist(), common[1].tolist(), strict=True))
@@ -157,7 +166,7 @@ def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: floa
         dense[row, segment[own] - q * block] = impact[own]
         postings.append((held, dense))
     first = np.searchsorted(terms, np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD))
-    return Index(ids, terms, np.r_[first, len(terms)], bound, blocks, postings, owner, block, question, answer)
+    return Index(ids, terms, np.r_[first, len(terms)], bound, blocks, postings, owner, block, *told)
 
 
 def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +289,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                     scored, scores = -1, {}
                     for row, item, score in _candidates(index, words, offs, threshold, held):
                         q, a = _share(index.question[item], held, row), _share(index.answer[item], held, row)
-                        leak = q >= overlap
+                        leak = q >= overlap or (index.alone[item] and a >= overlap) or _share(index.every[item], held, row) >= overlap
                         if score is None:
                             if not leak:
                                 continue

@@ -247,3 +247,36 @@ def test_short_questions_of_long_items_are_found(make, spark):
     want = leaks(docs, items)
     assert {(i, i) for i in range(50)} <= want
     assert got == want
+
+
+def told(docs, items):
+    """Pairs with half of the 5-grams of the question, of the whole item, or of an answer of ten words."""
+    out = leaks(docs, items)
+    for i, t in items:
+        tail = lowered(re.split(r"(?<=[.!?])\s+", t.strip())[-1])
+        for part in (lowered(t), *([tail] if len(tail) >= 10 else [])):
+            grams = {tuple(part[j : j + 5]) for j in range(len(part) - 4)}
+            for d, text in docs:
+                w = lowered(text)
+                if 2 * len(grams & {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) >= len(grams):
+                    out.add((d, i))
+    return out
+
+
+def test_answers_and_ends_of_items_are_leaks(make, spark):
+    rng = random.Random(22)
+    items = [(i, asked(rng, rng.randrange(5, 40), rng.randrange(5, 40), f"y{i}y")) for i in range(60)] + [(60, asked(rng, 13, 23, "x")), (61, asked(rng, 30, 9, "w"))]
+    noise = lambda n: " ".join(rng.choice(["the", "of", "and", "is", f"n{rng.randrange(900)}"]) for _ in range(n))
+    docs = [(500, noise(300)), (501, f"{noise(90)} {' '.join(items[60][1].split()[-27:])} {noise(90)}"), (502, f"{noise(9)} {items[61][1].split('? ')[1]} {noise(9)}")]
+    for i, t in items:
+        w = t.split()
+        a = rng.randrange(len(w) - 5)
+        docs.append((i, f"{noise(100)} {' '.join(w[a : rng.randrange(a + 5, len(w)) + 1])} {noise(100)}"))
+        docs.append((100 + i, f"{noise(100)} {t.split('? ')[1]} {noise(100)}"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = op4_decontamination.matches(make(docs), table).filter("leak").collect()
+    want = told(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want - leaks(docs, items)) > 30
+    assert [(r["question_overlap"], r["answer_overlap"]) for r in got if r["doc_id"] == 501] == [(0.0, 1.0)]
+    kept = {r["doc_id"] for r in op4_decontamination.decontaminated(make(docs), table).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want} and {500, 502} <= kept
