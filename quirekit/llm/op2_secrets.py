@@ -1,7 +1,7 @@
 """Secret scan: known shapes, and a randomness test battery on every long token.
 
 Built-in functions only. Tokens of 20 characters and more are candidates. The encoding inferred from a token's
-characters (hex, base32, base64) gives the alphabet on which three tests of uniform randomness run: chi-squared over
+characters (hex, base32, base36 of either case, base62, base64) gives the alphabet on which three tests of uniform randomness run: chi-squared over
 equal classes of the alphabet, runs above and below its middle, and lag-one serial correlation. Their p-values combine by
 Fisher's method; a token that this rejects is not random. For the others the probability that non-random writing
 passes falls with length: the likelihood ratio of character classes under writing and under uniform draws bounds it
@@ -32,16 +32,22 @@ KINDS = ("assign", "access", "hex", "random")
 #: Alphabets by inferred encoding: each character's index in it is its symbol.
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32_lower": "abcdefghijklmnopqrstuvwxyz234567",
     "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base36_lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SHAPES = (
     ("hex", "^[0-9a-f]+$"),
+    ("hex_upper", "^[0-9A-F]+$"),
     ("base32", "^[A-Z2-7]+$"),
+    ("base32_lower", "^[a-z2-7]+$"),
     ("base36", "^[0-9A-Z]+$"),
+    ("base36_lower", "^[0-9a-z]+$"),
     ("base62", "^[0-9A-Za-z]+$"),
     ("base64", "^[0-9A-Za-z+/]+$"),
     ("base64url", "^[0-9A-Za-z_-]+$"),
@@ -106,7 +112,7 @@ def battery(token: Column) -> Column:
         serial = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - 0.5) * (p["b"] - 0.5)) * 12 / F.sqrt(n - 1)
         classes = F.split(F.translate(s["t"], "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "l" * 26 + "u" * 26 + "d" * 10 + "oooo"), "")
         share_of = F.create_map(
-            F.lit("l"), F.when(s["kind"] == "hex", 6.0).otherwise(26.0) / s["size"], F.lit("u"), 26.0 / s["size"], F.lit("d"), F.when(s["kind"] == "base32", 6.0).otherwise(10.0) / s["size"], F.lit("o"), 2.0 / s["size"]
+            F.lit("l"), F.when(s["kind"] == "hex", 6.0).otherwise(26.0) / s["size"], F.lit("u"), F.when(s["kind"] == "hex_upper", 6.0).otherwise(26.0) / s["size"], F.lit("d"), F.when(s["kind"].isin("base32", "base32_lower"), 6.0).otherwise(10.0) / s["size"], F.lit("o"), 2.0 / s["size"]
         )
         # log2 of the likelihood of the class sequence under uniform draws over that under writing
         steps = F.zip_with(F.slice(classes, F.lit(1), F.size(classes) - 1), F.slice(classes, F.lit(2), F.size(classes) - 1), lambda a, b: F.log2(share_of[b]) - F.when(a == b, math.log2(KEEPS)).otherwise(math.log2((1 - KEEPS) / 3)))
@@ -161,7 +167,7 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
             F.filter(spans(body, ASSIGN, body.rlike("[:=]")), value).alias("assign"),
             spans(body, ACCESS, F.contains(body, F.lit("AKIA"))).alias("access"),
             spans(body, HEX).alias("hex"),
-            F.filter(spans(body, TOKEN, body.rlike("[0-9+/_]")), lambda s: s["m"].rlike("[0-9+/_]") & s["m"].rlike("[A-Za-z]")).alias("token"),
+            spans(body, TOKEN).alias("token"),
         ),
     )
     known = F.concat(*[F.transform(F.col(f"secrets.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS[:3]])

@@ -105,6 +105,20 @@ def test_random_tokens(make):
     assert not any(got[i] for i in range(40, 45))
 
 
+def test_random_tokens_of_every_encoding(make):
+    rng = random.Random(10)
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex_upper": digit + up[:6], "base32": up + "234567", "base32_lower": low + "234567", "base36": digit + up, "base36_lower": digit + low, "base62": digit + up + low, "letters": up + low}
+    cases = [(name, n) for name in alphabets for n in (20, 32, 40, 64) for _ in range(40)]
+    texts = ["see " + "".join(rng.choice(alphabets[name]) for _ in range(n)) + " end" for name, n in cases]
+    got = {r["doc_id"]: len(r["secrets"]["random"] or []) for r in op2_secrets.find_secrets(make(list(enumerate(texts)))).collect()}
+    found = {case: sum(got[i] for i, c in enumerate(cases) if c == case) for case in set(cases)}
+    assert all(n >= 28 for (name, _), n in found.items() if name != "letters"), found
+    assert all(found["letters", n] >= 20 for n in (20, 32)), found  # longer ones without a digit are too rare under base62
+    words = ["Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "12345678901234567890123", "INTERNATIONALIZATIONSTANDARD", "--------------------------"]
+    assert not any(r["secrets"]["random"] for r in op2_secrets.find_secrets(make(list(enumerate(words)))).collect())
+
+
 def test_empty_tables(make, saved, spark):
     path = saved(documents=make([]))
     assert op10_pii.op10_pii(spark, path).count() == op2_secrets.op2_secrets(spark, path).count() == 0
