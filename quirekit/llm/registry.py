@@ -20,6 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_jaccard": op3_jaccard.ORACLE,
     "op8_substrings": op8_substrings.ORACLE,
-    "op6_katz": op6_katz.op6_katz,
     "op7_reputation": op7_reputation.ORACLE,
 }

@@ -10,6 +10,12 @@ def test_queries_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "pii", "mixing"]
 
 
+def test_checking_sql_is_text():
+    import __spark_entry__ as contract
+
+    assert all(isinstance(sql, str) for sql in contract.oracle_sql().values())
+
+
 def test_stages(make, saved, spark):
     rng = random.Random(2)
     words = {"en": [f"the{chr(97 + i)}th" for i in range(26)], "de": [f"sch{chr(97 + i)}ung" for i in range(26)]}
