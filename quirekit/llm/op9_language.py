@@ -28,7 +28,6 @@ BINS = 1 << 15
 ITERATIONS = 12
 #: Log-likelihood a further language must gain, in units of half the logarithm of the number of words.
 PENALTY = 2.0
-MOST = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -119,7 +118,10 @@ def _infer(raw: np.ndarray, offs: np.ndarray, logp: np.ndarray) -> tuple[np.ndar
     rank = np.argsort(order, axis=1, kind="stable")
     best = np.full(len(live), -np.inf)
     pick, sets = np.zeros((len(live), langs)), np.zeros((len(live), langs), bool)
-    for k in range(1, min(MOST, langs) + 1):
+    for k in range(1, langs + 1):
+        # No likelihood exceeds 1, so no set of k or more can win where its penalty alone costs more than the best (less rounding).
+        if (best > 1e-5 * n[live] - PENALTY * 0.5 * (k - 1) * np.log(n[live] + 1.0)).all():
+            break
         inside = rank < k
         pi = np.where(inside, np.maximum(full, 1e-6), 0)
         pi, fitness = fit((pi / pi.sum(1, keepdims=True)).astype(np.float32), 0 if k == 1 else 2)

@@ -39,6 +39,19 @@ def test_mixtures(make):
     assert got[2]["languages"].split(",")[0].startswith("fr:") and got[2]["score"] > 0.95
 
 
+def test_mixtures_of_many_languages(make):
+    rng = random.Random(12)
+    own = {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(7)}
+    line = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    names, logp = op9_language.trained(make([(i, line(lang := f"l{i % 7}", 60), lang) for i in range(140)]))
+    mixed = [(k, " ".join(line(f"l{j}", 60) for j in range(k))) for k in range(1, 8)]
+    got = {r["doc_id"]: r for r in op9_language.identified(make(mixed), names, logp, ["doc_id"]).collect()}
+    for k in range(1, 8):
+        shares = dict(p.split(":") for p in got[k]["languages"].split(","))
+        assert set(shares) == {f"l{j}" for j in range(k)}, k
+        assert all(abs(float(v) - 1 / k) < 0.02 for v in shares.values())
+
+
 def test_nothing_to_learn(make, saved, spark):
     got = op9_language.op9_language(spark, saved(documents=make([(1, "some words", None)]))).collect()
     assert [r["lang_pred"] for r in got] == ["und"]
