@@ -25,4 +25,5 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(labels)
         labels = after.select("v", "label")
         if not moved:
+            dropped(both)
             return labels

@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning: near-duplicate documents, exactly.
 
 A document is its set of distinct word 5-grams; equal sets are one entity. The global order of n-grams puts rare ones first: a
-count sketch of fixed size gives each n-gram a level, hashes order the rest. The order is cut into FRAGMENTS;
-entities are stored fragment by fragment, partial overlaps of a pair are counted in each fragment and summed.
+count sketch of fixed size gives each n-gram a level, hashes order the rest. The order is cut at quantiles of all occurrences into FRAGMENTS; an
+entity's n-grams are stored fragment by fragment. The sizes of two entities' fragments bound their overlap, which
+prunes pairs; of the others the partial overlaps are counted in each fragment apart and summed.
 
-Candidates come from the first n-grams of each set in the global order (two sets that link must share one). First each n-gram's members meet one member of
-their own and of the next size class, which joins groups of copies by a number of pairs in proportion to their size. Then only
-members that still stand in different components meet, blockwise where an n-gram has many. Size and the Hamming
-distance of parity bitmaps, which never exceeds the sets' difference, discard pairs that can't link before sets are read; the counts decide.
+Candidates share one of the first n-grams of the global order (two sets that link must share one of as many as they may differ in). N-grams
+that the same entities share are one group. Pairs are found in three turns, each followed by the counts and by new components, and none ever
+emits all pairs of a group: first each member proposes the one member of another component, of its own and of the next size class, with
+which it shares most groups; then a group's members in different components meet, blockwise where it is large, and give a forest of the
+nearest pairs; last, all pairs that still stand in different components. Size and the Hamming distance of
+parity bitmaps, which never exceeds the sets' difference, discard pairs that can't link before sets are read; the counts decide.
 
 Two sets link where 100 * intersection >= 80 * union. 64-bit hashes stand for n-grams and sets.
 
@@ -17,21 +20,23 @@ n-gram; a component's id is the least doc_id in it, null ids aside; repeated row
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, dropped, table, tuned, written
+from .common import WORD, buckets, dropped, table, tuned, written
 from .components import components
 from .shingles import shingle_sets, signatures
-from .words import sliced
+from .words import mix, sliced
 
 SHINGLE = 5
-#: Logarithm of the cells of the sketch (4 MB of levels), least bits of a bitmap, fragments of the order, entities of an n-gram that meet in one task,
-#: logarithm of the bits of a screen (8 MB).
-CELLS, BITS, FRAGMENTS, MEET, SCREEN = 22, 1024, 8, 2048, 26
+#: Logarithm of the cells of the sketch (4 MB of levels), least bits of a bitmap, fragments of the order, entities of a group that meet in one task,
+#: logarithm of the bits of a screen (8 MB), partners of an entity that are verified in one group.
+CELLS, BITS, FRAGMENTS, MEET, SCREEN, BLOCK = 22, 1024, 4, 2048, 26, 256
 #: Most bits of a bitmap.
 MOST_BITS = 1 << 20
 _U = np.uint64
@@ -96,13 +101,18 @@ def _sum_cells(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "cells": [total.tobytes()]})
 
 
-def _levels(slices: list) -> np.ndarray:
-    """Level of each cell: 0 for counts that chance explains, else the logarithm of the excess."""
+def _order(slices: list) -> tuple[np.ndarray, np.ndarray]:
+    """Level of each cell: 0 for counts that chance explains, else the logarithm of the excess; and the places that cut the global
+    order into FRAGMENTS of as many occurrences."""
     count = np.zeros(1 << CELLS, np.int64)
     for row in slices:
         count[row["slice"] << (CELLS - 4) : (row["slice"] + 1) << (CELLS - 4)] = np.frombuffer(row["cells"], np.int64)
     mean = count.mean()
-    return np.where(count <= mean + 4 * np.sqrt(mean) + 4, 0, np.ceil(np.log2(np.maximum(count - mean, 1)))).astype(np.uint8)
+    levels = np.where(count <= mean + 4 * np.sqrt(mean) + 4, 0, np.ceil(np.log2(np.maximum(count - mean, 1)))).astype(np.uint8)
+    cells = np.argsort(levels, kind="stable")
+    cut = np.searchsorted(np.cumsum(count[cells]), count.sum() * np.arange(1, FRAGMENTS) // FRAGMENTS)
+    cell = cells[np.minimum(cut, len(cells) - 1)]
+    return levels, (levels[cell].astype(_U) << _U(58)) | (cell.astype(_U) << _U(58 - CELLS))
 
 
 def _keys(sets: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -125,7 +135,7 @@ def _prefixes(shared, n_buckets: int, shingle: int):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "sigs"])
 
     def run(batches):
-        levels = shared.value
+        levels, _ = shared.value
         held, size, seen = [], 0, set()
         for batch in batches:
             for part in sliced(batch, 2 << 20):
@@ -158,10 +168,11 @@ def _prefixes(shared, n_buckets: int, shingle: int):
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Entries of a bucket whose n-gram two entities have."""
+    """Entries of a bucket whose n-gram two entities have: rare n-grams as ``whole`` groups, named by their members, others by n-gram."""
     keys = np.concatenate([np.frombuffer(x, _U) for x in rows["keys"]])
     sigs = np.concatenate([np.frombuffer(x, _U) for x in rows["sigs"]])
-    if rows["bucket"].iloc[0] >= 0:
+    whole = bool(rows["bucket"].iloc[0] >= 0)
+    if whole:
         order = np.lexsort((sigs, keys))
         keys, sigs = keys[order], sigs[order]
         new = np.ones(len(keys), bool)
@@ -171,38 +182,88 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         same[1:-1] = keys[1:] == keys[:-1]
         live = same[:-1] | same[1:]
         keys, sigs = keys[live], sigs[live]
-    return pd.DataFrame({"key": keys.view(_I), "sig": sigs.view(_I)})
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, _I)
+        if len(first):
+            m = np.diff(np.r_[first, len(keys)])
+            keys = np.repeat(mix(np.bitwise_xor.reduceat(mix(sigs), first) + m.astype(_U)), m)
+    out = pd.DataFrame({"key": keys.view(_I), "sig": sigs.view(_I)}).drop_duplicates()
+    return out.assign(whole=whole)
+
+
+def _groups(blobs: DataFrame) -> DataFrame:
+    """(g, sig): members of the groups of entities that share one of their first n-grams; n-grams of the same members are one group."""
+    shared = written(blobs.groupBy("bucket").applyInPandas(_shared, "key long, sig long, whole boolean"), "shared")
+    many = shared.filter("not whole").select("key", "sig").distinct()
+    lists = many.groupBy("key").agg(F.bit_xor(F.xxhash64("sig")).alias("x"), F.count("*").alias("m")).filter("m > 1")
+    named = many.join(lists, "key").select(F.xxhash64("x", "m").alias("g"), "sig")
+    out = written(shared.filter("whole").select(F.col("key").alias("g"), "sig").unionByName(named).distinct(), "members")
+    dropped(shared)
+    return out
+
+
+def _forest(apart: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Pairs, the nearest first, that join what those before leave apart."""
+    parent = np.arange(int(ends.max()) + 1).tolist() if len(ends) else []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    pairs = ends.tolist()
+    for k in np.argsort(apart, kind="stable").tolist():
+        x, y = root(pairs[k][0]), root(pairs[k][1])
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return out
 
 
-def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one n-gram's members in different components that size and bitmaps allow to link."""
-    rows = rows.sort_values(["key", "low", "high"], kind="stable")
-    key, low, high = (rows[c].to_numpy() for c in ("key", "low", "high"))
+def _meet(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
+    """Pairs of one group's members in different components that size and bitmaps allow to link; of these all, or a forest of the
+    nearest: fewer pairs than members."""
+    rows = rows.sort_values(["g", "low", "high", "n"], kind="stable")
+    key, low, high = (rows[c].to_numpy() for c in ("g", "low", "high"))
     sig, n, label, chunk = (rows[c].to_numpy() for c in ("sig", "n", "label", "chunk"))
     whole = rows["bits"].tolist()
     bits = np.stack([_folded(x, BITS // 64) for x in whole])
     n = n.astype(_I)
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    end = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
-    left = end - np.arange(len(key)) - 1
+    group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    node = np.unique(np.stack([group, label], 1), axis=0, return_inverse=True)[1].ravel() if forest else None
+    # Members of a group stand by size: those that are not too large for one follow it.
+    base = group.astype(_I) << 40
+    left = np.searchsorted(base + n, base + 5 * n // 4, "right") - np.arange(len(key)) - 1
     total = np.r_[0, np.cumsum(left)]
-    found, i = [np.zeros((0, 2), _I)], 0
+    found, i = [np.zeros((0, 3), _I)], 0
+
+    def thin(pairs: np.ndarray) -> np.ndarray:
+        x, y = pairs[:, 0], pairs[:, 1]
+        return pairs[_forest(pairs[:, 2] / (n[x] + n[y]), np.stack([node[x], node[y]], 1))]
+
     while i < len(key):
         j = max(i + 1, int(np.searchsorted(total, total[i] + 200_000, "right")) - 1)
         m = left[i:j]
         a = np.repeat(np.arange(i, j), m)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-        fine = (label[a] != label[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & ((low[a] == high[a]) | (chunk[a] != chunk[b]))
+        fine = (label[a] != label[b]) & ((low[a] == high[a]) | (chunk[a] != chunk[b]))
         a, b = a[fine], b[fine]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(_I)
         fine = np.flatnonzero(9 * apart <= n[a] + n[b])
+        a, b, apart = a[fine], b[fine], apart[fine]
         # Bitmaps of large sets are longer than what was compared so far.
-        fine = [k for k in fine.tolist() if len(whole[a[k]]) * 8 == BITS or 9 * _distance(whole[a[k]], whole[b[k]]) <= n[a[k]] + n[b[k]]]
-        if fine:
-            x, y = sig[a[fine]], sig[b[fine]]
-            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+        for k in np.flatnonzero(np.minimum(n[a], n[b]) >= BITS).tolist():
+            apart[k] = _distance(whole[a[k]], whole[b[k]])
+        fine = 9 * apart <= n[a] + n[b]
+        if fine.any():
+            pairs = np.stack([a[fine], b[fine], apart[fine]], 1)
+            found.append(thin(pairs) if forest else pairs)
         i = j
-    out = np.unique(np.concatenate(found), axis=0)
+    every = np.concatenate(found)
+    if forest and len(every):
+        every = thin(every)
+    x, y = sig[every[:, 0]], sig[every[:, 1]]
+    out = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
@@ -212,40 +273,53 @@ def _apart(x: pd.Series, y: pd.Series) -> pd.Series:
 
 def _screen(uids: DataFrame) -> np.ndarray:
     """One bit for each of 2**SCREEN slots that some uid falls in: of fixed size, it only saves reading the other texts."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << (SCREEN - 6), np.uint8)
-        own[rows["slot"].to_numpy() & ((1 << (SCREEN - 6)) - 1)] = 1
-        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "bits": [np.packbits(own).tobytes()]})
-
-    slots = uids.select(F.pmod("uid", F.lit(1 << SCREEN)).alias("slot")).withColumn("slice", F.shiftright("slot", SCREEN - 6))
-    out = np.zeros((64, 1 << (SCREEN - 9)), np.uint8)
-    for row in slots.distinct().groupBy("slice").applyInPandas(pack, "slice long, bits binary").collect():
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    slot = F.pmod("uid", F.lit(1 << SCREEN)) + 1
+    rows = uids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # at most 2**SCREEN bits
+    out = np.zeros((1 << SCREEN - 15, 1 << 12), np.uint8)
+    for row in rows:
+        out[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
 
-def _fragments(shared, shingle: int):
+def _fragments(screened, ordered, shingle: int):
     def run(batches):
-        screen = shared.value
+        screen, (levels, pivots) = screened.value, ordered.value
         for whole in batches:
             slot = np.mod(whole.column(0).to_numpy(zero_copy_only=False), 1 << SCREEN)
-            keep = (screen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+            keep = (screen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
             if not keep.any():
                 continue
             batch = whole.filter(pa.array(keep.astype(bool)))
             for part in sliced(batch, 2 << 20):
                 sets, offs = shingle_sets(part, shingle)
                 sig = signatures(sets, offs).view(_I)
-                which = (sets >> _U(61)).astype(_I)  # of FRAGMENTS = 8
                 owner = np.repeat(np.arange(len(sig)), np.diff(offs))
-                cut = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])]) if len(sets) else np.zeros(0, _I)
-                grams = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(sets)].astype(np.int32)), pa.array(sets.view(_I)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[owner[cut]]), pa.array(which[cut].astype(np.int32)), grams], ["sig", "fragment", "grams"])
+                which = owner * FRAGMENTS + np.searchsorted(pivots, _keys(sets, levels), "right")
+                order = np.argsort(which, kind="stable")  # hashes stay sorted in each fragment
+                which, sets = which[order], sets[order]
+                cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(sets) else np.zeros(0, _I)
+                grams = [sets[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(sets)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[which[cut] // FRAGMENTS]), pa.array((which[cut] % FRAGMENTS).astype(np.int32)), pa.array(grams, pa.binary())], ["sig", "fragment", "grams"])
 
     return run
 
 
+def _overlaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """Partial overlaps of the partners ``b`` with the ``a`` of their block, in one fragment."""
+    out = []
+    for (a, _, _), own in rows.groupby(["a", "block", "fragment"], sort=False):
+        lone = (own["b"] == a).to_numpy()  # the set itself
+        if not lone.any() or lone.all():
+            continue
+        one = np.frombuffer(own["grams"][lone].iloc[0], _U)
+        for b, body in zip(own["b"][~lone], own["grams"][~lone], strict=True):
+            two = np.frombuffer(body, _U)
+            short, long = (one, two) if len(one) < len(two) else (two, one)
+            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+            out.append((a, b, int((long[at] == short).sum())))
+    return pd.DataFrame(out, columns=["a", "b", "part"]).astype(_I)
+
+
 def _near(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b) of the pairs whose sizes and bitmaps allow a link."""
     apart = F.pandas_udf(_apart, "int")
@@ -254,21 +328,67 @@ def _near(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return sized.filter(9 * apart("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
 
 
-def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, ordered, shingle: int, parts: int) -> DataFrame:
     """(a, b) of the pairs that link: overlaps counted in each fragment, summed. Only sets of these pairs are made, texts never shuffle."""
     needed = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     needed = needed.join(entities.select("sig", F.col("least.uid").alias("uid")), "sig").select("uid")
     screen = keyed.sparkSession.sparkContext.broadcast(_screen(needed))
-    found = keyed.select("uid", "text").mapInArrow(_fragments(screen, shingle), "sig long, fragment int, grams array<long>")
+    found = keyed.select("uid", "text").mapInArrow(_fragments(screen, ordered, shingle), "sig long, fragment int, grams binary")
     fragments = written(found.groupBy("sig", "fragment").agg(F.first("grams").alias("grams")), "fragments")
-    first = fragments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    second = fragments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    parts = near.join(first, "a").join(second, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-    return parts.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter("9 * both >= 4 * (n_a + n_b)").select("a", "b")
+    # No two sets share more of a fragment than the smaller one has of it.
+    size = lambda k: F.coalesce(F.max(F.when(F.col("fragment") == k, F.length("grams") / 8)), F.lit(0))
+    sizes = fragments.groupBy("sig").agg(F.array(*[size(k) for k in range(FRAGMENTS)]).alias("sizes"))
+    of = lambda x: sizes.select(F.col("sig").alias(x), F.col("sizes").alias(f"sizes_{x}"))
+    bound = F.aggregate(F.zip_with("sizes_a", "sizes_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda t, x: t + x)
+    pairs = near.join(of("a"), "a").join(of("b"), "b").filter(9 * bound >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+    # A set that many pairs have meets its partners in blocks; each partner's fragments travel once a pair.
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    pairs = written(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks"), "pairs")
+    ones = pairs.select("a", "block").distinct().join(fragments.withColumnRenamed("sig", "a"), "a").withColumn("b", F.col("a"))
+    twos = pairs.select("a", "block", "b").join(fragments.withColumnRenamed("sig", "b"), "b")
+    both = ones.unionByName(twos).withColumn("part", F.pmod(F.xxhash64("a", "block", "fragment"), F.lit(parts)))
+    counted = both.groupBy("part").applyInPandas(_overlaps, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
+    links = written(counted.join(pairs, ["a", "b"]).filter("9 * both >= 4 * (n_a + n_b)").select("a", "b"), "links")
+    for done in (fragments, pairs):
+        dropped(done)
+    return links
+
+
+def _proposed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of each entity and the member of another component, of its own and of the next size class, with which it shares most groups."""
+    rows = members.join(nodes, "sig").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))))
+    rank = F.xxhash64(F.pmod("g", F.lit(4)), "label")
+    one = F.struct(rank.alias("rank"), "label", "sig")
+    # Two members of different components, if the group has such: whoever belongs to the one's component meets the other.
+    hubs = written(rows.groupBy("g", "class").agg(F.min(one).alias("low"), F.max(one).alias("high")), "hubs")
+    steps = rows.select("g", "sig", "label", F.posexplode(F.array(F.col("class"), F.col("class") + 1)).alias("step", "class")).join(hubs, ["g", "class"])
+    other = F.when(F.col("label") == F.col("low.label"), F.col("high")).otherwise(F.col("low"))
+    met = steps.withColumn("hub", other).filter("hub.label <> label").groupBy("step", "sig", F.col("hub.sig").alias("hub")).agg(F.count("*").alias("m"))
+    best = met.groupBy("step", "sig").agg(F.max(F.struct("m", "hub")).alias("best"))
+    out = written(best.select(F.least("sig", "best.hub").alias("b"), F.greatest("sig", "best.hub").alias("a")).distinct(), "proposed")
+    dropped(hubs)
+    return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def _sized(entities: DataFrame, name: str) -> DataFrame:
+    return entities.select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"))
+
+
+def _met(members: DataFrame, nodes: DataFrame, entities: DataFrame, parts: int, forest: bool) -> DataFrame:
+    """(a, b) of the pairs in different components that share a group and may link, or of forests of such."""
+    label = members.join(nodes, "sig")
+    mixed = label.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", F.ceil(F.col("m") / MEET).cast("int").alias("chunks"))
+    left = label.join(mixed, "g").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    left = left.join(entities.select("sig", "bits"), "sig")
+    block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("low"), F.greatest("chunk", j).alias("high")))
+    left = left.withColumn("block", F.explode(block)).select("g", "sig", "n", "label", "chunk", "bits", "block.low", "block.high")
+    parted = left.withColumn("part", F.pmod(F.xxhash64("g", "low", "high"), F.lit(parts)))
+    return written(parted.groupBy("part").applyInPandas(lambda rows: _meet(rows, forest), "a long, b long").distinct(), "met")
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, uid, n, component, chosen) of every document: uid names its id and text, component is its component's id (null for
+    texts without words), chosen the uid of the one document that stands for the component."""
     spark = docs.sparkSession
     tuned(spark)
     kind = dict(docs.dtypes)["doc_id"]
@@ -278,51 +398,51 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     slim = both.filter(F.col("slice").isNull())
     # The sketch has 2**CELLS counts, whatever the size of the corpus: 16 slices of 2 MB, summed by slice.
     slices = both.filter(F.col("slice").isNotNull()).select("slice", "cells").groupBy("slice").applyInPandas(_sum_cells, "slice int, cells binary").collect()
-    levels = spark.sparkContext.broadcast(_levels(slices))
+    ordered = spark.sparkContext.broadcast(_order(slices))
     entities = written(slim.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
-    blobs = keyed.select("uid", "text").mapInArrow(_prefixes(levels, n_buckets, shingle), "bucket long, keys binary, sigs binary")
-    members = written(blobs.groupBy("bucket").applyInPandas(_shared, "key long, sig long"), "members")
-    # Round one: each member with one member of its own and of the next size class of the n-gram.
-    classed = members.join(entities.select("sig", "n"), "sig").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))))
-    hubs = classed.groupBy("key", "class").agg(F.min("sig").alias("hub"))
-    steps = classed.select("key", "sig", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    met = steps.join(hubs, ["key", "class"]).filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-    links = written(_verified(written(_near(met, entities), "near"), entities, keyed, shingle), "links")
-    labels = written(components(links), "labels-one")
-
-    # Round two: members still in different components.
-    label = members.join(labels, F.col("sig") == F.col("v"), "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
-    mixed = label.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("chunks"))
-    left = label.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
-    left = left.join(entities.select("sig", "n", "bits"), "sig")
-    block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("low"), F.greatest("chunk", j).alias("high")))
-    left = left.withColumn("block", F.explode(block)).select("key", "sig", "n", "label", "chunk", "bits", "block.low", "block.high")
-    parted = left.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets * 4)))
-    rest = parted.groupBy("part").applyInPandas(_meet, "a long, b long").distinct()
-    sizes = lambda x: entities.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"))
-    near = written(rest.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "n_a", "n_b"), "near")
-    more = written(_verified(near, entities, keyed, shingle).unionByName(links), "links-all")
-    final = components(more)
-
-    names = entities.join(final, F.col("sig") == F.col("v"), "left").select("sig", F.coalesce("label", "sig").alias("label"), F.col("least.doc_id").alias("least"))
-    least = names.groupBy("label").agg(F.min("least").alias("component"))
-    named = written(names.select("sig", "label").join(least, "label").select("sig", "component"), "components")
-    for done in (members, links, entities):
+    members = _groups(keyed.select("uid", "text").mapInArrow(_prefixes(ordered, n_buckets, shingle), "bucket long, keys binary, sigs binary"))
+    links, labels = [], None
+
+    def nodes() -> DataFrame:
+        own = entities.select("sig", "n")
+        return own.withColumn("label", F.col("sig")) if labels is None else own.join(labels, F.col("sig") == F.col("v"), "left").select("sig", "n", F.coalesce("label", "sig").alias("label"))
+
+    for turn in range(3):
+        met = _met(members, nodes(), entities, n_buckets * 4, turn == 1) if turn else _proposed(members, nodes())
+        near = met.join(_sized(entities, "a"), "a").join(_sized(entities, "b"), "b").select("a", "b", "n_a", "n_b") if turn else _near(met, entities)
+        near = written(near, "near")
+        if some := not near.isEmpty():
+            links.append(_verified(near, entities, keyed, ordered, shingle, n_buckets * FRAGMENTS))
+            before, labels = labels, components(reduce(DataFrame.unionByName, links))
+        for done in [near, met, *([before] if some and before is not None else [])]:
+            dropped(done)
+        if turn == 1 and not some:
+            break  # no two members of a group that stand apart may link
+
+    names = entities.select("sig", "least").join(nodes().select("sig", "label"), "sig")
+    least = names.groupBy("label").agg(F.min("least").alias("one"))
+    named = written(names.select("sig", "label").join(least, "label").select("sig", F.col("one.doc_id").alias("component"), F.col("one.uid").alias("chosen")), "components")
+    for done in [members, entities, *links, *([labels] if links else [])]:
         dropped(done)
-    out = slim.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return slim.select("doc_id", "uid", "n", "sig").join(named, "sig", "left").select("doc_id", "uid", "n", "component", "chosen")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return near_components(docs, shingle).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: one of the rows with its least doc_id. Rows without doc_id stay.
-
-    The row is picked by its text's hash; rows of equal id and text count as one."""
-    found = near_duplicates(docs, shingle).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    kept = found.filter(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("doc_id")).distinct()
-    rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    order = [F.xxhash64("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]]
-    one = rows.withColumn("__quirekit_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("__quirekit_rank = 1").drop("__quirekit_rank")
-    return one.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each component: that of the least doc_id (of equal ids the one of the least hash; rows without an id only where all are).
+
+    Rows of equal id and text count as one; rows without words stay, each."""
+    found = near_components(docs, shingle).filter("n > 0 and chosen = uid").select(F.col("uid").alias("__quirekit_uid")).distinct()
+    keyed = docs.withColumn("__quirekit_uid", F.xxhash64("doc_id", "text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.row_number().over(Window.partitionBy("__quirekit_uid").orderBy(*order) if order else Window.partitionBy("__quirekit_uid").orderBy("doc_id"))
+    one = keyed.filter(worded).join(found, "__quirekit_uid", "left_semi").withColumn("__quirekit_rank", rank).filter("__quirekit_rank = 1")
+    return one.drop("__quirekit_rank", "__quirekit_uid").unionByName(docs.filter(~worded))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
