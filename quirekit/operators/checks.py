@@ -49,15 +49,20 @@ def carried_over(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFram
     return now.join(had, keys, "left")
 
 
+def taken(record_status: Column, translated: Column) -> Column:
+    """Whether a rebuild takes a segment's result."""
+    return F.coalesce(record_status.isin(*DONE) & translated.isNotNull(), F.lit(False))
+
+
 def value_of(record_status: Column, translated: Column, source: Column) -> Column:
     """Text that a rebuild puts in a segment's place."""
-    return F.when(record_status.isin(*DONE) & translated.isNotNull(), translated).otherwise(source)
+    return F.when(taken(record_status, translated), translated).otherwise(source)
 
 
-def rebuilt(units: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """(key, text): each document's units joined in order, with what stands between them."""
+def rebuilt(units: DataFrame, key: str, value: str = "value", *more: Column) -> DataFrame:
+    """(key, text, ...): each document's units joined in order, with what stands between them; ``more`` are further sums of a document."""
     parts = F.sort_array(F.collect_list(F.struct("order", F.col(value).alias("v"), F.col("joiner").alias("j"))))
-    return units.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: F.concat(p["v"], p["j"])), "").alias("text"))
+    return units.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: F.concat(p["v"], p["j"])), "").alias("text"), *more)
 
 
 def slots(parts: DataFrame, keys: list[str], value: str = "source_text") -> DataFrame:

@@ -62,14 +62,17 @@ def planned(segments: DataFrame, selected: DataFrame | None = None, existing: Da
 
     No selection table means all, an empty one none. Done results win over everything; other existing ones stay where their
     segment isn't selected."""
-    out = segments.withColumn("chosen", F.lit(True)) if selected is None else None
-    if out is None:
+    if selected is None:
+        out = segments.withColumn("chosen", F.lit(True))
+    else:
         marks = selected.select("segment_id").distinct().withColumn("chosen", F.lit(True))
         out = segments.join(marks, "segment_id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     if existing is None:
         out = out.withColumn("kept_status", F.lit(None).cast("string")).withColumn("kept_text", F.lit(None).cast("string"))
     else:
-        had = existing.select("segment_id", F.col("status").alias("kept_status"), F.col("translated_text").alias("kept_text"))
+        # One result an id: done ones first, else the last by status and text.
+        rank = F.struct(F.col("status").isin(*DONE).alias("done"), "status", "translated_text")
+        had = existing.groupBy("segment_id").agg(F.max(rank).alias("kept")).select("segment_id", F.col("kept.status").alias("kept_status"), F.col("kept.translated_text").alias("kept_text"))
         out = out.join(had, "segment_id", "left")
     keep = F.col("kept_status").isin(*DONE) | (F.col("kept_status").isNotNull() & ~F.col("chosen"))
     return out.withColumn("action", F.when(F.coalesce(keep, F.lit(False)), "keep").when(F.col("chosen"), "work").otherwise(SOURCE))
@@ -114,25 +117,53 @@ def executed(work: DataFrame, factory: Callable[[], object], options: dict | Non
     return work.select("segment_id", "source_text").mapInPandas(run, schema)
 
 
+def repeated_ids(segments: DataFrame, document: str | None = None) -> DataFrame:
+    """(document, segment_id, n) of ids that several rows of one document have. Equal documents have equal ids, each once."""
+    by = [document, "segment_id"] if document else ["segment_id"]
+    return segments.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def translated(segments: DataFrame, factory: Callable[[], object] = MockProvider, selected: DataFrame | None = None, existing: DataFrame | None = None, options: dict | None = None, sleep: bool = True) -> DataFrame:
-    """Records of all segments: kept, produced or passed through. Only work reaches the provider."""
+    """Records of all segments: kept, produced or passed through. Only work reaches the provider, each distinct id once; rows of equal ids
+    (those of equal documents) share its result, so there are as many records as segments.
+
+    The frame is lazy, and every action on it asks the provider anew: write it before reading it twice."""
     if selected is not None:
         require_known(selected, segments, "selected")
     if existing is not None:
         require_known(existing, segments, "existing")
     plan = planned(segments, selected, existing)
-    made = executed(plan.filter(F.col("action") == "work"), factory, options, sleep=sleep)
-    passed = plan.filter(F.col("action") != "work").select(
-        "segment_id",
-        F.when(F.col("action") == "keep", F.col("kept_status")).otherwise(SOURCE).alias("status"),
-        F.col("kept_text").alias("translated_text"),
-        F.when((F.col("action") == "keep") & (F.col("kept_status") == MANUAL), "caller").alias("provider_id"),
-        F.lit(None).cast("string").alias("model"),
-        F.lit(0).alias("attempts"),
-        F.create_map().cast("map<string,bigint>").alias("usage"),
-        F.lit(None).cast(ERROR).alias("error"),
+    work = plan.filter(F.col("action") == "work").dropDuplicates(["segment_id"])
+    made = executed(work, factory, options, sleep=sleep)
+    made = made.select("segment_id", F.struct(*[c for c in made.columns if c != "segment_id"]).alias("made"))
+    working, keeping = F.col("action") == "work", F.col("action") == "keep"
+    new = lambda c: F.when(working, F.col(f"made.{c}"))
+    return plan.join(made, "segment_id", "left").select(
+        *[c for c in plan.columns if c not in ("kept_status", "kept_text")],
+        new("status").when(keeping, F.col("kept_status")).otherwise(SOURCE).alias("status"),
+        new("translated_text").otherwise(F.col("kept_text")).alias("translated_text"),
+        new("provider_id").when(keeping & (F.col("kept_status") == MANUAL), "caller").alias("provider_id"),
+        new("model").alias("model"),
+        new("attempts").otherwise(0).alias("attempts"),
+        new("usage").otherwise(F.create_map().cast("map<string,bigint>")).alias("usage"),
+        new("error").alias("error"),
+    )
+
+
+def rejected(segments: DataFrame, translations: DataFrame) -> DataFrame:
+    """(segment_id, code) of translations that must not be built in: of unknown segments, of another source or policy, or without a text.
+
+    ``translations`` has segment_id, status, translated_text, source_hash and translation_input_hash; an empty source hash isn't compared."""
+    own = segments.select("segment_id", F.col("source_hash").alias("own_hash"), F.col("translation_input_hash").alias("own_input")).dropDuplicates(["segment_id"])
+    both = translations.join(own, "segment_id", "left")
+    done = F.col("status").isin(*DONE)
+    code = (
+        F.when(F.col("own_hash").isNull(), "SEGMENT_NOT_FOUND")
+        .when(done & (F.coalesce("source_hash", F.lit("")) != "") & (F.col("source_hash") != F.col("own_hash")), "SOURCE_MISMATCH")
+        .when((F.col("status") == SUCCEEDED) & ~F.col("translation_input_hash").eqNullSafe(F.col("own_input")), "SOURCE_MISMATCH")
+        .when(done & F.col("translated_text").isNull(), "INVALID_FORMAT")
     )
-    return plan.drop("kept_status", "kept_text").join(made.unionByName(passed), "segment_id")
+    return both.withColumn("code", code).filter("code is not null").select("segment_id", "code")
 
 
 def batch_status(status: str = "status") -> Column:

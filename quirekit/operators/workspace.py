@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as fx
-from ..schemas import MAX_SEGMENT
-from ..sources import archives, epub, files
+from ..schemas import DONE, MAX_SEGMENT
+from ..session import written
+from ..sources import archives, epub, files, sinks
 from . import checks, segment, translate
 
 
@@ -23,24 +24,65 @@ def inspect_documents(spark: SparkSession, path: str, pattern: str | None = None
 
 
 def extract_segments(documents: DataFrame, options: dict | None = None, limit: int = MAX_SEGMENT) -> DataFrame:
-    """Units of decoded texts (source_sha256, text), numbered by order."""
-    return segment.segment_texts(documents.filter("error is null").select(F.col("source_sha256").alias("key"), "text"), "key", options, limit)
+    """Units of decoded texts, numbered by order. ``key`` names the document: its path, where there is one, so that equal files stay apart."""
+    key = "path" if "path" in documents.columns else "source_sha256"
+    return segment.segment_texts(documents.filter("error is null").select(F.col(key).alias("key"), "text"), "key", options, limit)
 
 
-def translate_segments(segments: DataFrame, factory: Callable[[], object] = translate.MockProvider, selected: DataFrame | None = None, existing: DataFrame | None = None, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records of all segments, and the status of the selected ones by source."""
-    records = translate.translated(segments, factory, selected, existing, options)
+def _refuse(wrong: DataFrame, code: str, what: str) -> None:
+    found = wrong.limit(5).collect()
+    if found:
+        raise ValueError(f"{code}: {what}: {[tuple(r) for r in found]}")
+
+
+def translate_segments(segments: DataFrame, factory: Callable[[], object] = translate.MockProvider, selected: DataFrame | None = None, existing: DataFrame | None = None, options: dict | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records of all segments, and the status of the selected ones by document.
+
+    The records are written (to ``folder``, else the shared one) before anything reads them, so a provider is asked once a distinct id however
+    often the records, the status or a rebuild are used."""
+    _refuse(translate.repeated_ids(segments, "key"), "INVALID_FORMAT", "ids must be unique in a document")
+    records = written(translate.translated(segments, factory, selected, existing, options), "records", folder)
     work = records.filter("chosen")
     status = work.groupBy("key").agg(translate.batch_status().alias("status"), F.count("*").alias("selected"), F.count_if(F.col("action") == "work").alias("worked"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("order"))).alias("first_error"))
     return records, status.withColumn("status", F.when(F.col("worked") == 0, "noop").otherwise(F.col("status")))
 
 
-def rebuild_documents(records: DataFrame) -> DataFrame:
-    """(key, text, source_sha256, translated, preserved): texts with done units replaced."""
+def changed_sources(manifest: DataFrame, documents: DataFrame, key: str = "path") -> DataFrame:
+    """(key, difference) of sources that aren't those of the manifest: missing, or of another checksum or size."""
+    had = manifest.select(key, F.col("source_sha256").alias("had_sha"), F.col("source_size").alias("had_size"))
+    now = documents.select(key, "source_sha256", "source_size")
+    both = had.join(now, key, "left")
+    what = F.when(F.col("source_sha256").isNull(), "missing").when((F.col("source_sha256") != F.col("had_sha")) | (F.col("source_size") != F.col("had_size")), "changed")
+    return both.withColumn("difference", what).filter("difference is not null").select(key, "difference")
+
+
+def rebuild_documents(records: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """(key, text, translated, preserved, output_sha256): texts with done units replaced, in one shuffle by document.
+
+    A unit counts as translated where its value is a result, even one equal to the source. With ``segments``, the units as they are now, records
+    of other sources or policies, or done without a text, are refused."""
+    if segments is not None:
+        _refuse(translate.rejected(segments, records.filter(F.col("status").isin(*DONE))), "SOURCE_MISMATCH", "records don't fit the segments")
+    taken = F.count_if(checks.taken(F.col("status"), F.col("translated_text")))
     valued = records.withColumn("value", checks.value_of(F.col("status"), F.col("translated_text"), F.col("source_text")))
-    done = F.count_if(F.col("value") != F.col("source_text"))
-    counts = records.withColumn("value", checks.value_of(F.col("status"), F.col("translated_text"), F.col("source_text"))).groupBy("key").agg(done.alias("translated"), (F.count("*") - done).alias("preserved"))
-    return checks.rebuilt(valued, "key").join(counts, "key").withColumn("output_sha256", ids.sha_text(F.col("text")))
+    out = checks.rebuilt(valued, "key", "value", taken.alias("translated"), (F.count("*") - taken).alias("preserved"))
+    return out.withColumn("output_sha256", ids.sha_text(F.col("text")))
+
+
+def translate_documents(spark: SparkSession, path: str, target: str, factory: Callable[[], object] = translate.MockProvider, options: dict | None = None, pattern: str | None = None, selected: DataFrame | None = None, existing: DataFrame | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
+    """Text files from source to result in one call: inspected, segmented, translated, rebuilt and written to the table ``target``.
+
+    Returns the manifest, the segments, the records, the status by document and what was built. Bad files stay in the manifest with their error.
+    The sources are read again before the result is written: a file that changed meanwhile is refused."""
+    sinks.require_apart(path, target)
+    found = inspect_documents(spark, path, pattern)
+    manifest = written(found, "manifest")
+    segments = extract_segments(manifest.filter("source_format = 'txt'"), options)
+    records, status = translate_segments(segments, factory, selected, existing, options)
+    now = files.read_files(spark, path, pattern)
+    _refuse(changed_sources(manifest, now), "SOURCE_MISMATCH", "sources changed")
+    sinks.write_table(rebuild_documents(records, segments), target, overwrite)
+    return {"manifest": manifest, "segments": segments, "records": records, "status": status, "built": spark.read.parquet(target)}
 
 
 def translate_pages(pages: DataFrame, factory: Callable[[], object], options: dict | None = None) -> DataFrame:

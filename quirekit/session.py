@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -23,3 +24,22 @@ def shipped(spark: SparkSession) -> None:
             out.write(file, f"{_ROOT.name}/{file.relative_to(_ROOT)}")
     context.addPyFile(path)
     context._quirekit_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master gets a temporary one where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="quirekit-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, or in ``folder``: cuts lineage, survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import checks, segment, translate
+from ..operators import segment, translate
 
 SCHEMA = "doc_key string, text string"
 
@@ -21,7 +21,7 @@ def watch(spark: SparkSession, source: str, records: str, checkpoint: str, facto
 
     def batch(rows: DataFrame, number: int) -> None:
         units = segment.segment_texts(rows, "doc_key", policy)
-        made = translate.executed(units, factory, policy)
+        made = translate.executed(units.dropDuplicates(["segment_id"]), factory, policy)  # equal texts share ids: one call, many records
         units.join(made, "segment_id").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{records}/batch={number}")
 
     writer = spark.readStream.schema(SCHEMA).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -35,6 +35,3 @@ def progress_events(records: DataFrame) -> DataFrame:
     done = Window.partitionBy("doc_key").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     return records.select("doc_key", "order", F.upper("status").alias("event"), F.count("*").over(done).alias("completed"))
 
-
-def findings_stream(records: DataFrame) -> DataFrame:
-    return checks.findings(records)

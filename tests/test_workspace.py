@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirekit.operators import jobs, workspace
+from quirekit.operators import jobs, translate, workspace
 from quirekit.schemas import PIPELINES
 from quirekit.sources import archives
 from quirekit.streaming import watch
@@ -23,6 +23,64 @@ def test_text_files_end_to_end(spark, tmp_path):
     assert {r["status"] for r in again.collect()} == {"noop"}
 
 
+def test_copies_keep_their_own_records(spark, tmp_path):
+    folder, log = tmp_path / "in", str(tmp_path / "calls")
+    folder.mkdir()
+
+    class Counting:
+        """Notes its calls in a file and answers some texts with themselves."""
+
+        id = "counting"
+
+        def translate(self, text, options):
+            with open(log, "a") as out:
+                out.write(text + "\n")
+            return {"text": text if text == "same" else f"T {text}"}
+
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (folder / name).write_bytes(b"Para a.\n\nPara b.\n\nsame" if name != "c.txt" else b"Para c.")
+    segs = workspace.extract_segments(workspace.inspect_documents(spark, str(folder)))
+    assert segs.count() == 7 and translate.repeated_ids(segs, "key").count() == 0 and translate.repeated_ids(segs).count() == 3
+    records, status = workspace.translate_segments(segs, Counting)
+    assert records.count() == 7
+    built = {r["key"].rsplit("/", 1)[1]: (r["text"], r["translated"], r["preserved"]) for r in workspace.rebuild_documents(records, segs).collect()}
+    whole = ("T Para a.\n\nT Para b.\n\nsame", 3, 0)  # a result equal to its source is a result
+    assert built == {"a.txt": whole, "b.txt": whole, "c.txt": ("T Para c.", 1, 0)}
+    assert {(r["status"], r["selected"]) for r in status.collect()} == {("succeeded", 3), ("succeeded", 1)}
+    calls = (tmp_path / "calls").read_text().splitlines()
+    assert sorted(calls) == ["Para a.", "Para b.", "Para c.", "same"]
+
+
+def test_rows_repeated_in_a_document_are_refused(spark):
+    segs = spark.createDataFrame([("d", "1", "x"), ("d", "1", "x")], "key string, segment_id string, source_text string")
+    with pytest.raises(ValueError, match="INVALID_FORMAT"):
+        workspace.translate_segments(segs)
+
+
+def test_records_of_other_sources_are_refused(spark):
+    kinds = "segment_id string, status string, translated_text string, source_hash string, translation_input_hash string"
+    segs = spark.createDataFrame([("1", "h1", "i1"), ("2", "h2", "i2"), ("3", "h3", "i3"), ("4", "h4", "i4")], "segment_id string, source_hash string, translation_input_hash string")
+    rows = [("1", "succeeded", "t", "h1", "i1"), ("2", "succeeded", "t", "old", "i2"), ("3", "succeeded", "t", "h3", "old"), ("4", "manual", "t", "", "old"), ("9", "succeeded", "t", "h9", "i9")]
+    found = {tuple(r) for r in translate.rejected(segs, spark.createDataFrame(rows, kinds)).collect()}
+    assert found == {("2", "SOURCE_MISMATCH"), ("3", "SOURCE_MISMATCH"), ("9", "SEGMENT_NOT_FOUND")}
+    bare = spark.createDataFrame([("1", "succeeded", None, "h1", "i1"), ("2", "failed", None, "h2", "i2")], kinds)
+    assert [tuple(r) for r in translate.rejected(segs, bare).collect()] == [("1", "INVALID_FORMAT")]
+
+
+def test_one_call_from_files_to_texts(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.txt").write_bytes(b"One.\r\n\r\nTwo.")
+    (folder / "bad.txt").write_bytes(b"")
+    got = workspace.translate_documents(spark, str(folder), target)
+    assert [(r["text"], r["translated"]) for r in got["built"].collect()] == [("[en] One.\n\n[en] Two.", 2)]
+    assert [r["status"] for r in got["status"].collect()] == ["succeeded"] and got["manifest"].filter("error is not null").count() == 1
+    with pytest.raises(ValueError, match="OUTPUT_CONFLICT"):
+        workspace.translate_documents(spark, str(folder), str(folder))
+    changed = got["manifest"].withColumn("source_size", F.lit(1).cast("long"))
+    assert {r["difference"] for r in workspace.changed_sources(changed, got["manifest"]).collect()} == {"changed"}
+
+
 def test_pages_end_to_end(spark):
     from test_archives import png, zipped
 
@@ -60,10 +118,11 @@ def test_controls(spark):
 
 def test_watched_folder(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("a", "One.\n\nTwo."), ("b", None)], "doc_key string, text string").write.parquet(source)
+    spark.createDataFrame([("a", "One.\n\nTwo."), ("b", None), ("copy", "One.\n\nTwo.")], "doc_key string, text string").write.parquet(source)
     for _ in range(2):  # a second run finds nothing new
         query = watch.watch(spark, source, out, str(tmp_path / "check"), once=True)
         query.awaitTermination()
-    records = spark.read.parquet(out)
+    records = spark.read.parquet(out).filter("doc_key = 'a'")
+    assert spark.read.parquet(out).filter("doc_key = 'copy'").count() == 2
     assert [r["translated_text"] for r in records.orderBy("order").collect()] == ["[en] One.", "[en] Two."]
     assert [r["completed"] for r in watch.progress_events(records).orderBy("order").collect()] == [1, 2]
