@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped
+from ..session import shared_dir, shipped, written
+
+__all__ = ["ARROW_ROWS", "WORD", "buckets", "crc_mod", "dropped", "let", "once", "shared_dir", "table", "tuned", "written"]
 
 #: Words are runs of anything but these six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,25 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local mode)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known if known else tempfile.mkdtemp(prefix="quirekit-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` that no pending result reads any more."""
     spark = df.sparkSession
