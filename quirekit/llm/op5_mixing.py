@@ -2,10 +2,11 @@
 
 Each source gets a target number of words. A target of k sizes and a remainder is met by k complete epochs of all the
 source's documents and one fractional selection: documents sorted by exponential keys -ln(u)/quality, taken while the
-prefix sum of their words stays within the remainder. u is a hash of the document's id, so reruns agree.
+prefix sum of their words stays within the remainder. u is a hash of the document's id and text, so reruns agree.
 
-The prefix sum never sorts a whole source in a task: keys fall into ranges of about RANGE documents, sums of
-ranges (combined before the shuffle) give the one range a source's remainder ends in, and only that range is sorted.
+The prefix sum never sorts a whole source in a task: logarithms of the keys fall into bins of 1 / GRID, sums of bins (combined before the
+shuffle) give the one bin in which a source's remainder ends, that bin alone is cut into PARTS, and so on, LEVELS times; only what is
+left, one in billions of a source's documents, is sorted. The bins are the same whatever the size of the corpus.
 
 Defined results: a null text has no words; a null source is one source, ranked last; documents of equal keys go by id, then
 size; a document without words is never taken; repeated rows count as documents of their own. The document the remainder ends
@@ -23,8 +24,8 @@ from .words import sliced, text_bytes, word_bounds
 
 #: Weights of sources in the order of their names, repeating; what the mix holds of all words; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
-#: Documents in a range of keys, on average.
-RANGE = 4096
+#: Bins of a unit of the log key, parts each bin is cut into, and how often.
+GRID, PARTS, LEVELS = 8, 256, 4
 
 
 def _measure(batches):
@@ -32,14 +33,16 @@ def _measure(batches):
         for part in sliced(batch):
             raw, offs = text_bytes(part.column(part.schema.get_field_index("text")))
             _, _, rows = word_bounds(raw, offs)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows[1:] - rows[:-1]), pa.array(offs[1:] - offs[:-1])], ["doc_id", "source", "size", "bytes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(rows[1:] - rows[:-1]), pa.array(offs[1:] - offs[:-1])], ["doc_id", "source", "draw", "size", "bytes"])
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, bytes): words and bytes of each text."""
+def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, source, draw, size, bytes): a number below 2**52 drawn by id and text, words and bytes of each text."""
     tuned(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "source", "text").mapInArrow(_measure, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, bytes long")
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")
+    return docs.select("doc_id", "source", draw.alias("draw"), "text").mapInArrow(_measure, f"doc_id {kinds['doc_id']}, source {kinds['source']}, draw long, size long, bytes long")
 
 
 def quality(size: Column, n_bytes: Column) -> Column:
@@ -64,34 +67,70 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return per.select("source", "source_size", "n", F.least(F.col("cap"), F.coalesce(first * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def log_key(draw: Column, size: Column, n_bytes: Column) -> Column:
+    """Logarithm of the exponential key -ln(u) / quality: precise where u is next to one."""
+    return F.log(-F.log((draw + 0.5) / float(1 << 52))) - F.log(quality(size, n_bytes))
+
+
+def bins(value: Column) -> list[Column]:
+    """The value's bin, its part of the bin, its part of that, and so on."""
+    out, rest = [], value * GRID
+    for _ in range(LEVELS):
+        out.append(F.floor(rest).cast("int"))
+        rest = (rest - F.floor(rest)) * PARTS
+    return out
+
+
+def ends(slim: DataFrame, per: DataFrame) -> DataFrame:
+    """(at, end, before): the bins in which a source's remainder ends, level by level, and the words before them."""
+    names = [f"bin{k}" for k in range(LEVELS)]
+    found = per.select(F.col("of").alias("at"), "rest", F.array().cast("array<int>").alias("end"), F.lit(0).cast("long").alias("before"))
+    upto = Window.partitionBy("at").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(LEVELS):
+        inside = F.col("source").eqNullSafe(F.col("at")) & (F.array(*names[:k]) == F.col("end") if k else F.lit(True))
+        sums = slim.join(found, inside).groupBy("at", "rest", "end", "before", F.col(names[k]).alias("bin")).agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(upto)).filter(F.col("upto") > F.col("rest"))
+        last = sums.groupBy("at", "rest").agg(F.min(F.struct("bin", "end", (F.col("upto") - F.col("words")).alias("before"))).alias("last"))
+        found = last.select("at", "rest", F.concat("last.end", F.array("last.bin")).alias("end"), "last.before")
+    return found.drop("rest")
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
-    sizes = sized(docs)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    place = 1 - F.exp(F.log(u) / quality(F.col("size"), F.col("bytes")))  # of the key -ln(u)/quality, in (0, 1)
-    slim = written(sizes.select("doc_id", "source", "size", place.alias("place")), "mix")
-    per = written(source_targets(slim, weights, share, epochs), "mix-sources")
+    sizes = sized(docs, seed).withColumn("key", log_key(F.col("draw"), F.col("size"), F.col("bytes")))
+    slim = written(sizes.select("doc_id", "source", "size", "key", *[b.alias(f"bin{k}") for k, b in enumerate(bins(F.col("key")))]), "mix")
+    per = source_targets(slim, weights, share, epochs)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     per = per.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    per = per.select(F.col("source").alias("of"), "source_size", "target", "full", "rest", F.ceil(F.col("n") / RANGE).alias("ranges"))
-    ranged = slim.join(per, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.least(F.floor(F.col("place") * F.col("ranges")), F.col("ranges") - 1))
-    sums = ranged.groupBy("source", "range", "rest").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("words").over(upto))
-    ends = sums.filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("words")).alias("before")), "range").alias("end"))
-    ends = ends.select(F.col("source").alias("at"), F.col("end.range").alias("end"), F.col("end.before").alias("before"))
-    ranged = ranged.join(ends, F.col("source").eqNullSafe(F.col("at")), "left")
-    last = F.col("range") == F.col("end")
-    # The one range of each source in which its remainder ends is sorted; the others are whole in or out.
-    order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = ranged.filter(last).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    per = written(per.select(F.col("source").alias("of"), "source_size", "target", "full", "rest"), "mix-sources")
+    last = written(ends(slim, per), "mix-ends")
+    rows = slim.join(per, F.col("source").eqNullSafe(F.col("of"))).join(last, F.col("source").eqNullSafe(F.col("at")), "left")
+    place = F.array(*[f"bin{k}" for k in range(LEVELS)])
+    # Of each source only the documents of the last bin are sorted; the others are whole in or out.
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.filter(place == F.col("end")).withColumn("upto", F.col("before") + F.sum("size").over(order))
     cut = cut.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    rest = ranged.filter(~F.coalesce(last, F.lit(False))).withColumn("more", F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), 1).otherwise(0))
+    others = rows.filter(F.col("end").isNull() | (place != F.col("end"))).withColumn("more", (F.col("end").isNull() | (place < F.col("end"))).cast("int"))
     columns = ["doc_id", "source", "size", "source_size", "target", "full", "rest", "more"]
-    both = cut.select(*columns).unionByName(rest.select(*columns))
+    both = cut.select(*columns).unionByName(others.select(*columns))
     copies = F.when(F.col("size") > 0, F.col("full") + F.when(F.col("rest") > 0, F.col("more")).otherwise(0)).otherwise(0)
     return both.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+#: The same mix by one sort a source.
+ORACLE = f"""
+WITH w AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size, strlen(coalesce(text, '')) AS bytes,
+  ('0x' || substr(md5(concat_ws(':', '17', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 13))::BIGINT AS draw FROM documents),
+k AS (SELECT *, ln(-ln((draw + 0.5::DOUBLE) / 4503599627370496)) - ln(greatest(exp(-abs(bytes / greatest(size, 1)::DOUBLE - 6.5) / 6.5) * size / (size + 20), 0.01)) AS key FROM w),
+p AS (SELECT source, sum(size)::DOUBLE AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT % 3 + 1]::DOUBLE AS weight FROM w GROUP BY source),
+o AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS i, sum(source_size) OVER () AS every, sum(weight) OVER () AS held FROM p),
+l AS (SELECT *, (every * 1.5 - coalesce(sum(cap) OVER b, 0)) / (held - coalesce(sum(weight) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, i) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_epochs FROM t),
+s AS (SELECT k.*, f.source_size, target, full_epochs, target - full_epochs * f.source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target, (size * (full_epochs + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM s
+"""

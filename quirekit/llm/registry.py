@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_jaccard": op3_jaccard.ORACLE,
-    "op8_substrings": op8_substrings.ORACLE,
+    "op5_mixing": op5_mixing.ORACLE,
     "op7_reputation": op7_reputation.ORACLE,
+    "op8_substrings": op8_substrings.ORACLE,
 }
