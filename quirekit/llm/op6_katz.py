@@ -13,7 +13,8 @@ theirs. Contexts with more than ``hot`` occurrences are split by the following w
 applied afterwards. So no key meets in one task, however frequent.
 
 Defined results: a null or empty text is one end token; a null doc_id counts as held out; repeated rows count and repeat; where nothing was learned every token has
-probability one, the unknown word's. A context with no discounted bigram, and a split one, takes one more count in its denominator.
+probability one, the unknown word's. A context none of whose bigrams is discounted takes one more count in its denominator; whether a split one
+has any is told by the sum over its parts, so scores don't depend on what is split.
 Hashes of 64 bits stand for words, bigrams and rows.
 """
 
@@ -236,7 +237,7 @@ _NAMES = ["bucket", "contexts", "runs", "words", "counts", "docs", "uids", "trai
 _KINDS = [pa.int64()] + [pa.binary()] * 7
 _BLOB = "bucket long, contexts binary, runs binary, words binary, counts binary, docs binary, uids binary, train binary"
 _PACKED = ["slot", "uids", "n_tokens", "n_known", "base", "score"]
-_PART = "slot long, uids binary, n_tokens binary, n_known binary, base binary, score binary, hot long, uid long, unseen long, mass double, uni double"
+_PART = "slot long, uids binary, n_tokens binary, n_known binary, base binary, score binary, hot long, uid long, seen long, unseen long, count long, mass double, uni double"
 _TOTAL = "uid long, n_tokens long, n_known long, base double, score double"
 
 
@@ -415,7 +416,7 @@ def _evaluate(shared, slots: int):
             if len(model.hot):
                 at = np.minimum(np.searchsorted(model.hot, heads), len(model.hot) - 1)
                 hot = model.hot[at] == heads
-                total = np.where(hot, model.hot_count[at] + 1, own).astype(float)
+                total = np.where(hot, model.hot_count[at], own).astype(float)
             else:
                 hot, total = np.zeros(len(heads), bool), own.astype(float)
             total = np.where(~hot & (own > 0) & (mass >= own), total + 1, total)
@@ -427,14 +428,15 @@ def _evaluate(shared, slots: int):
             n = np.diff(np.r_[pair, len(context)])
             out.append(_slots(uids, slots, score=np.bincount(doc, np.repeat(score, n), len(uids))))
             if hot.any():
-                out.append(pd.DataFrame({"hot": heads[hot].view(_I), "mass": (mass / np.maximum(total, 1))[hot], "uni": uni[hot]}))
-                late = np.repeat(~seen & np.repeat(hot, per_group), n)
-                if late.any():
-                    got = pd.DataFrame({"hot": context[late].view(_I), "uid": uids[doc[late]], "unseen": 1}).groupby(["hot", "uid"], as_index=False).sum()
-                    out.append(got)
+                out.append(pd.DataFrame({"hot": heads[hot].view(_I), "count": total[hot].astype(_I), "mass": mass[hot], "uni": uni[hot]}))
+                # Unseen tokens wait for the context's weight; seen ones only where this part has no discounted bigram, as then no other may have.
+                wait = np.repeat(np.repeat(hot, per_group) & (~seen | np.repeat(mass >= own, per_group)), n)
+                if wait.any():
+                    known = np.repeat(seen, n)[wait].astype(_I)
+                    out.append(pd.DataFrame({"hot": context[wait].view(_I), "uid": uids[doc[wait]], "seen": known, "unseen": 1 - known}).groupby(["hot", "uid"], as_index=False).sum())
         # Typed one by one: a column that some lack would else pass through floats.
-        names, blank = [*_PACKED, "hot", "uid", "unseen", "mass", "uni"], dict.fromkeys(_PACKED[1:], None)
-        kinds = dict.fromkeys(("slot", "hot", "uid", "unseen"), "Int64") | dict.fromkeys(("mass", "uni"), "float64")
+        names, blank = [*_PACKED, "hot", "uid", "seen", "unseen", "count", "mass", "uni"], dict.fromkeys(_PACKED[1:], None)
+        kinds = dict.fromkeys(("slot", "hot", "uid", "seen", "unseen", "count"), "Int64") | dict.fromkeys(("mass", "uni"), "float64")
         return pd.concat([(x if "uids" in x else x.assign(**blank)).reindex(columns=names).astype(kinds) for x in out])
 
     return run
@@ -456,9 +458,11 @@ def scored(docs: DataFrame, train: Column, head: int = HEAD, hot: int = HOT) ->
     part = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("contexts"), F.lit(4 * n)))
     parts = written(every.withColumn("part", part).groupBy("part").applyInPandas(_evaluate(shared, n), _PART), "scores")
     sums = parts.filter("slot is not null").select(*_PACKED).groupBy("slot").applyInPandas(_total, _TOTAL)
-    weight = parts.filter("hot is not null and uid is null").groupBy("hot").agg(F.log10((1 - F.sum("mass")) / (1 - F.sum("uni"))).alias("weight"))
-    late = parts.filter("unseen is not null").select("uid", "hot", "unseen").join(F.broadcast(weight), "hot")  # at most MOST_HOT contexts
-    late = late.select("uid", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_known"), F.lit(None).cast("double").alias("base"), (F.col("unseen") * F.col("weight")).alias("score"))
+    whole = parts.filter("hot is not null and uid is null").groupBy("hot").agg(F.first("count").alias("count"), F.sum("mass").alias("mass"), F.sum("uni").alias("uni"))
+    over = F.col("count") + F.when(F.col("mass") >= F.col("count"), 1).otherwise(0)  # as for any other context
+    weight = whole.select("hot", F.log10((1 - F.col("mass") / over) / (1 - F.col("uni"))).alias("weight"), F.log10(F.col("count") / over).alias("less"))
+    late = parts.filter("unseen is not null").select("uid", "hot", "seen", "unseen").join(F.broadcast(weight), "hot")  # at most MOST_HOT contexts
+    late = late.select("uid", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_known"), F.lit(None).cast("double").alias("base"), (F.when(F.col("unseen") > 0, F.col("unseen") * F.col("weight")).otherwise(0.0) + F.col("seen") * F.col("less")).alias("score"))
     by = sums.select("uid", "n_tokens", "n_known", "base", "score").unionByName(late).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     # Equal rows have one uid, and their sums are those of all of them.
     copies = names.groupBy("uid", "doc_id", "train").agg(F.count("*").alias("m"))

@@ -28,7 +28,7 @@ def discounts(counts):
 
 
 class Model:
-    def __init__(self, texts, split=frozenset()):
+    def __init__(self, texts):
         self.uni, self.bi, self.ctx = Counter(), Counter(), Counter()
         for t in texts:
             h = "<s>"
@@ -43,7 +43,6 @@ class Model:
         for (h, w), c in self.bi.items():
             self.follow[h].append((w, c))
         self.unknown = sum((1 - self.du[c]) * c for c in self.uni.values() if c <= 5) / self.n
-        self.split = split
         self.weight = {h: self.backoff(h) for h in self.follow}
 
     def p(self, w):
@@ -52,7 +51,7 @@ class Model:
 
     def backoff(self, h):
         mass, total = sum(self.db.get(c, 1) * c for _, c in self.follow[h]), self.ctx[h]
-        total += h in self.split or mass >= total
+        total += mass >= total
         return total, (1 - mass / total) / (1 - sum(self.p(w) for w, _ in self.follow[h]))
 
     def conditional(self, h, w):
@@ -80,16 +79,9 @@ def corpus():
 def test_against_plain_katz(make, head, hot):
     rows = corpus()
     train = [t for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 5 != 1]
-    plain = Model(train)
-    heads = {w for w, c in plain.uni.items() if c > hot and w != "</s>"} if head > 8 else None
+    model = Model(train)
     got = op6_katz.scored(make(rows), crc_mod("doc_id", 5) != 1, head=head, hot=hot).collect()
     assert len(got) == len(rows)
-    if heads is None:
-        # Contexts are split where their counts are known to be above the bound: words of the head, and the beginning.
-        least = next((k for k in range(65) if sum(c >= 2**k for c in plain.uni.values()) <= head), 64)
-        heads = {w for w, c in plain.uni.items() if c >= 2**least and c > hot and w != "</s>"}
-    split = heads | ({"<s>"} if len(train) > hot else set())
-    model = Model(train, split)
     texts = dict(rows)
     for r in got:
         t = texts[r["doc_id"]]
@@ -100,12 +92,24 @@ def test_against_plain_katz(make, head, hot):
 
 
 def test_plain_model_is_normalised():
-    model = Model([t for _, t in corpus()], {"w1"})
+    model = Model([t for _, t in corpus()])
     words = [*model.uni, "never seen"]
     for h in ["<s>", "w1", "w2", "solo", *list(model.follow)[:5]]:
         assert sum(model.conditional(h, w) for w in words) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("hot", [op6_katz.HOT, 20])
+def test_contexts_without_rare_followers(make, hot):
+    # "a" is always followed by one of two frequent words, split or not.
+    rows = [(i, "a b a c " * 10 + f"z{i}") for i in range(60)] + [(99, "a z1 a new")]
+    train = [t for k, t in rows if k < 60]
+    model = Model(train)
+    assert model.weight["a"][0] == model.ctx["a"] + 1
+    got = op6_katz.scored(make(rows), F.col("doc_id") < 60, hot=hot).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(model.score(dict(rows)[r["doc_id"]]), abs=1e-6)
+
+
 def test_nothing_to_learn(make):
     rows = make([(1, "a b"), (2, None)])
     got = {r["doc_id"]: r for r in op6_katz.scored(rows, F.lit(False)).collect()}
