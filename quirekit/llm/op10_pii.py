@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, once, table
-from .spans import listed, spans
+from .spans import chunked, listed, piece, replaced, spans
 
 #: The possessive forms match what the plain greedy ones do, without recursion; a match can only begin where a run
 #: begins or the match before it ended, which keeps long runs linear.
@@ -36,7 +36,7 @@ CONTEXT = {
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security|tax",
 }
-#: Code points before a span in which context words count, and what they add.
+#: Code points before and after a span in which context words count, and what they add.
 NEAR, BOOST = 48, 0.3
 
 
@@ -85,12 +85,13 @@ def detected(text: Column) -> dict[str, Column]:
     }
 
 
-def scored(text: Column, found: Column, kind: str) -> Column:
-    """Spans with a confidence: the kind's prior, raised where a context word stands shortly before."""
+def scored(chunks: Column, found: Column, kind: str) -> Column:
+    """Spans with a confidence: the kind's prior, raised where a context word stands nearby, before or after."""
 
     def score(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))))
-        return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
+        before, after = piece(chunks, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]), piece(chunks, s["end"], s["end"] + NEAR)
+        near = F.lower(F.concat(before, F.lit("\n"), after)).rlike(CONTEXT[kind])
+        return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0))
 
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), score(s).alias("score")))
 
@@ -99,9 +100,11 @@ def find_pii(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
     """Adds ``pii``: struct of scored spans by kind. Base kinds are kept whatever their score, others from ``least``."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = once(df, "pii", F.struct(*[v.alias(k) for k, v in detected(body).items()]))
+    some = F.greatest(*[F.size(f"pii.{k}") for k in KINDS]) > 0
+    df = once(df, "pii", F.struct(*[F.col(f"pii.{k}").alias(k) for k in KINDS], F.when(some, chunked(body)).alias("chunks")))
     kinds = []
     for kind in KINDS:
-        spots = scored(body, F.col(f"pii.{kind}"), kind)
+        spots = scored(F.col("pii.chunks"), F.col(f"pii.{kind}"), kind)
         kinds.append((spots if kind in BASE else F.filter(spots, lambda s: s["score"] >= least)).alias(kind))
     return once(df, "pii", F.struct(*kinds))
 
@@ -113,18 +116,7 @@ def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
     body = F.coalesce(F.col(text), F.lit(""))
     every = [F.transform(F.col(f"pii.{kind}"), _labelled(F.lit(f"[{kind.upper()}]"))) for kind in KINDS]
 
-    def cut(s: Column) -> Column:
-        done = F.aggregate(
-            F.sort_array(s),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-            lambda a, x: F.struct(
-                F.greatest(a["at"], x["end"]).alias("at"),
-                F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(body, a["at"] + 1, x["start"] - a["at"]), x["label"]))).alias("out"),
-            ),
-        )
-        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(body, d["at"] + 1, F.length(body))))
-
-    clean = let(F.concat(*every), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(body))
+    clean = replaced(body, F.sort_array(F.concat(*every)))
     columns = df.columns
     return find_pii(df, text, least).withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in columns])
 
