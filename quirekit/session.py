@@ -37,9 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, or in ``folder``: cuts lineage, survives the loss of executors."""
+def written(df: DataFrame, name: str, folder: str | None = None, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, or in ``folder``: cuts lineage, survives the loss of executors.
+
+    ``files`` bounds the files of a table that is small beside what it was made from."""
     spark = df.sparkSession
     path = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
