@@ -59,4 +59,4 @@ def buckets(df: DataFrame, bytes_each: int = 3 << 20, spread: int = 2) -> int:
     """Hash buckets for a stage over ``df``: in proportion to its stored size, and enough for every shuffle partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * spread
-    return max(least, min(1 << 22, -(-size // bytes_each)))
+    return max(least, 8, min(1 << 22, -(-size // bytes_each)))

@@ -105,14 +105,21 @@ def _order(slices: list) -> tuple[np.ndarray, np.ndarray]:
     """Level of each cell: 0 for counts that chance explains, else the logarithm of the excess; and the places that cut the global
     order into FRAGMENTS of as many occurrences."""
     count = np.zeros(1 << CELLS, np.int64)
-    for row in slices:
+    while slices:
+        row = slices.pop()
         count[row["slice"] << (CELLS - 4) : (row["slice"] + 1) << (CELLS - 4)] = np.frombuffer(row["cells"], np.int64)
     mean = count.mean()
-    levels = np.where(count <= mean + 4 * np.sqrt(mean) + 4, 0, np.ceil(np.log2(np.maximum(count - mean, 1)))).astype(np.uint8)
-    cells = np.argsort(levels, kind="stable")
-    cut = np.searchsorted(np.cumsum(count[cells]), count.sum() * np.arange(1, FRAGMENTS) // FRAGMENTS)
-    cell = cells[np.minimum(cut, len(cells) - 1)]
-    return levels, (levels[cell].astype(_U) << _U(58)) | (cell.astype(_U) << _U(58 - CELLS))
+    levels = np.zeros(1 << CELLS, np.uint8)
+    many = np.flatnonzero(count > mean + 4 * np.sqrt(mean) + 4)
+    levels[many] = np.ceil(np.log2(np.maximum(count[many] - mean, 1)))
+    share = np.bincount(levels, count, 64)
+    before, pivots = np.r_[0, np.cumsum(share)], []
+    for k in range(1, FRAGMENTS):
+        level = min(int(np.searchsorted(before, before[-1] * k / FRAGMENTS, "right")) - 1, 63)
+        cells = np.flatnonzero(levels == level)
+        at = np.searchsorted(np.cumsum(count[cells]), before[-1] * k / FRAGMENTS - before[level])
+        pivots.append((level << 58) | (int(cells[min(at, len(cells) - 1)]) << 58 - CELLS) if len(cells) else level << 58)
+    return levels, np.array(pivots, _U)
 
 
 def _keys(sets: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -328,7 +335,7 @@ def _near(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return sized.filter(9 * apart("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
 
 
-def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, ordered, shingle: int, parts: int) -> DataFrame:
+def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, ordered, shingle: int, parts: int, files: int) -> DataFrame:
     """(a, b) of the pairs that link: overlaps counted in each fragment, summed. Only sets of these pairs are made, texts never shuffle."""
     needed = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     needed = needed.join(entities.select("sig", F.col("least.uid").alias("uid")), "sig").select("uid")
@@ -343,18 +350,18 @@ def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, ordered, s
     pairs = near.join(of("a"), "a").join(of("b"), "b").filter(9 * bound >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
     # A set that many pairs have meets its partners in blocks; each partner's fragments travel once a pair.
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    pairs = written(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks"), "pairs")
+    pairs = written(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks"), "pairs", files=files)
     ones = pairs.select("a", "block").distinct().join(fragments.withColumnRenamed("sig", "a"), "a").withColumn("b", F.col("a"))
     twos = pairs.select("a", "block", "b").join(fragments.withColumnRenamed("sig", "b"), "b")
     both = ones.unionByName(twos).withColumn("part", F.pmod(F.xxhash64("a", "block", "fragment"), F.lit(parts)))
     counted = both.groupBy("part").applyInPandas(_overlaps, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
-    links = written(counted.join(pairs, ["a", "b"]).filter("9 * both >= 4 * (n_a + n_b)").select("a", "b"), "links")
+    links = written(counted.join(pairs, ["a", "b"]).filter("9 * both >= 4 * (n_a + n_b)").select("a", "b"), "links", files=files)
     for done in (fragments, pairs):
         dropped(done)
     return links
 
 
-def _proposed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _proposed(members: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
     """(a, b) of each entity and the member of another component, of its own and of the next size class, with which it shares most groups."""
     rows = members.join(nodes, "sig").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))))
     rank = F.xxhash64(F.pmod("g", F.lit(4)), "label")
@@ -365,7 +372,7 @@ def _proposed(members: DataFrame, nodes: DataFrame) -> DataFrame:
     other = F.when(F.col("label") == F.col("low.label"), F.col("high")).otherwise(F.col("low"))
     met = steps.withColumn("hub", other).filter("hub.label <> label").groupBy("step", "sig", F.col("hub.sig").alias("hub")).agg(F.count("*").alias("m"))
     best = met.groupBy("step", "sig").agg(F.max(F.struct("m", "hub")).alias("best"))
-    out = written(best.select(F.least("sig", "best.hub").alias("b"), F.greatest("sig", "best.hub").alias("a")).distinct(), "proposed")
+    out = written(best.select(F.least("sig", "best.hub").alias("b"), F.greatest("sig", "best.hub").alias("a")).distinct(), "proposed", files=files)
     dropped(hubs)
     return out
 
@@ -374,7 +381,7 @@ def _sized(entities: DataFrame, name: str) -> DataFrame:
     return entities.select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"))
 
 
-def _met(members: DataFrame, nodes: DataFrame, entities: DataFrame, parts: int, forest: bool) -> DataFrame:
+def _met(members: DataFrame, nodes: DataFrame, entities: DataFrame, parts: int, forest: bool, files: int) -> DataFrame:
     """(a, b) of the pairs in different components that share a group and may link, or of forests of such."""
     label = members.join(nodes, "sig")
     mixed = label.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", F.ceil(F.col("m") / MEET).cast("int").alias("chunks"))
@@ -383,7 +390,7 @@ def _met(members: DataFrame, nodes: DataFrame, entities: DataFrame, parts: int,
     block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("low"), F.greatest("chunk", j).alias("high")))
     left = left.withColumn("block", F.explode(block)).select("g", "sig", "n", "label", "chunk", "bits", "block.low", "block.high")
     parted = left.withColumn("part", F.pmod(F.xxhash64("g", "low", "high"), F.lit(parts)))
-    return written(parted.groupBy("part").applyInPandas(lambda rows: _meet(rows, forest), "a long, b long").distinct(), "met")
+    return written(parted.groupBy("part").applyInPandas(lambda rows: _meet(rows, forest), "a long, b long").distinct(), "met", files=files)
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -393,7 +400,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     tuned(spark)
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    n_buckets = buckets(docs)
+    n_buckets, files = buckets(docs), buckets(docs, 32 << 20, 0)  # pairs and labels are small beside the texts
     both = written(keyed.mapInArrow(_slim(shingle), f"doc_id {kind}, uid long, n long, sig long, bits binary, slice int, cells binary"), "sets")
     slim = both.filter(F.col("slice").isNull())
     # The sketch has 2**CELLS counts, whatever the size of the corpus: 16 slices of 2 MB, summed by slice.
@@ -408,12 +415,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return own.withColumn("label", F.col("sig")) if labels is None else own.join(labels, F.col("sig") == F.col("v"), "left").select("sig", "n", F.coalesce("label", "sig").alias("label"))
 
     for turn in range(3):
-        met = _met(members, nodes(), entities, n_buckets * 4, turn == 1) if turn else _proposed(members, nodes())
+        met = _met(members, nodes(), entities, n_buckets * 4, turn == 1, files) if turn else _proposed(members, nodes(), files)
         near = met.join(_sized(entities, "a"), "a").join(_sized(entities, "b"), "b").select("a", "b", "n_a", "n_b") if turn else _near(met, entities)
-        near = written(near, "near")
+        near = written(near, "near", files=files)
         if some := not near.isEmpty():
-            links.append(_verified(near, entities, keyed, ordered, shingle, n_buckets * FRAGMENTS))
-            before, labels = labels, components(reduce(DataFrame.unionByName, links))
+            links.append(_verified(near, entities, keyed, ordered, shingle, n_buckets * FRAGMENTS, files))
+            before, labels = labels, components(reduce(DataFrame.unionByName, links), files)
         for done in [near, met, *([before] if some and before is not None else [])]:
             dropped(done)
         if turn == 1 and not some:
