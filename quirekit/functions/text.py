@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 #: Whitespace as Python's str.isspace has it; Java's \s and trim() know less.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
-REDACTED = "[REDACTED]"
 
-# Opening marks of dialogue, sentence ends, media types by suffix and adapter language codes.
+# Opening marks of dialogue, sentence ends, media types by suffix, adapter language codes, the grammar of language tags,
+# names and forms of secrets, references in style sheets, and what stands in a secret's place.
+REDACTED = "[REDACTED]"
 OPENERS = "“‘\"「『—"
 ENDS = "。！？.!?"
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
@@ -37,7 +38,9 @@ BCP47 = (
     r"^(?i:x(?:-[a-z0-9]{1,8})+|[a-z]{2,3}(?:-[a-z]{3}){0,3}(?:-[a-z]{4})?(?:-(?:[a-z]{2}|[0-9]{3}))?"
     r"(?:-(?:[a-z0-9]{5,8}|[0-9][a-z0-9]{3}))*(?:-[a-wyz0-9](?:-[a-z0-9]{2,8})+)*(?:-x(?:-[a-z0-9]{1,8})+)?)$"
 )
-SENSITIVE = r"(?i)(api[-_]?key|authorization|access[-_]?token|secret|password)(\s*[:=]\s*)([^\s,;]+)"
+SENSITIVE_KEY = r"api[-_]?key|authorization|access[-_]?token|secret|password"
+SENSITIVE = rf"(?i)({SENSITIVE_KEY})(\s*[:=]\s*)([^\s,;]+)"
+BEARER = r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+"
 CSS_REFERENCE = r"(?i)(?:url\(\s*|@import\s+)['\"]?([^'\")\s;]+)"
 
 
@@ -72,7 +75,7 @@ def content_role(c: Column) -> Column:
 
 def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
     """Hides bearer tokens first, then the values of named keys, then the given secrets."""
-    out = F.regexp_replace(c, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", f"Bearer {REDACTED}")
+    out = F.regexp_replace(c, BEARER, f"Bearer {REDACTED}")
     out = F.regexp_replace(out, SENSITIVE, f"$1$2{REDACTED}")
     for secret in filter(None, secrets):
         out = F.replace(out, F.lit(secret), F.lit(REDACTED))

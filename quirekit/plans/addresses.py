@@ -89,16 +89,17 @@ def json_rows(spark, sf_dir):
 
 
 @query(
-    """WITH h AS (SELECT sha256(text) AS k, max('r' || doc_id) AS t FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL GROUP BY 1), o AS (SELECT doc_id % 50 AS "order", text, max('o' || doc_id) AS t FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL GROUP BY 1, 2)
+    """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+h AS (SELECT sha256(text) AS k, max('r' || doc_id) AS t FROM documents JOIN l USING (doc_id) WHERE quality = 1 AND text IS NOT NULL GROUP BY 1), o AS (SELECT doc_id % 50 AS "order", text, max('o' || doc_id) AS t FROM documents JOIN l USING (doc_id) WHERE text IS NOT NULL GROUP BY 1, 2)
 SELECT doc_id, coalesce(h.t, o.t) AS translated_text, CASE WHEN h.t IS NOT NULL THEN 'other_job' WHEN o.t IS NOT NULL THEN 'same_job' END AS origin, CASE WHEN coalesce(h.t, o.t) IS NULL THEN 'pending' ELSE 'succeeded' END AS status
-FROM documents d LEFT JOIN h ON h.k = sha256(d.text) LEFT JOIN o ON o.text = d.text AND o."order" = d.doc_id % 50 WHERE d.doc_id % 3 = 2 AND d.text IS NOT NULL"""
+FROM documents d LEFT JOIN h ON h.k = sha256(d.text) LEFT JOIN o ON o.text = d.text AND o."order" = d.doc_id % 50 WHERE d.text IS NOT NULL"""
 )
 def replace_segments(spark, sf_dir):
+    """All documents as new segments; those of good quality have results of another job, all labelled ones results of their own."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     rows = docs.select("doc_id", ids.sha_text(F.col("text")).alias("input_hash"), (F.col("doc_id") % 50).alias("order"), F.col("text").alias("source_text"))
+    labelled = rows.join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
     name = lambda c: F.concat(F.lit(c), F.col("doc_id").cast("string"))
-    history = rows.filter("doc_id % 3 = 0").select("input_hash", name("r").alias("reused_text"))
-    own = rows.filter("doc_id % 3 = 1").select("order", "source_text", F.lit("succeeded").alias("status"), name("o").alias("translated_text"))
-    return addressing.carried_segments(rows.filter("doc_id % 3 = 2"), history, own).select("doc_id", "translated_text", "origin", "status")
-
-
+    history = labelled.filter("quality = 1").select("input_hash", name("r").alias("reused_text"))
+    own = labelled.select("order", "source_text", F.lit("succeeded").alias("status"), name("o").alias("translated_text"))
+    return addressing.carried_segments(rows, history, own).select("doc_id", "translated_text", "origin", "status")

@@ -266,6 +266,9 @@ def duplicate_members(spark, sf_dir):
     return marked.groupBy("portable", "user_id").agg(F.max("copies").alias("copies"), F.min("event_id").alias("first_id"))
 
 
-@query("SELECT user_id, list_aggregate(list_distinct(list_sort(list(event_type))), 'string_agg', ',') AS kinds0, max(value) AS top FROM events GROUP BY 1".replace("list_aggregate(list_distinct(list_sort(list(event_type))), 'string_agg', ',') AS kinds0", "string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds"))
+@query("WITH f AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM f GROUP BY 1")
 def ordered_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.max("value").alias("top"))
+    """Kinds of events by user, once each, in the order of their first occurrence."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+    kinds = F.transform(F.sort_array(F.collect_list(F.struct("first_id", "event_type"))), lambda x: x["event_type"])
+    return first.groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as fx
-from ..operators import checks, segment, translate
+from ..operators import checks, segment, translate, workspace
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -123,9 +123,17 @@ def _existing(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("segment_id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).select("segment_id", status.alias("status"), F.lit("kept").alias("translated_text"))
 
 
-@query("SELECT d.doc_id AS segment_id, CASE WHEN s.doc_id IS NULL THEN 'source' ELSE 'work' END AS action FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) s USING (doc_id) WHERE text IS NOT NULL")
+@query(
+    f"""SELECT d.doc_id AS segment_id, CASE WHEN s.doc_id IS NULL THEN 'source' ELSE 'work' END AS action, CASE WHEN s.doc_id IS NULL THEN 'source' ELSE 'succeeded' END AS status,
+ CASE WHEN s.doc_id IS NOT NULL THEN sha256('[{TARGET}] ' || text) END AS translated_sha256, CASE WHEN s.doc_id IS NULL THEN 0 ELSE 1 END::INT AS attempts
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) s USING (doc_id) WHERE text IS NOT NULL"""
+)
 def selected_translate(spark, sf_dir):
-    return translate.planned(_documents_as_segments(spark, sf_dir), _selection(spark, sf_dir)).select("segment_id", "action")
+    """Only the selected documents reach the provider; the others pass through."""
+    segments = _documents_as_segments(spark, sf_dir).withColumn("segment_id", F.col("segment_id").cast("string"))
+    chosen = _selection(spark, sf_dir).join(segments.select(F.col("segment_id").cast("long").alias("segment_id")), "segment_id", "left_semi").select(F.col("segment_id").cast("string").alias("segment_id"))
+    made = translate.translated(segments, selected=chosen, options={"target_language": TARGET}, sleep=False)
+    return made.select(F.col("segment_id").cast("long").alias("segment_id"), "action", "status", ids.sha_text(F.col("translated_text")).alias("translated_sha256"), "attempts")
 
 
 @query("SELECT DISTINCT l_orderkey AS segment_id FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)")
@@ -194,13 +202,13 @@ def reuse_latest(spark, sf_dir):
 
 
 @query(
-    """WITH old AS (SELECT turn, text, max('[old] ' || conv_id) AS carried FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1, 2)
-SELECT c.conv_id, c.turn, c.role, old.carried FROM conversations c LEFT JOIN old ON old.turn = c.turn AND old.text = c.text WHERE c.conv_id % 2 = 1"""
+    """WITH old AS (SELECT turn, text, max('[old] ' || conv_id) AS carried FROM conversations WHERE role = 'user' GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, c.role, old.carried FROM conversations c LEFT JOIN old ON old.turn = c.turn AND old.text = c.text"""
 )
 def reuse_fallback(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    before = conv.filter("conv_id % 2 = 0").select("turn", "text", F.concat(F.lit("[old] "), F.col("conv_id").cast("string")).alias("translated_text"))
-    return checks.carried_over(conv.filter("conv_id % 2 = 1"), before, ["turn", "text"]).select("conv_id", "turn", "role", "carried")
+    before = conv.filter("role = 'user'").select("turn", "text", F.concat(F.lit("[old] "), F.col("conv_id").cast("string")).alias("translated_text"))
+    return checks.carried_over(conv, before, ["turn", "text"]).select("conv_id", "turn", "role", "carried")
 
 
 def _records(spark, sf_dir):
@@ -238,9 +246,29 @@ def rebuild_sha(spark, sf_dir):
     return texts.join(counts, "doc_id").select("doc_id", "segments", ids.sha_text(F.col("text")).alias("rebuilt_sha256"))
 
 
-@query(f"{_UNITS} SELECT doc_id, sum((ord % 3 <> 0)::INT)::BIGINT AS translated, sum((ord % 3 = 0)::INT)::BIGINT AS preserved, count(DISTINCT joiner) AS joiners FROM units GROUP BY doc_id")
+@query(
+    f"""{_UNITS} SELECT doc_id, sum((ord % 3 <> 0)::INT)::BIGINT AS translated, sum((ord % 3 = 0)::INT)::BIGINT AS preserved,
+ sha256(string_agg(CASE ord % 3 WHEN 2 THEN '[x] ' || body ELSE body END || joiner, '' ORDER BY ord)) AS output_sha256 FROM units GROUP BY doc_id"""
+)
 def translated_preserved_counts(spark, sf_dir):
-    return units(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("order") % 3 != 0).alias("translated"), F.count_if(F.col("order") % 3 == 0).alias("preserved"), F.countDistinct("joiner").alias("joiners"))
+    """Rebuilds from failed units, units whose result equals the source, and units translated by hand: the last two count as translated."""
+    third = F.col("order") % 3
+    status = F.when(third == 0, "failed").when(third == 1, "succeeded").otherwise("manual")
+    text = F.when(third == 1, F.col("source_text")).when(third == 2, F.concat(F.lit("[x] "), "source_text"))
+    records = units(spark, sf_dir).withColumnRenamed("doc_id", "key").withColumn("status", status).withColumn("translated_text", text)
+    return workspace.rebuild_documents(records).select(F.col("key").alias("doc_id"), "translated", "preserved", "output_sha256")
+
+
+_TWICE = f"WITH RECURSIVE {units_sql('(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM documents)', 'doc_id')}"
+
+
+@query(f"{_TWICE} SELECT doc_id, count(*) AS translated, 0::BIGINT AS preserved, sha256(string_agg('[{TARGET}] ' || body || joiner, '' ORDER BY ord)) AS output_sha256 FROM units GROUP BY doc_id")
+def rebuild_copies(spark, sf_dir):
+    """Every document twice: equal texts share segment ids, each id is translated once, and every document is rebuilt by itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    records = translate.translated(segment.segment_texts(both.withColumnRenamed("doc_id", "key"), "key"), options={"target_language": TARGET}, sleep=False)
+    return workspace.rebuild_documents(records).select(F.col("key").alias("doc_id"), "translated", "preserved", "output_sha256")
 
 
 @query(

@@ -17,21 +17,7 @@ from ..schemas import ERROR, MAX_SOURCE_BYTES
 from ..session import shipped
 
 # Starts of binary formats that a text file must not have.
-SIGNATURES = (
-    "89504E470D0A1A0A",
-    "FFD8FF",
-    "474946383761",
-    "474946383961",
-    "255044462D",
-    "504B0304",
-    "1F8B",
-    "424D",
-    "49492A00",
-    "4D4D002A",
-    "377ABCAF271C",
-    "526172211A07",
-    "7F454C46",
-)
+SIGNATURES = (b"\x7fELF", b"7z\xbc\xaf\x27\x1c", b"%PDF-", b"BM", b"GIF87a", b"GIF89a", b"II*\0", b"MM\0*", b"PK\x03\x04", b"Rar!\x1a\x07", b"\x1f\x8b", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
 
 
 def error(code: str, message: str, retryable: bool = False) -> Column:
@@ -132,7 +118,7 @@ def decode_texts(files: DataFrame) -> DataFrame:
     head = F.hex(F.substring("content", 1, 12))
     binary = F.lit(False)
     for s in SIGNATURES:
-        binary = binary | head.startswith(s)
+        binary = binary | head.startswith(s.hex().upper())
     binary = binary | (head.startswith(b"RIFF".hex().upper()) & (F.substring(head, 17, 8) == b"WEBP".hex().upper()))
     first = F.when(F.length("content") == 0, error("INVALID_FORMAT", "the text is empty")).when(binary, error("INVALID_FORMAT", "the file holds binary data"))
     checked = files.withColumn("error", F.coalesce("error", first))

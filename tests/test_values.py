@@ -15,6 +15,23 @@ def test_json_safe():
     assert got["c"] == [1, "<recursive-reference>"] and got["d"] == {"unsupported_type": "object"} and got["5"] == [True, None]
 
 
+def test_json_safe_keeps_order_and_shared_parts():
+    part = [1]
+    got = values.json_safe({"b": part, "a": part, "t": ({"x": -0.5}, {2}), "m": memoryview(b"z")})
+    assert list(got) == ["b", "a", "t", "m"] and got["b"] == got["a"] == [1] and got["t"] == [{"x": -0.5}, [2]]
+    assert values.json_safe("x") == "x" and values.json_safe([]) == [] and values.json_safe(math.nan) == "<non-finite-float>"
+    deep: list = []
+    for _ in range(5000):
+        deep = [deep]
+    assert values.json_safe(deep)
+
+
+def test_order_of_sensitive_values():
+    nest = {"z": {"secret": "one"}, "password": "two", "list": [{"api_key": "three"}, {"api_key": "one"}], "secret": ["not under a key"], "token": "no"}
+    assert values.sensitive_values(nest) == ["one", "two", "three"]
+    assert values.redacted_value(("password=abc", {"secret": {"a": 1}, "n": None})) == ("password=[REDACTED]", {"secret": "[REDACTED]", "n": None})
+
+
 def test_redaction_of_nested_values():
     value = {"Api-Key": "k1", "x": ["Bearer abc.def", {"password": "p"}], "n": 3, "secret": ""}
     assert values.sensitive_values(value) == ["k1", "p"]
