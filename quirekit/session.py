@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+#: Folders of the tables written so far, in order.
+_PATHS: list[str] = []
 
 
 def shipped(spark: SparkSession) -> None:
@@ -44,4 +46,24 @@ def written(df: DataFrame, name: str, folder: str | None = None, files: int | No
     spark = df.sparkSession
     path = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def marked() -> int:
+    """A mark: what is written from here on can be swept."""
+    return len(_PATHS)
+
+
+def swept(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables written since a mark, but for those that ``keep`` reads."""
+    needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for f in df.inputFiles()}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in _PATHS[mark:]:
+        if path.rsplit("/", 1)[1] in needed:
+            left.append(path)
+        else:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+    _PATHS[mark:] = left
