@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, shipped, written
+from ..session import marked, shared_dir, shipped, swept, written
 
-__all__ = ["ARROW_ROWS", "WORD", "buckets", "crc_mod", "dropped", "let", "once", "shared_dir", "table", "tuned", "written"]
+__all__ = ["ARROW_ROWS", "WORD", "buckets", "crc_mod", "dropped", "let", "marked", "once", "shared_dir", "swept", "table", "tuned", "written"]
 
 #: Words are runs of anything but these six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -96,17 +96,17 @@ def scored(chunks: Column, found: Column, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), score(s).alias("score")))
 
 
-def find_pii(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Adds ``pii``: struct of scored spans by kind. Base kinds are kept whatever their score, others from ``least``."""
+def find_pii(df: DataFrame, text: str = "text", least: float = 0.5, into: str = "pii") -> DataFrame:
+    """Adds ``into``: struct of scored spans by kind. Base kinds are kept whatever their score, others from ``least``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = once(df, "pii", F.struct(*[v.alias(k) for k, v in detected(body).items()]))
-    some = F.greatest(*[F.size(f"pii.{k}") for k in KINDS]) > 0
-    df = once(df, "pii", F.struct(*[F.col(f"pii.{k}").alias(k) for k in KINDS], F.when(some, chunked(body)).alias("chunks")))
+    df = once(df, into, F.struct(*[v.alias(k) for k, v in detected(body).items()]))
+    some = F.greatest(*[F.size(f"{into}.{k}") for k in KINDS]) > 0
+    df = once(df, into, F.struct(*[F.col(f"{into}.{k}").alias(k) for k in KINDS], F.when(some, chunked(body)).alias("chunks")))
     kinds = []
     for kind in KINDS:
-        spots = scored(F.col("pii.chunks"), F.col(f"pii.{kind}"), kind)
+        spots = scored(F.col(f"{into}.chunks"), F.col(f"{into}.{kind}"), kind)
         kinds.append((spots if kind in BASE else F.filter(spots, lambda s: s["score"] >= least)).alias(kind))
-    return once(df, "pii", F.struct(*kinds))
+    return once(df, into, F.struct(*kinds))
 
 
 def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -114,11 +114,11 @@ def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
 
     Overlapping spans merge; the label is that of the first."""
     body = F.coalesce(F.col(text), F.lit(""))
-    every = [F.transform(F.col(f"pii.{kind}"), _labelled(F.lit(f"[{kind.upper()}]"))) for kind in KINDS]
-
+    into = "__quirekit_pii"
+    every = [F.transform(F.col(f"{into}.{kind}"), _labelled(F.lit(f"[{kind.upper()}]"))) for kind in KINDS]
     clean = replaced(body, F.sort_array(F.concat(*every)))
     columns = df.columns
-    return find_pii(df, text, least).withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in columns])
+    return find_pii(df, text, least, into).withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _labelled(label: Column):

@@ -340,4 +340,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract digest of ``digest`` over all documents; nulls, empty and repeated rows as in the module's defined results."""
     return digest(table(spark, sf_dir, "documents"))

@@ -453,6 +453,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all documents; see the module's defined results."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 

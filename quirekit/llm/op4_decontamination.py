@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tuned
+from .common import table, tuned, written
 from .words import gram_hashes, hashed, sliced, word_bounds, word_hashes
 
 SEGMENT, STRIDE, BLOCK, SHARD = 64, 64, 8, 4_000
@@ -311,12 +311,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that leak an item. A null doc_id is never dropped."""
-    leaks = matches(docs, benchmark, **options).filter("leak").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """``docs`` without the rows that leak an item, told by id and text: other texts of a leaking row's id stay, and null ids are no exception.
+
+    The leaking rows are few and written first, so that texts don't shuffle to meet them."""
+    key = F.xxhash64("doc_id", "text", F.col("text").isNull())
+    leaks = matches(docs.select(key.alias("doc_id"), "text"), benchmark, **options).filter("leak").select(F.col("doc_id").alias("__quirekit_row")).distinct()
+    return docs.withColumn("__quirekit_row", key).join(written(leaks, "leaks"), "__quirekit_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of the benchmark's items in all documents: (doc_id, item_id, bm25, question_overlap, answer_overlap)."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("leak")
     return found.select("doc_id", "item_id", F.round("bm25", 6).alias("bm25"), "question_overlap", "answer_overlap")
 

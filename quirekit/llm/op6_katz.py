@@ -479,4 +479,5 @@ def scored(docs: DataFrame, train: Column, head: int = HEAD, hot: int = HOT) ->
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose crc32(doc_id) modulo 5 is not 1; see the module's defined results."""
     return scored(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)

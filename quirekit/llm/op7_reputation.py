@@ -3,7 +3,7 @@
 Built-in functions only. A page's outcome is bad where its label says toxic or of no quality. Counts of outcomes by host
 roll up to registered domains and suffixes. At each level a beta prior is centred on the level above; its strength is
 the beta-binomial moment estimate over that level's units. A host is blocked by the method where the lower bound of its
-posterior bad rate exceeds a limit. Rules on host and path go first: the longest that fits decides.
+posterior bad rate exceeds a limit (mean less Z standard deviations of the beta posterior). Rules on host and path go first: the longest that fits decides.
 
 Only labels and hosts shuffle, counted before the shuffle; pages join the host verdicts once.
 
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import once, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Two-part suffixes under which names are registered; others have one part.
-TWO_PART = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Two-part suffixes under which names are registered, unless a caller brings its own list; others have one part.
+TWO_PART = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "co.in", "co.kr", "com.cn", "com.mx", "com.tr", "com.tw", "co.za")
+#: What stands for the suffix of numeric addresses, which have no names above them.
+ADDRESS = "(address)"
 #: Standard deviations below the posterior mean, and the bad rate above which a host is blocked.
 Z, LIMIT = 1.645, 0.5
 #: Bounds of the intra-class correlation, so that a prior is worth between about 1/9 and 999 pages.
@@ -47,13 +49,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART), two).otherwise(F.substring_index(host, ".", -1))
+def bare_host(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_PART), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_and_suffix(host: Column, two_part=TWO_PART) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host; a numeric address is its own domain."""
+    bare = bare_host(host)
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.startswith("[")
+    two = F.substring_index(bare, ".", -2).isin(*two_part) if two_part else F.lit(False)
+    domain = F.when(address, bare).when(two, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return domain, F.when(address, ADDRESS).when(two, F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
 
 
 def outcomes(labels: DataFrame) -> DataFrame:
@@ -74,11 +81,12 @@ def _strength(units: DataFrame) -> DataFrame:
     return sums.select(F.coalesce(mu, F.lit(0.0)).alias("mu"), (1 / held - 1).alias("s"))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, limit: float = LIMIT, z: float = Z, two_part=TWO_PART) -> DataFrame:
     """(host, n, b, rate, low, verdict) of every host among ``pages`` (page_id, host)."""
     seen = pages.select("page_id", "host").join(outcomes(labels), "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    domain, suffix = domain_and_suffix(F.col("host"), two_part)
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     # Each of these three is one row.
@@ -96,11 +104,11 @@ def host_reputation(pages: DataFrame, labels: DataFrame, limit: float = LIMIT, z
     )
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, two_part=TWO_PART) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_bound) of every page."""
     host, path = url_parts(F.col("url"))
     parts = once(pages.select("page_id", "url"), "u", F.struct(host.alias("host"), path.alias("path"))).select("page_id", "u.host", "u.path")
-    known = host_reputation(parts, labels).select(F.col("host").alias("known"), "rate", "low", "reputation")
+    known = host_reputation(parts, labels, two_part=two_part).select(F.col("host").alias("known"), "rate", "low", "reputation")
     judged = parts.join(known, F.col("host") == F.col("known"), "left").withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     return judged.select(
         "page_id",
@@ -114,6 +122,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op7_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; see the module's defined results."""
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
@@ -133,10 +142,11 @@ WITH parts AS (
 bad AS (
   SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
-hosts0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, string_split(host, '.') AS p FROM parts LEFT JOIN bad USING (page_id) GROUP BY host),
+hosts1 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', '') AS bare FROM parts LEFT JOIN bad USING (page_id) GROUP BY host),
+hosts0 AS (SELECT *, string_split(bare, '.') AS p, regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') OR starts_with(bare, '[') AS address FROM hosts1),
 hosts AS (
-  SELECT host, n, b, CASE WHEN array_to_string(p[-2:], '.') IN ({_TWO}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
-         CASE WHEN array_to_string(p[-2:], '.') IN ({_TWO}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM hosts0),
+  SELECT host, n, b, CASE WHEN address THEN bare WHEN array_to_string(p[-2:], '.') IN ({_TWO}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+         CASE WHEN address THEN '{ADDRESS}' WHEN array_to_string(p[-2:], '.') IN ({_TWO}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM hosts0),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY 1),
 top AS (SELECT suffix, (b + s * mu) / (n + s) AS rate FROM suffixes, {_strength_sql('suffixes')}),

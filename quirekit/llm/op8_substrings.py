@@ -11,7 +11,7 @@ of all documents share reaches a reducer once a task. Texts are scanned once to
 Fingerprints: 64 bits of the anchor and 48 of the span must both agree.
 
 Defined results: null and empty texts have no words; documents of fewer words than SPAN lose nothing; rows of equal id never remove each
-other; a null id counts as the largest; repeated rows repeat; whole texts, whatever their length.
+other; ids are whole numbers (others are refused), a null one counts as the largest; repeated rows repeat; whole texts, whatever their length.
 """
 
 from __future__ import annotations
@@ -222,6 +222,8 @@ def _cut(span: int, with_text: bool):
 
 def deduplicated(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every document, without the words that repeats cover."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("doc_id must be a whole number: the smallest one keeps a repeat")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.xxhash64("text"))
     found = repeat_ranges(keyed, span, seed)
     body = keyed.withColumn("id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(found, ["id", "rid"], "left").select("doc_id", "text", "ranges")
@@ -229,6 +231,7 @@ def deduplicated(docs: DataFrame, span: int = SPAN, seed: int = SEED, with_text:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of all documents; see the module's defined results."""
     return deduplicated(table(spark, sf_dir, "documents"), with_text=False)
 
 

@@ -164,6 +164,7 @@ def held_out(key: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of those whose crc32(doc_id) modulo 4 is not 2; see the module's defined results."""
     docs = table(spark, sf_dir, "documents")
     names, logp = trained(docs.filter(~held_out()))
     return identified(docs, names, logp, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")

@@ -221,7 +221,10 @@ def test_decontamination(make, spark, shard):
     want = {(d, i) for d, i in leaks(docs, items) if i != 63}
     assert {(r["doc_id"], r["item_id"]) for r in got.collect() if r["item_id"] != 63} == want
     kept = {r["doc_id"] for r in op4_decontamination.decontaminated(make(docs), table.filter("item_id <> 63")).collect()}
-    assert kept == {k for k, _ in docs} - {d for d, _ in want if d is not None}
+    assert kept == {k for k, _ in docs} - {d for d, _ in want}
+    two = [(1, items[5][1]), (1, "clean words of the same id"), (None, items[5][1]), (None, "clean words without an id")]
+    left = op4_decontamination.decontaminated(make(two), table.filter("item_id = 5"), shard=shard).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("1", two[1][1]), ("None", two[3][1])]
 
 
 def test_retrieval_is_complete():

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from quirekit.llm import op9_language
 
 WORDS = {"en": "the and with this that house water under people which".split(), "de": "der und mit dieses dass haus wasser unter leute welche".split(), "fr": "le et avec cette que maison eau sous gens quelle".split()}
@@ -52,6 +54,53 @@ def test_mixtures_of_many_languages(make):
         assert all(abs(float(v) - 1 / k) < 0.02 for v in shares.values())
 
 
+def plain_em(text, names, logp):
+    """Shares of the selected set by expectation-maximisation, word by word."""
+    fold = [chr(b).lower() if chr(b).isalpha() or chr(b) == "'" else " " for b in range(128)]
+    raw = [ord(fold[b]) if b < 128 else b for b in text.encode()]
+    padded = [32, *raw, 32]
+    bins = [(((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(raw))]
+    words, at = [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and raw[end] != 32:
+            end += 1
+        if end > at:
+            own = sum(logp[bins[i]].astype(float) for i in range(at, end))
+            words.append(np.exp(np.maximum(own - own.max(), -60)))
+        at = end + 1
+    like, langs = np.array(words), len(names)
+
+    def fit(pi, rounds):
+        for _ in range(rounds):
+            post = like * pi
+            pi = (post / post.sum(1, keepdims=True)).mean(0)
+        return pi, np.log((like * pi).sum(1)).sum()
+
+    full, _ = fit(np.full(langs, 1 / langs), op9_language.ITERATIONS)
+    order, best = np.argsort(-full, kind="stable"), None
+    for k in range(1, langs + 1):
+        pi = np.zeros(langs)
+        pi[order[:k]] = np.maximum(full[order[:k]], 1e-6)
+        pi, fitness = fit(pi / pi.sum(), 0 if k == 1 else 2)
+        fitness -= op9_language.PENALTY / 2 * (k - 1) * np.log(len(words) + 1)
+        if best is None or fitness > best[0]:
+            best = fitness, pi, k
+    return {names[j]: best[1][j] for j in order[: best[2]]}
+
+
+def test_against_plain_em(make):
+    rng = random.Random(14)
+    train = make([(i, text(rng, lang, 60), lang) for i in range(200) for lang in [rng.choice(list(WORDS))]])
+    names, logp = op9_language.trained(train)
+    texts = [" ".join(text(rng, rng.choice(list(WORDS)), rng.randrange(1, 30)) for _ in range(rng.randrange(1, 4))) + rng.choice(["", " it's", " Éa", "!  9 x"]) for _ in range(80)]
+    for r in op9_language.identified(make(list(enumerate(texts))), names, logp, ["doc_id"]).collect():
+        want = plain_em(texts[r["doc_id"]], names, logp)
+        got = {k: float(v) for k, v in (p.split(":") for p in r["languages"].split(","))}
+        assert got.keys() == want.keys(), (texts[r["doc_id"]], got, want)
+        assert all(abs(got[k] - want[k]) < 2e-3 for k in want) and abs(r["score"] - max(want.values())) < 2e-3
+
+
 def test_nothing_to_learn(make, saved, spark):
     got = op9_language.op9_language(spark, saved(documents=make([(1, "some words", None)]))).collect()
     assert [r["lang_pred"] for r in got] == ["und"]

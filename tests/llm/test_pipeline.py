@@ -39,3 +39,35 @@ def test_stages(make, saved, spark):
     assert kept["pii"][104]["text"].endswith("mail [EMAIL]") and kept["pii"][104]["n_chars"] == len(kept["pii"][104]["text"])
     assert all(r["copies"] in (1, 2) for r in kept["mixing"].values())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == set(kept["mixing"])
+
+
+def test_stages_on_odd_rows(make, saved, spark):
+    rng = random.Random(3)
+    words = {"en": [f"the{chr(97 + i)}th" for i in range(26)], "de": [f"sch{chr(97 + i)}ung" for i in range(26)]}
+    text = lambda lang="en", n=60: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang := ("en", "de")[i % 2]), lang, (None, "s1", "s2")[i % 3]) for i in range(40)]
+    item, shared = text("en", 30), text("en", 70)
+    long = " ".join(text("de", 60) for _ in range(200))
+    rows += [(100, text() + " " + item, "en", "s1"), (100, shared, "en", "s1"), (101, shared, "en", None), (101, shared, "en", None), (None, shared, "en", "s1"), (None, text() + " " + item, None, "s1"), (None, text() + " write a@b.cd", None, "s1")]
+    rows += [(102, None, None, None), (None, None, None, None), (103, "", "en", "s1"), (104, long, None, "s2"), (3, rows[3][1], "de", rows[3][3])]
+    sf = saved(documents=make(rows), benchmark=spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string"))
+    docs, counts = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        counts[name] = docs.collect()
+        assert name == "mixing" or (docs.columns == columns and all(r[c] == "clash" for r in counts[name] for c in ("label", "pii", "uid", "size", "n", "spans")))
+    texts = lambda name: sorted((str(r["doc_id"]), r["text"]) for r in counts[name])
+    assert len(counts["language"]) == len(rows) - 3 and all(r["lang"] in ("en", "de") for r in counts["language"])
+    # copies of the shared text: ids 100, 101 (twice) and none; of row 3 one; rows of id 100 with other texts are no copies
+    assert len(counts["near_duplicates"]) == len(rows) - 3 - 4 and ("100", shared) in texts("near_duplicates")
+    assert len(counts["decontamination"]) == len(counts["near_duplicates"]) - 2 and ("100", shared) in texts("decontamination")
+    assert len(counts["pii"]) == len(counts["decontamination"]) and sum("[EMAIL]" in r["text"] for r in counts["pii"]) == 1
+    assert {r["size"] for r in counts["mixing"]} <= {len(r["text"].split()) for r in counts["pii"]}
+
+
+def test_stages_on_empty_tables(make, saved, spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    sf = saved(documents=make([]), benchmark=none)
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    assert corpus_pipeline.decontamination(spark, make([(1, "x")]), sf).count() == 1

@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from quirekit.llm import op7_reputation as rep
 
@@ -19,6 +20,10 @@ URLS = [
     "http://b.co.uk/x?u=http://example.net/en/",
     "http://h?x=/en/",
     "ftp://user@host:80/p#f",
+    "http://10.0.0.1/a",
+    "http://10.0.0.1:8080/b",
+    "http://[::1]:80/c",
+    "http://www.a.gov.uk:80/d",
 ]
 
 
@@ -40,6 +45,15 @@ def test_against_sql(spark, saved):
     assert got[100]["verdict"] == "block" and got[103]["verdict"] == "allow"
 
 
+def test_domains(spark):
+    hosts = {"10.0.0.1": ("10.0.0.1", "(address)"), "u@10.0.0.1:80": ("10.0.0.1", "(address)"), "[::1]:8": ("[::1]", "(address)"), "a.gov.uk:80": ("a.gov.uk", "gov.uk"), "x.y.a.com": ("a.com", "com"), "net": ("net", "net"), "": ("", ""), "b.a.k12.xx": ("k12.xx", "xx")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = rep.domain_and_suffix(F.col("host"))
+    assert {r["host"]: (r["d"], r["s"]) for r in rows.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+    domain, suffix = rep.domain_and_suffix(F.col("host"), ("k12.xx",))
+    assert rows.filter("host = 'b.a.k12.xx'").select(domain, suffix).first()[:] == ("a.k12.xx", "k12.xx")
+
+
 def test_without_labels_or_pages(spark, saved):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
