@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import marked, shared_dir, shipped, swept, written
 
-__all__ = ["ARROW_ROWS", "WORD", "buckets", "crc_mod", "dropped", "let", "marked", "once", "shared_dir", "swept", "table", "tuned", "written"]
+__all__ = ["ARROW_ROWS", "WORD", "buckets", "built", "crc_mod", "dropped", "let", "marked", "once", "shared_dir", "swept", "table", "tuned", "written"]
 
 #: Words are runs of anything but these six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built(spark: SparkSession, key: tuple, make):
+    """What ``make`` builds of Columns, kept for the application: they name columns, not tables, and large ones take seconds to build."""
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _BUILT:
+        _BUILT[whole] = make()
+    return _BUILT[whole]
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with the struct or array ``value`` as a column computed once a row, however often it is used later."""
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]

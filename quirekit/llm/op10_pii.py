@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, once, table
+from .common import built, let, once, table
 from .spans import chunked, listed, piece, replaced, spans
 
 #: The possessive forms match what the plain greedy ones do, without recursion; a match can only begin where a run
@@ -96,29 +96,37 @@ def scored(chunks: Column, found: Column, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), score(s).alias("score")))
 
 
-def find_pii(df: DataFrame, text: str = "text", least: float = 0.5, into: str = "pii") -> DataFrame:
-    """Adds ``into``: struct of scored spans by kind. Base kinds are kept whatever their score, others from ``least``."""
+def _stages(text: str, least: float, into: str) -> list[Column]:
+    """What ``into`` holds after each stage: confirmed spans, the text's chunks beside them, and the spans with their scores."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = once(df, into, F.struct(*[v.alias(k) for k, v in detected(body).items()]))
     some = F.greatest(*[F.size(f"{into}.{k}") for k in KINDS]) > 0
-    df = once(df, into, F.struct(*[F.col(f"{into}.{k}").alias(k) for k in KINDS], F.when(some, chunked(body)).alias("chunks")))
-    kinds = []
-    for kind in KINDS:
-        spots = scored(F.col(f"{into}.chunks"), F.col(f"{into}.{kind}"), kind)
-        kinds.append((spots if kind in BASE else F.filter(spots, lambda s: s["score"] >= least)).alias(kind))
-    return once(df, into, F.struct(*kinds))
+    spots = {k: scored(F.col(f"{into}.chunks"), F.col(f"{into}.{k}"), k) for k in KINDS}
+    return [
+        F.struct(*[v.alias(k) for k, v in detected(body).items()]),
+        F.struct(*[F.col(f"{into}.{k}").alias(k) for k in KINDS], F.when(some, chunked(body)).alias("chunks")),
+        F.struct(*[(v if k in BASE else F.filter(v, lambda s: s["score"] >= least)).alias(k) for k, v in spots.items()]),
+    ]
+
+
+def find_pii(df: DataFrame, text: str = "text", least: float = 0.5, into: str = "pii") -> DataFrame:
+    """Adds ``into``: struct of scored spans by kind. Base kinds are kept whatever their score, others from ``least``."""
+    for stage in built(df.sparkSession, ("pii", text, least, into), lambda: _stages(text, least, into)):
+        df = once(df, into, stage)
+    return df
 
 
 def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """``df`` with every confirmed span of the text replaced by its kind in brackets; a null text stays null.
 
     Overlapping spans merge; the label is that of the first."""
-    body = F.coalesce(F.col(text), F.lit(""))
     into = "__quirekit_pii"
-    every = [F.transform(F.col(f"{into}.{kind}"), _labelled(F.lit(f"[{kind.upper()}]"))) for kind in KINDS]
-    clean = replaced(body, F.sort_array(F.concat(*every)))
+
+    def clean() -> Column:
+        every = [F.transform(F.col(f"{into}.{kind}"), _labelled(F.lit(f"[{kind.upper()}]"))) for kind in KINDS]
+        return F.when(F.col(text).isNotNull(), replaced(F.coalesce(F.col(text), F.lit("")), F.sort_array(F.concat(*every))))
+
     columns = df.columns
-    return find_pii(df, text, least, into).withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in columns])
+    return find_pii(df, text, least, into).withColumn(text, built(df.sparkSession, ("redacted", text), clean)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _labelled(label: Column):

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, once, table
+from .common import built, let, once, table
 from .spans import blanked, spans, tagged
 
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -165,24 +165,29 @@ def discoveries(found: Column) -> Column:
     return F.when(F.size(found) > 0, let(tried, weighed))
 
 
-def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``secrets``: struct of spans by kind; those of ``random`` carry the battery's figures."""
+def _stages(text: str) -> list[Column]:
+    """What ``secrets`` holds after each stage: base spans, the text without them, its tokens, and those that are random."""
     body = F.coalesce(F.col(text), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 1)) >= 6
     kept = [F.col(f"secrets.{k}").alias(k) for k in KINDS[:3]]
-    base = once(
-        df,
-        "secrets",
+    known = F.concat(*[F.transform(F.col(f"secrets.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("label"))) for k in KINDS[:3]])
+    return [
         F.struct(
             F.filter(spans(body, ASSIGN, body.rlike("[:=]")), value).alias("assign"),
             spans(body, ACCESS, F.contains(body, F.lit("AKIA"))).alias("access"),
             spans(body, HEX).alias("hex"),
         ),
-    )
-    known = F.concat(*[F.transform(F.col(f"secrets.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("label"))) for k in KINDS[:3]])
-    free = once(base, "secrets", F.struct(*kept, blanked(body, F.sort_array(known)).alias("free")))
-    token = once(free, "secrets", F.struct(*kept, spans(F.col("secrets.free"), TOKEN).alias("token")))
-    return once(token, "secrets", F.struct(*kept, discoveries(F.col("secrets.token")).alias("random")))
+        F.struct(*kept, blanked(body, F.sort_array(known)).alias("free")),
+        F.struct(*kept, spans(F.col("secrets.free"), TOKEN).alias("token")),
+        F.struct(*kept, discoveries(F.col("secrets.token")).alias("random")),
+    ]
+
+
+def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``secrets``: struct of spans by kind; those of ``random`` carry the battery's figures."""
+    for stage in built(df.sparkSession, ("secrets", text), lambda: _stages(text)):
+        df = once(df, "secrets", stage)
+    return df
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
