@@ -85,8 +85,22 @@ def translate_documents(spark: SparkSession, path: str, target: str, factory: Ca
     return {"manifest": manifest, "segments": segments, "records": records, "status": status, "built": spark.read.parquet(target)}
 
 
-def translate_pages(pages: DataFrame, factory: Callable[[], object], options: dict | None = None) -> DataFrame:
-    """Pages through a page adapter with ``translate_image(bytes, name, options) -> bytes``; failures become rows' errors."""
+def unmatched_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """(source_sha256, order, difference) of pages without a payload, payloads without a page, and orders taken twice: none, if both fit one to one."""
+    listed = manifest.groupBy("source_sha256", "order").agg(F.count("*").alias("listed"))
+    held = pages.groupBy("source_sha256", "order").agg(F.count("*").alias("held"))
+    what = F.when(F.col("held").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when((F.col("held") > 1) | (F.col("listed") > 1), "repeated")
+    both = listed.join(held, ["source_sha256", "order"], "full_outer").withColumn("difference", what)
+    return both.filter("difference is not null").select("source_sha256", "order", "difference")
+
+
+def translate_pages(pages: DataFrame, factory: Callable[[], object], options: dict | None = None, protected: tuple[bytes, ...] = (), sleep: bool = True) -> DataFrame:
+    """Pages through a page adapter with ``translate_image(bytes, name, options) -> bytes``: status, attempts and error of each.
+
+    Bounded retries with growing pauses, as for texts; an output that is no image, or holds a protected value, is a failure. An adapter that
+    says it is unhealthy (``health()`` other than "ok") is asked for nothing."""
+    import time
+
     import pandas as pd
 
     from ..session import shipped
@@ -94,24 +108,35 @@ def translate_pages(pages: DataFrame, factory: Callable[[], object], options: di
     shipped(pages.sparkSession)
     policy = translate.OPTIONS | (options or {})
 
+    def one(adapter, body: bytes, name: str) -> tuple:
+        attempt = 0
+        while True:
+            attempt += 1
+            try:
+                made = adapter.translate_image(body, name, policy)
+                if archives.image_type(made) is None:
+                    raise translate.ProviderError("OUTPUT_MISSING", "the adapter returned no image", True)
+                if any(p and p in made for p in protected):
+                    raise translate.ProviderError("OUTPUT_INVALID", "the output holds a protected value")
+                return made, "succeeded", attempt, None, None
+            except Exception as e:  # noqa: BLE001  any adapter error becomes the row's error
+                known = isinstance(e, translate.ProviderError)
+                if known and e.retryable and attempt <= policy["max_retries"]:
+                    if sleep:
+                        time.sleep(min(policy["retry_backoff_seconds"] * 2 ** (attempt - 1), 10.0))
+                    continue
+                return None, "failed", attempt, e.code if known else type(e).__name__, str(e) if known else None
+
     def run(frames):
         adapter = factory()
+        state = adapter.health() if hasattr(adapter, "health") else "ok"
         for frame in frames:
-            out = []
-            for body, name in zip(frame["content"], frame["name"], strict=True):
-                try:
-                    made = adapter.translate_image(bytes(body), name, policy)
-                    fine = archives.image_type(made) is not None
-                    out.append((made if fine else None, "succeeded" if fine else "failed", None if fine else "OUTPUT_MISSING"))
-                except translate.ProviderError as e:
-                    out.append((None, "failed", e.code))
-                except Exception as e:  # noqa: BLE001  any adapter error becomes the row's error
-                    out.append((None, "failed", type(e).__name__))
-            new = pd.DataFrame(out, columns=["content", "status", "error_code"])
+            out = [one(adapter, bytes(body), name) if state == "ok" else (None, "failed", 0, "ADAPTER_UNAVAILABLE", str(state)) for body, name in zip(frame["content"], frame["name"], strict=True)]
+            new = pd.DataFrame(out, columns=["content", "status", "attempts", "error_code", "error_message"])
             yield pd.concat([frame[["source_sha256", "order", "name", "page_id"]].reset_index(drop=True), new], axis=1)
 
     fine = pages.filter("error_code is null").select("source_sha256", "order", "name", "page_id", "content")
-    return fine.mapInPandas(run, "source_sha256 string, `order` int, name string, page_id string, content binary, status string, error_code string")
+    return fine.mapInPandas(run, "source_sha256 string, `order` int, name string, page_id string, content binary, status string, attempts int, error_code string, error_message string")
 
 
 class EchoAdapter:

@@ -91,6 +91,40 @@ def test_pages_end_to_end(spark):
     assert archives.build_archives(done).first()["translated"] == 2
 
 
+def test_pages_are_tried_again(spark):
+    from test_archives import png, zipped
+
+    rows = [("s", "a.cbz", bytearray(zipped([("1.png", png()), ("2.png", png(2)), ("3.png", png(3))])))]
+    pages = archives.pages(spark.createDataFrame(rows, "source_sha256 string, filename string, content binary"))
+    refuse = translate.ProviderError
+
+    class Flaky:
+        """Fails once for the second page, always for the third, each in its way."""
+
+        def __init__(self):
+            self.seen = {}
+
+        def translate_image(self, image, name, options):
+            self.seen[name] = self.seen.get(name, 0) + 1
+            if name.startswith("2") and self.seen[name] == 1:
+                raise refuse("PROVIDER_FAILURE", "again", True)
+            return b"no image" if name.startswith("3") else image
+
+    class Sick(Flaky):
+        def health(self):
+            return "down"
+
+    got = {r["name"]: (r["status"], r["attempts"], r["error_code"]) for r in workspace.translate_pages(pages, Flaky, sleep=False).collect()}
+    assert got == {"1.png": ("succeeded", 1, None), "2.png": ("succeeded", 2, None), "3.png": ("failed", 3, "OUTPUT_MISSING")}
+    hidden = workspace.translate_pages(pages, workspace.EchoAdapter, protected=(b"PNG",), sleep=False).collect()
+    assert {(r["error_code"], r["attempts"]) for r in hidden} == {("OUTPUT_INVALID", 1)}
+    assert {(r["error_code"], r["attempts"], r["error_message"]) for r in workspace.translate_pages(pages, Sick).collect()} == {("ADAPTER_UNAVAILABLE", 0, "down")}
+    assert workspace.unmatched_pages(pages, pages).count() == 0
+    fewer = pages.filter("name <> '2.png'")
+    assert [r["difference"] for r in workspace.unmatched_pages(pages, fewer).collect()] == ["missing"]
+    assert [r["difference"] for r in workspace.unmatched_pages(fewer, pages.unionByName(fewer)).collect() if r["order"] == 1] == ["unlisted"]
+
+
 def test_pipelines(spark):
     assert all(abs(sum(w for _, w in steps) - 1) < 1e-9 for steps in PIPELINES.values())
     made = jobs.exploded_steps(spark.createDataFrame([(1, jobs.default_pipeline("novel", "epub"))], "job_id int, pipeline string"), jobs.pipeline_steps(spark))
