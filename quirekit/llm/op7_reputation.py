@@ -5,7 +5,7 @@ roll up to registered domains and suffixes. At each level a beta prior is centre
 the beta-binomial moment estimate over that level's units. A host is blocked by the method where the lower bound of its
 posterior bad rate exceeds a limit (mean less Z standard deviations of the beta posterior). Rules on host and path go first: the longest that fits decides.
 
-Only labels and hosts shuffle, counted before the shuffle; pages join the host verdicts once.
+Pages meet the labels and the host verdicts once each, with ids and hosts only; counts are combined before they shuffle.
 
 Defined results: a null url, or one without ``://``, has empty host and path, and is judged as the empty host; pages
 without a label and hosts without labelled pages take the prior; labels with two nulls, or for no page, are ignored;
