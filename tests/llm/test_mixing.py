@@ -90,7 +90,7 @@ def test_against_plain_efraimidis_spirakis(make, grid, monkeypatch):
 def test_quality_weighs_the_chance(make):
     rows = [(i, "words of usual length " * 20 if i % 2 else "x " * 80, "en", "a") for i in range(3000)]
     rows += [(i, "words of usual length " * 20, "en", "b") for i in range(5000, 9000)]
-    got = op5_mixing.mixed(make(rows)).filter("source = 'a'").groupBy(F.pmod("doc_id", F.lit(2)).alias("good")).agg(F.avg("copies").alias("mean")).collect()
+    got = op5_mixing.mixed(make(rows), weights=(1.0, 1.0), share=0.5).filter("source = 'a'").groupBy(F.pmod("doc_id", F.lit(2)).alias("good")).agg(F.avg("copies").alias("mean")).collect()
     mean = {r["good"]: r["mean"] for r in got}
     assert mean[1] > mean[0] + 0.1
 
