@@ -104,21 +104,25 @@ def _sum_cells(rows: pd.DataFrame) -> pd.DataFrame:
 def _order(slices: list) -> tuple[np.ndarray, np.ndarray]:
     """Level of each cell: 0 for counts that chance explains, else the logarithm of the excess; and the places that cut the global
     order into FRAGMENTS of as many occurrences."""
-    count = np.zeros(1 << CELLS, np.int64)
-    while slices:
-        row = slices.pop()
-        count[row["slice"] << (CELLS - 4) : (row["slice"] + 1) << (CELLS - 4)] = np.frombuffer(row["cells"], np.int64)
-    mean = count.mean()
-    levels = np.zeros(1 << CELLS, np.uint8)
-    many = np.flatnonzero(count > mean + 4 * np.sqrt(mean) + 4)
-    levels[many] = np.ceil(np.log2(np.maximum(count[many] - mean, 1)))
-    share = np.bincount(levels, count, 64)
-    before, pivots = np.r_[0, np.cumsum(share)], []
-    for k in range(1, FRAGMENTS):
-        level = min(int(np.searchsorted(before, before[-1] * k / FRAGMENTS, "right")) - 1, 63)
-        cells = np.flatnonzero(levels == level)
-        at = np.searchsorted(np.cumsum(count[cells]), before[-1] * k / FRAGMENTS - before[level])
-        pivots.append((level << 58) | (int(cells[min(at, len(cells) - 1)]) << 58 - CELLS) if len(cells) else level << 58)
+    held = {int(row["slice"]): np.frombuffer(row["cells"], np.int64) for row in slices}  # slice by slice: the driver holds no second copy
+    part = lambda k: slice(k << CELLS - 4, (k + 1) << CELLS - 4)
+    total = sum(int(own.sum()) for own in held.values())
+    mean = total / (1 << CELLS)
+    levels, share = np.zeros(1 << CELLS, np.uint8), np.zeros((64, 16))
+    for k, own in held.items():
+        many = np.flatnonzero(own > mean + 4 * np.sqrt(mean) + 4)
+        levels[part(k)][many] = np.ceil(np.log2(np.maximum(own[many] - mean, 1)))
+        share[:, k] = np.bincount(levels[part(k)], own, 64)
+    upto, pivots = np.cumsum(share), []
+    for goal in (total * k / FRAGMENTS for k in range(1, FRAGMENTS)):
+        spot = min(int(np.searchsorted(upto, goal, "right")), upto.size - 1)
+        level, k = divmod(spot, 16)
+        cells = np.flatnonzero(levels[part(k)] == level) if k in held else []
+        cell = 0
+        if len(cells):
+            at = int(np.searchsorted(np.cumsum(held[k][cells]), goal - (upto[spot] - share[level, k]), "right"))
+            cell = (k << CELLS - 4) + int(cells[min(at, len(cells) - 1)])
+        pivots.append((level << 58) | (cell << 58 - CELLS))
     return levels, np.array(pivots, _U)
 
 
@@ -342,6 +346,7 @@ def _verified(near: DataFrame, entities: DataFrame, keyed: DataFrame, ordered, s
     screen = keyed.sparkSession.sparkContext.broadcast(_screen(needed))
     found = keyed.select("uid", "text").mapInArrow(_fragments(screen, ordered, shingle), "sig long, fragment int, grams binary")
     fragments = written(found.groupBy("sig", "fragment").agg(F.first("grams").alias("grams")), "fragments")
+    screen.destroy()
     # No two sets share more of a fragment than the smaller one has of it.
     size = lambda k: F.coalesce(F.max(F.when(F.col("fragment") == k, F.length("grams") / 8)), F.lit(0))
     sizes = fragments.groupBy("sig").agg(F.array(*[size(k) for k in range(FRAGMENTS)]).alias("sizes"))
