@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op6_katz, op7_reputation, op8_substrings, op9_language, op10_pii
+from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op6_katz, op7_reputation, op8_substrings, op9_language, op10_pii, op11_codes, op12_clusters
 
 QUERIES = {
     "op1_matroska": op1_matroska.op1_matroska,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substrings": op8_substrings.op8_substrings,
     "op9_language": op9_language.op9_language,
     "op10_pii": op10_pii.op10_pii,
+    "op11_codes": op11_codes.op11_codes,
+    "op12_clusters": op12_clusters.op12_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +24,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": op5_mixing.ORACLE,
     "op7_reputation": op7_reputation.ORACLE,
     "op8_substrings": op8_substrings.ORACLE,
+    "op11_codes": op11_codes.ORACLE,
+    "op12_clusters": op12_clusters.ORACLE,
 }
