@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op6_katz, op7_reputation, op8_substrings, op9_language, op10_pii, op11_codes, op12_clusters
+from . import op1_matroska, op2_secrets, op3_jaccard, op4_decontamination, op5_mixing, op6_katz, op7_reputation, op8_substrings, op9_language, op10_pii, op11_codes, op12_clusters, op13_runs
 
 QUERIES = {
     "op1_matroska": op1_matroska.op1_matroska,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": op10_pii.op10_pii,
     "op11_codes": op11_codes.op11_codes,
     "op12_clusters": op12_clusters.op12_clusters,
+    "op13_runs": op13_runs.op13_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op8_substrings": op8_substrings.ORACLE,
     "op11_codes": op11_codes.ORACLE,
     "op12_clusters": op12_clusters.ORACLE,
+    "op13_runs": op13_runs.ORACLE,
 }
