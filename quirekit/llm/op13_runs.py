@@ -6,9 +6,9 @@
    whether they are common.
 3. Blocks send the pieces of those anchors, dealt by the anchor; what equals a piece of a smaller id in the same block is decided there. Windows under a
    common anchor are sent one by one, dealt by their own hash, so a short footer of many texts with different surroundings is no hot group.
-4. A bucket builds the run-length transform of its distinct pieces with sampled run ends, streams all of them for their matching statistics, marks
-   each match with the least id that has it (a match is a range of rows; the run ends lead to its text, which is compared), and answers with the
-   windows of larger ids.
+4. A bucket builds the run-length transform of the windows of its distinct pieces with sampled run ends (``runindex``), streams all pieces for their
+   matching statistics, marks each match with the least id that has it (a match is a range of rows; the run ends lead to its text, which is
+   compared), and answers with the windows of larger ids.
 5. Blocks are cut by what all buckets answered.
 
 Hashes only choose what meets; equality is decided on bytes, by the index and by equal pieces. Shuffled are hashes, pieces and, for two joins, the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets, dropped, table, tuned, written
-from .runindex import RunIndex, pieces_text
+from .runindex import RunIndex, expanded, pieces_text
 from .words import mix, text_bytes
 
 SPAN, ANCHOR = 50, 26
@@ -84,8 +84,9 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
 
 
-def anchored(raw: np.ndarray, offsets: np.ndarray, span: int, k: int, whole: bool = False):
-    """Runs of windows with one anchor: text, first start in it, number, anchor. ``whole``: and the hashes of all windows, by place."""
+def anchored(raw: np.ndarray, offsets: np.ndarray, span: int, k: int):
+    """Runs of windows with one anchor: text, first start in it, number, anchor. Where a text repeats itself runs are cut, so that none is longer than
+    one anchor's reach."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     found = []
     for low in range(0, max(len(raw) - span + 1, 0), PIECE):
@@ -100,7 +101,12 @@ def anchored(raw: np.ndarray, offsets: np.ndarray, span: int, k: int, whole: boo
         found.append((o[first], at[first] + low - offsets[o[first]], np.diff(np.r_[first, len(at)]), a[first]))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    text, start, count, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    reach = span - k + 1
+    n = -(-count // reach)
+    step = expanded(np.zeros(len(n), np.int64), n) * reach
+    text, start, count, anchor = (np.repeat(x, n) for x in (text, start, count, anchor))
+    return text, start + step, np.minimum(count - step, reach), anchor
 
 
 def _blocks(size: int):
@@ -193,11 +199,6 @@ def _ranges(block, docs, at):
     return block, pack(docs[low], np.int32), pack(at[low], np.int32), pack(at[high], np.int32)
 
 
-def _expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... of counts[i] each."""
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
-
-
 def _piece_rows(n_anchors: int, n: int, span: int, k: int):
     def run(batches):
         for batch in batches:
@@ -217,7 +218,7 @@ def _piece_rows(n_anchors: int, n: int, span: int, k: int):
                 spot = np.minimum(np.searchsorted(told, asked), len(told) - 1)
                 level = np.where(told[spot] == asked, kind[spot], 0)
                 single = np.flatnonzero(level == 2)
-                t2, s2 = np.repeat(text[single], count[single]), _expanded(start[single], count[single])
+                t2, s2 = np.repeat(text[single], count[single]), expanded(start[single], count[single])
                 ordinary = level == 1
                 text, start, count, key = text[ordinary], start[ordinary], count[ordinary], anchor[ordinary]
                 body = raw.tobytes()
@@ -230,7 +231,7 @@ def _piece_rows(n_anchors: int, n: int, span: int, k: int):
                 np.minimum.at(least, which, own)
                 later = own > least[which]
                 if later.any():
-                    found = _ranges(block, np.repeat(text[later], count[later]), _expanded(start[later], count[later]))
+                    found = _ranges(block, np.repeat(text[later], count[later]), expanded(start[later], count[later]))
                     yield _batch(_PIECES, [(-1 - block % n, block, b"", b"", b"", *found[1:])])
                 pieces = list(seen)
                 route = np.empty(len(pieces), np.int64)  # a common anchor's window goes by its own hash
@@ -270,24 +271,24 @@ def _matched(span: int):
         block = np.repeat(np.array(part.column("block").to_pylist(), np.int64), [len(x) for x in docs])
         which, docs, starts, ids = np.concatenate(which), np.concatenate(docs).astype(np.int64), np.concatenate(starts).astype(np.int64), np.concatenate(ids)
         symbols, begin, length = pieces_text(list(seen))
-        windows = length - span + 1
-        base = np.cumsum(windows) - windows
-        rows = np.empty(windows.sum(), np.int64)
-        for piece, offset, end, _ in RunIndex(symbols, span).statistics(begin, length):
+        index = RunIndex(symbols, begin, length, span)
+        windows, base = index.windows, index.first
+        rows = np.empty(index.size, np.int64)
+        for piece, offset, end in index.statistics():
             rows[base[piece] + offset] = end
-        least = np.full(len(symbols) + 1, _LAST)
+        least = np.full(index.size + 1, _LAST)
         own = np.full(len(length), _LAST)
         np.minimum.at(own, which, ids)
         np.minimum.at(least, rows, np.repeat(own, windows))
         n = windows[which]
-        spot = _expanded(base[which], n)
+        spot = expanded(base[which], n)
         later = np.repeat(ids, n) > least[rows[spot]]
         who = np.repeat(np.arange(len(which)), n)[later]
-        at = (_expanded(starts, n))[later]
+        at = (expanded(starts, n))[later]
         order = np.argsort(block[who], kind="stable")
         who, at = who[order], at[order]
         edge = np.flatnonzero(np.r_[True, block[who][1:] != block[who][:-1]][: len(who)])
-        told = [_ranges(int(block[who[a]]), docs[who[a:b]], at[a:b]) for a, b in zip(edge, np.r_[edge[1:], len(who)], strict=True)]
+        told = [_ranges(int(block[who[a]]), docs[who[a:b]], at[a:b]) for a, b in zip(edge, np.r_[edge[1:], len(who)][: len(edge)], strict=True)]
         return pa.Table.from_batches([_batch(_FOUND, told)])
 
     return run
