@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import marked, shared_dir, shipped, swept, written
 
-__all__ = ["ARROW_ROWS", "WORD", "buckets", "built", "crc_mod", "dropped", "let", "marked", "once", "shared_dir", "swept", "table", "tuned", "written"]
+__all__ = ["ARROW_ROWS", "WORD", "buckets", "built", "column", "crc_mod", "dropped", "free", "let", "marked", "once", "shared_dir", "swept", "table", "tuned", "written"]
 
 #: Words are runs of anything but these six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,19 @@ def tuned(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, or one like it that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value`` computed once: a lambda variable is never expanded again by the optimizer."""
     return F.transform(F.array(value), body)[0]

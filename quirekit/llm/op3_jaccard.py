@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, buckets, dropped, table, tuned, written
+from .common import WORD, buckets, column, dropped, free, table, tuned, written
 from .components import components
 from .shingles import shingle_sets, signatures
 from .words import mix, sliced
@@ -448,13 +448,15 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (of equal ids the one of the least hash; rows without an id only where all are).
 
     Rows of equal id and text count as one; rows without words stay, each."""
-    found = near_components(docs, shingle).filter("n > 0 and chosen = uid").select(F.col("uid").alias("__quirekit_uid")).distinct()
-    keyed = docs.withColumn("__quirekit_uid", F.xxhash64("doc_id", "text"))
+    uid, place = free(docs.columns, "__quirekit_uid"), free(docs.columns, "__quirekit_rank")
+    found = near_components(docs, shingle).filter("n > 0 and chosen = uid").select(F.col("uid").alias(uid)).distinct()
+    keyed = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rank = F.row_number().over(Window.partitionBy("__quirekit_uid").orderBy(*order) if order else Window.partitionBy("__quirekit_uid").orderBy("doc_id"))
-    one = keyed.filter(worded).join(found, "__quirekit_uid", "left_semi").withColumn("__quirekit_rank", rank).filter("__quirekit_rank = 1")
-    return one.drop("__quirekit_rank", "__quirekit_uid").unionByName(docs.filter(~worded))
+    # Rows of equal id and text rank by their other columns, of any type, as one JSON text.
+    order = F.xxhash64(F.to_json(F.struct(*[column(c) for c in docs.columns])))
+    rank = F.row_number().over(Window.partitionBy(uid).orderBy(order))
+    one = keyed.filter(worded).join(found, uid, "left_semi").withColumn(place, rank).filter(F.col(place) == 1)
+    return one.drop(place, uid).unionByName(docs.filter(~worded))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,37 +2,44 @@
 
 Index: items are cut into segments of at most SEGMENT words. A posting's impact is its BM25 weight over the segment's own total, so a passage
 that holds a whole segment scores 1. Segments lie in blocks of BLOCK; a term keeps its largest impact over all
-segments (the list's bound) and in each block (the block's bound).
+segments (the list's bound) and, for each block it stands in, its largest there (the block's bound) and its postings. Nothing is kept for blocks
+without the term, so the index takes some 60 bytes a word of the items, whatever their lengths.
 
 Queries: each text is cut into passages of 2 x STRIDE words that overlap by half; the distinct words of each are a query. A passage
-whose list bounds can't reach the threshold is passed over; of the others the blocks whose bounds can't are; segments of what is left are
-scored in full. All items above the threshold go to verification: shares of the word 5-grams of the item's question (all but its last sentence),
+whose list bounds can't reach the threshold is passed over. In the others terms rank by their list bounds, and the pivot is the first at which
+their sum, from the least, reaches the threshold: no segment without a term from the pivot on can reach it, so only those terms' posting blocks
+are opened, and the lists before the pivot are skipped to them. A block is left once its bounds can't reach the threshold, first with list
+bounds for the skipped terms, then with their block bounds; segments of what is left are scored in full. All items above the threshold go to verification: shares of the word 5-grams of the item's question (all but its last sentence),
 of its answer (the last) and of all of it that the whole document holds. A pair with enough of the question, of the item, or of an answer of
 ANSWER words or more is a leak.
 
 So that every leak is retrieved, these three are segments of a second index too, which the whole text queries in the same way. There impacts are
 shares of the least weight that the words of enough of a part's 5-grams can have: a leak scores 1 at least, wherever its 5-grams stand.
 
-The index is broadcast in shards of at most SHARD items, one pass over the documents each; documents are never shuffled.
+The index is broadcast in shards of about SHARD words, one pass over the documents each; documents are never shuffled. Of several shards one is
+alive at a time, and its pairs are written before the next. Equal items are one in the index. An item of more than a quarter of SHARD has a
+shard of its own.
 
 Defined results: null and empty texts match nothing; items without words are skipped; an item of fewer than five words counts as
-one gram; a question of fewer is taken with its answer; an item of one sentence is question and answer both; repeated documents and items repeat in the result; null ids pass through.
+one gram; a question of fewer is taken with its answer; an item of one sentence is question and answer both; repeated documents
+repeat in the result, items of equal id and text are one; null ids pass through.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tuned, written
+from .common import WORD, column, free, table, tuned, written
 from .words import gram_hashes, hashed, sliced, word_bounds, word_hashes
 
-SEGMENT, STRIDE, BLOCK, SHARD = 64, 64, 8, 4_000
+SEGMENT, STRIDE, BLOCK, SHARD = 64, 64, 8, 1 << 20
 #: Segments in a block of the index that whole texts query.
 PART_BLOCK = 24
 K1, B = 1.2, 0.75
@@ -45,6 +52,8 @@ ANSWER = 10
 SURE = 1 - 1e-3
 #: Leading bits of a word's hash by which its term is looked up.
 HEAD = 18
+#: Entries of the index opened at a time.
+HELD = 1 << 21
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
@@ -66,9 +75,14 @@ class Index:
     terms: np.ndarray  # sorted word hashes
     first: np.ndarray  # place of the first term of each leading HEAD bits
     bound: np.ndarray  # of each term over all segments
-    block_bound: np.ndarray  # terms x blocks
-    blocks: list  # (sorted terms, impacts by term and segment, with a last row of zeros) of each block
+    entries: np.ndarray  # place of each term's first entry; an entry is a term in a block it stands in
+    entry: np.ndarray  # term * blocks + block of each entry, sorted
+    entry_bound: np.ndarray
+    postings: np.ndarray  # place of each entry's first posting
+    segment: np.ndarray  # of each posting
+    impact: np.ndarray
     item: np.ndarray  # of each segment
+    blocks: int
     block: int  # segments in a block
     question: list  # (k, grams) of each item
     answer: list
@@ -154,19 +168,65 @@ def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: floa
     impact = (weight / unit[segment]).astype(np.float32)
     by = np.lexsort((segment, term))
     term, segment, impact = term[by], segment[by], impact[by]
-    bound = np.zeros(len(terms), np.float32)
-    np.maximum.at(bound, term, impact)
-    blocks = np.zeros((len(terms), -(-len(parts) // block)), np.float32)
-    np.maximum.at(blocks, (term, segment // block), impact)
-    postings = []
-    for q in range(blocks.shape[1]):
-        own = np.flatnonzero(segment // block == q)
-        held, row = np.unique(term[own], return_inverse=True)
-        dense = np.zeros((len(held) + 1, block), np.float32)
-        dense[row, segment[own] - q * block] = impact[own]
-        postings.append((held, dense))
+    n_blocks = -(-len(parts) // block)
+    entry = term * n_blocks + segment // block
+    postings = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    entry, entry_bound = entry[postings], np.maximum.reduceat(impact, postings)
+    entries = np.searchsorted(entry // n_blocks, np.arange(len(terms) + 1))
+    bound = np.maximum.reduceat(entry_bound, entries[:-1])
     first = np.searchsorted(terms, np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD))
-    return Index(ids, terms, np.r_[first, len(terms)], bound, blocks, postings, owner, block, *told)
+    return Index(ids, terms, np.r_[first, len(terms)].astype(np.int32), bound, entries, entry, entry_bound, np.r_[postings, len(impact)], segment.astype(np.int32), impact, owner, n_blocks, block, *told)
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... of counts[i] each."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+
+
+def _scored(index: Index, term: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (passage, segment, score) that reach the threshold, of passages with the terms from their start on."""
+    sizes = np.diff(np.r_[starts, len(term)])
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    by = np.lexsort((index.bound[term], owner))
+    term = term[by]
+    bound = index.bound[term].astype(float)
+    upto = np.cumsum(bound)
+    upto -= np.repeat(upto[starts] - bound[starts], sizes)
+    skipped = np.add.reduceat((upto < threshold).astype(np.int64), starts)  # terms before the pivot
+    rest = np.where(skipped > 0, upto[starts + np.maximum(skipped, 1) - 1], 0.0)  # what they can add
+    opening = np.flatnonzero(upto >= threshold)
+    n = index.entries[term[opening] + 1] - index.entries[term[opening]]
+    entry = _spread(index.entries[term[opening]], n)
+    pair = np.repeat(owner[opening], n) * index.blocks + index.entry[entry] % index.blocks
+    by = np.argsort(pair, kind="stable")
+    pair, entry = pair[by], entry[by]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    most, pair = np.add.reduceat(index.entry_bound[entry].astype(float), first), pair[first]
+    live = most + rest[pair // index.blocks] >= threshold
+    most, pair = most[live], pair[live]
+
+    def entries(pair, low, count):
+        """For terms low, low + 1, ... of each pair's passage: the pair and the entry of the term in the pair's block, where there is one."""
+        of = np.repeat(np.arange(len(pair)), count)
+        key = term[_spread(low, count)] * index.blocks + pair[of] % index.blocks
+        spot = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
+        hit = index.entry[spot] == key
+        return of[hit], spot[hit]
+
+    passage = pair // index.blocks
+    of, spot = entries(pair, starts[passage], skipped[passage])
+    most = most + np.bincount(of, index.entry_bound[spot], len(pair))
+    pair = pair[most >= threshold]
+    passage = pair // index.blocks
+    of, spot = entries(pair, starts[passage], sizes[passage])
+    n = index.postings[spot + 1] - index.postings[spot]
+    posting = _spread(index.postings[spot], n)
+    place = np.repeat(of, n) * index.block + index.segment[posting] % index.block
+    score = np.bincount(place, index.impact[posting], len(pair) * index.block)
+    place = np.flatnonzero(score >= threshold)
+    return passage[place // index.block], pair[place // index.block] % index.blocks * index.block + place % index.block, score[place]
 
 
 def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,28 +264,16 @@ def retrieve(index: Index, words: np.ndarray, rows: np.ndarray, threshold: float
         return none
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     ends = np.r_[starts[1:], len(passage)]
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = (1 << 22) // index.block_bound.shape[1]
-    j = 0
+    # So many passages at a time that their terms' entries fit.
+    load = np.cumsum(index.entries[term + 1] - index.entries[term] + 1)[ends - 1]
+    got, j = [], 0
     while j < len(starts):
-        i, j = j, max(j + 1, int(np.searchsorted(ends, starts[j] + step, "right")))
-        low, high = starts[i], ends[j - 1]
-        bounds = np.add.reduceat(index.block_bound[term[low:high]], starts[i:j] - low, axis=0)
-        for q in np.flatnonzero((bounds >= threshold).any(0)):  # block bounds
-            own = np.flatnonzero(bounds[:, q] >= threshold)
-            a, n = starts[i + own], ends[i + own] - starts[i + own]
-            flat = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            held, dense = index.blocks[q]
-            spot = np.minimum(np.searchsorted(held, term[flat]), len(held) - 1)
-            spot = np.where(held[spot] == term[flat], spot, len(held))
-            score = np.add.reduceat(dense[spot], np.cumsum(n) - n, axis=0)
-            p, at = np.nonzero(score >= threshold - 1e-6)
-            at += q * index.block
-            fine = at < len(index.item)
-            p, at = p[fine], at[fine]
-            if len(p):
-                row = np.searchsorted(base, passage[a[p]], "right") - 1
-                got.append((row, index.item[at], score[p, at - q * index.block].astype(float)))
+        i, j = j, max(j + 1, int(np.searchsorted(load, (load[j - 1] if j else 0) + HELD, "right")))
+        low = starts[i]
+        p, segment, score = _scored(index, term[low : ends[j - 1]], starts[i:j] - low, threshold - 1e-6)
+        if len(p):
+            row = np.searchsorted(base, passage[starts[i:j]][p], "right") - 1
+            got.append((row, index.item[segment], score))
     if not got:
         return none
     row, item, score = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -262,18 +310,30 @@ def _candidates(index: Index, words: np.ndarray, rows: np.ndarray, threshold: fl
     return [(*pair, near.get(pair)) for pair in sorted(near.keys() | set(zip(row[some].tolist(), item[some].tolist(), strict=True)))]
 
 
+def _shards(items: DataFrame, most: int) -> list[Column]:
+    """Conditions that deal items (key, words) out to shards of at most ``most`` words, as counted; each longer than a quarter of that alone."""
+    alone = F.col("words") > most // 4
+    rest = items.filter(~alone)
+    n = max(1, -(-(rest.agg(F.sum("words")).first()[0] or 0) * 2 // most))
+    while rest.groupBy(F.pmod("key", F.lit(n))).agg(F.sum("words").alias("w")).filter(F.col("w") > most).limit(1).count():
+        n *= 2
+    long = [r["key"] for r in items.filter(alone).select("key").distinct().collect()]  # one pass over the documents each, so few
+    return [~alone & (F.pmod("key", F.lit(n)) == k) for k in range(n)] + [alone & (F.col("key") == k) for k in long]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, leak) of all pairs a passage retrieves above ``threshold``, and of all leaks."""
     spark = docs.sparkSession
     tuned(spark)
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    shards = max(1, -(-items.count() // shard))
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).dropDuplicates()
+    items = written(items.select("*", F.xxhash64("item_id", "text").alias("key"), F.regexp_count("text", F.lit(WORD)).alias("words")), "items", files=8)
     kinds = {"doc_id": dict(docs.dtypes)["doc_id"], "item_id": dict(items.dtypes)["item_id"]}
     names = ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "leak"]
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, bm25 double, question_overlap double, answer_overlap double, leak boolean"
-    out = None
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # about SHARD test items
+    parts = _shards(items, shard)
+    found = []
+    for part in parts:
+        rows = items.filter(part).select("item_id", "text").collect()  # a shard's words, checked, or one long item
         index = build([(r[0], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))], overlap=overlap)
         if index is None:
             continue
@@ -306,17 +366,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                         yield pa.RecordBatch.from_arrays([keys, pa.array(cols[1], kind), *[pa.array(c) for c in cols[2:]]], names)
 
         one = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], schema)
+        if len(parts) > 1:
+            one = written(one, "matches")
+            shared.destroy()
+        found.append(one)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that leak an item, told by id and text: other texts of a leaking row's id stay, and null ids are no exception.
 
     The leaking rows are few and written first, so that texts don't shuffle to meet them."""
-    key = F.xxhash64("doc_id", "text", F.col("text").isNull())
-    leaks = matches(docs.select(key.alias("doc_id"), "text"), benchmark, **options).filter("leak").select(F.col("doc_id").alias("__quirekit_row")).distinct()
-    return docs.withColumn("__quirekit_row", key).join(written(leaks, "leaks"), "__quirekit_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, row = F.xxhash64("doc_id", "text", F.col("text").isNull()), free(docs.columns, "__quirekit_row")
+    leaks = matches(docs.select(key.alias("doc_id"), "text"), benchmark, **options).filter("leak").select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, key).join(written(leaks, "leaks"), row, "left_anti").select(*[column(c) for c in docs.columns])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,16 @@ left, one in billions of a source's documents, is sorted. The bins are the same
 
 Defined results: a null text has no words; a null source is one source, ranked last; documents of equal keys go by id, then
 size; a document without words is never taken; repeated rows count as documents of their own. The document the remainder ends
-in is taken where this comes nearer to the target.
+in is taken where this comes nearer to the target. Further columns of any type pass through; one called as what the mix adds is called
+``doc_...`` in the result.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tuned, written
-from .words import sliced, text_bytes, word_bounds
+from .common import WORD, column, table, written
 
 #: Weights of sources in the order of their names, repeating; what the mix holds of all words; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -28,21 +27,36 @@ WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 GRID, PARTS, LEVELS = 8, 256, 4
 
 
-def _measure(batches):
-    for batch in batches:
-        for part in sliced(batch):
-            raw, offs = text_bytes(part.column(part.schema.get_field_index("text")))
-            _, _, rows = word_bounds(raw, offs)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(rows[1:] - rows[:-1]), pa.array(offs[1:] - offs[:-1])], ["doc_id", "source", "draw", "size", "bytes"])
+#: What the mix adds to a document's row.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, source, draw, size, bytes): a number below 2**52 drawn by id and text, words and bytes of each text."""
-    tuned(docs.sparkSession)
-    kinds = dict(docs.dtypes)
+def _named(columns: list[str]) -> tuple[dict[str, str], str]:
+    """The names documents' own columns go by in the result, and a prefix that none of them has. One called as what the mix adds gets ``doc_`` in front."""
+    taken, own = {c.lower() for c in columns}, {}
+    for c in columns:
+        name = c
+        while name.lower() in ADDED or (name != c and name.lower() in taken):
+            name = f"doc_{name}"
+        own[c] = name
+        taken.add(name.lower())
+    prefix = "__mix"
+    while any(n.startswith(prefix) for n in taken):
+        prefix += "_"
+    return own, prefix
+
+
+def sized(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, str]:
+    """``docs`` with words and bytes of each text, a number below 2**52 drawn by id and text, its log key and bins, their names after the prefix that
+    is answered too."""
+    own, p = _named(docs.columns)
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")
-    return docs.select("doc_id", "source", draw.alias("draw"), "text").mapInArrow(_measure, f"doc_id {kinds['doc_id']}, source {kinds['source']}, draw long, size long, bytes long")
+    size, n_bytes = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    kept = [column(c).alias(n) for c, n in own.items()]
+    rows = docs.select(*kept, size.alias(f"{p}size"), draw.alias(f"{p}draw"), n_bytes.alias(f"{p}bytes"))
+    rows = rows.withColumn(f"{p}key", log_key(F.col(f"{p}draw"), F.col(f"{p}size"), F.col(f"{p}bytes")))
+    return rows.select("*", *[b.alias(f"{p}bin{k}") for k, b in enumerate(bins(F.col(f"{p}key")))]), p
 
 
 def quality(size: Column, n_bytes: Column) -> Column:
@@ -96,30 +110,34 @@ def ends(slim: DataFrame, per: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document."""
-    sizes = sized(docs, seed).withColumn("key", log_key(F.col("draw"), F.col("size"), F.col("bytes")))
-    slim = written(sizes.select("doc_id", "source", "size", "key", *[b.alias(f"bin{k}") for k, b in enumerate(bins(F.col("key")))]), "mix")
+    """``docs``, all columns, with size, source_size, target, copies and taken. Texts neither shuffle nor are they written, unless sources are too many to
+    be broadcast."""
+    rows, p = sized(docs, seed)
+    names = [f"bin{k}" for k in range(LEVELS)]
+    slim = written(rows.select("source", *[F.col(f"{p}{n}").alias(n) for n in ("size", *names)]), "mix")
     per = source_targets(slim, weights, share, epochs)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     per = per.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     per = written(per.select(F.col("source").alias("of"), "source_size", "target", "full", "rest"), "mix-sources")
     last = written(ends(slim, per), "mix-ends")
-    rows = slim.join(per, F.col("source").eqNullSafe(F.col("of"))).join(last, F.col("source").eqNullSafe(F.col("at")), "left")
-    place = F.array(*[f"bin{k}" for k in range(LEVELS)])
+    apart = lambda df: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
+    m = lambda name: F.col(f"{p}{name}")
+    rows = rows.join(apart(per), F.col("source").eqNullSafe(m("of"))).join(apart(last), F.col("source").eqNullSafe(m("at")), "left")
+    place = F.array(*[m(n) for n in names])
     # Of each source only the documents of the last bin are sorted; the others are whole in or out.
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.filter(place == F.col("end")).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    cut = cut.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    others = rows.filter(F.col("end").isNull() | (place != F.col("end"))).withColumn("more", (F.col("end").isNull() | (place < F.col("end"))).cast("int"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "full", "rest", "more"]
-    both = cut.select(*columns).unionByName(others.select(*columns))
-    copies = F.when(F.col("size") > 0, F.col("full") + F.when(F.col("rest") > 0, F.col("more")).otherwise(0)).otherwise(0)
-    return both.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    order = Window.partitionBy("source").orderBy(m("key"), "doc_id", m("size")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.filter(place == m("end")).withColumn(f"{p}upto", m("before") + F.sum(m("size")).over(order))
+    cut = cut.withColumn(f"{p}more", (m("upto") - m("size") / 2 <= m("rest")).cast("int")).drop(f"{p}upto")
+    others = rows.filter(m("end").isNull() | (place != m("end"))).withColumn(f"{p}more", (m("end").isNull() | (place < m("end"))).cast("int"))
+    both = cut.unionByName(others)
+    copies = F.when(m("size") > 0, m("full") + F.when(m("rest") > 0, m("more")).otherwise(0)).otherwise(0).cast("long")
+    kept = [column(c) for c in both.columns if not c.startswith(p)]
+    return both.withColumn(f"{p}copies", copies).select(*kept, *[m(n).alias(n) for n in ("size", "source_size", "target", "copies")], (m("copies") * m("size")).alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of all documents; see the module's defined results."""
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 #: The same mix by one sort a source.

@@ -5,8 +5,10 @@ under a language is the product over its trigrams. Expectation-maximisation esti
 that best explain a document's words; of the sets of the most likely one, two, ... languages, the one with the highest
 penalised likelihood (BIC) is the document's set, its largest share the prediction.
 
-The model has languages x BINS numbers, whatever the size of the corpus; it is broadcast. Texts are scanned once to count and
-once to predict, with no shuffle of texts.
+The model has at most MODEL numbers, whatever the size of the corpus and the number of languages; it is broadcast. Up to 128 languages have BINS bins
+each; of more, neighbouring bins are joined until the model fits, so thousands of labels are told by coarser counts but all are learned. Languages
+are counted first, then texts are scanned once to count and once to predict, with no shuffle of texts. A task holds the words of one slice
+of texts (or one text) x languages.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no set, and so is every text where nothing was
 learned; rows without language teach nothing; ties go to the language first by name; repeated rows repeat.
@@ -25,6 +27,8 @@ from .common import crc_mod, table, tuned
 from .words import sliced, text_bytes
 
 BINS = 1 << 15
+#: Most numbers of a model.
+MODEL = 1 << 22
 ITERATIONS = 12
 #: Log-likelihood a further language must gain, in units of half the logarithm of the number of words.
 PENALTY = 2.0
@@ -50,9 +54,18 @@ def _bins(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint32(17)).astype(np.int32), here
 
 
-def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages by name, and log-probabilities (BINS x languages), from all rows with a language."""
+def bins_of(languages: int, most: int = MODEL) -> int:
+    """Bins a language has so that the model fits: a power of two."""
+    room = max(1, most // max(1, languages))
+    return min(BINS, 1 << (room.bit_length() - 1))
+
+
+def trained(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MODEL) -> tuple[list[str], np.ndarray]:
+    """Languages by name, and log-probabilities (bins x languages), from all rows with a language."""
     tuned(docs.sparkSession)
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    n_bins = bins_of(known.select(lang).distinct().count(), most)
+    joined = (BINS // n_bins).bit_length() - 1
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -65,19 +78,26 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[li
                 for a, b in zip(edge, [*edge[1:], len(names)], strict=True):
                     low, high = offs[a], offs[b]
                     own = bins[low:high][here[low:high] != 32]
-                    total[names[a]] = total.get(names[a], 0) + np.bincount(own, minlength=BINS)
+                    total[names[a]] = total.get(names[a], 0) + np.bincount(own >> joined, minlength=n_bins)
+                if len(total) * n_bins > 1 << 22:
+                    yield from flushed(total)
+                    total = {}
+        yield from flushed(total)
+
+    def flushed(total):
         for name, n in total.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used].astype(np.int64))], ["lang", "bin", "n"])
 
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, bin int, n long")
-    counts = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most BINS rows a language
-    names = sorted(counts["lang"].unique())
-    table_ = np.full((BINS, max(1, len(names))), 0.5)
-    for i, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        table_[own["bin"].to_numpy(), i] += own["n"].to_numpy()
+    counts = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most MODEL rows
+    place = counts.column("lang").combine_chunks().dictionary_encode() if counts.num_rows else pa.array([], pa.string()).dictionary_encode()
+    held = place.dictionary.to_pylist()
+    names = sorted(held)
+    rank = {name: i for i, name in enumerate(names)}
+    table_ = np.full((n_bins, max(1, len(names))), 0.5)
+    column = np.array([rank[h] for h in held], np.int64)[place.indices.to_numpy(zero_copy_only=False)]
+    table_[counts.column("bin").to_numpy(), column] += counts.column("n").to_numpy()
     return names, np.log(table_ / table_.sum(0)).astype(np.float32)
 
 
@@ -85,6 +105,7 @@ def _infer(raw: np.ndarray, offs: np.ndarray, logp: np.ndarray) -> tuple[np.ndar
     """Proportions (rows x languages) under the selected sets, the sets, and the number of words with letters."""
     rows, langs = len(offs) - 1, logp.shape[1]
     bins, here = _bins(raw, offs)
+    bins >>= (BINS // len(logp)).bit_length() - 1
     solid = here != 32
     spots = np.flatnonzero(solid)
     share, chosen, n = np.zeros((rows, langs)), np.zeros((rows, langs), bool), np.zeros(rows, np.int64)
@@ -142,7 +163,7 @@ def identified(docs: DataFrame, names: list[str], logp: np.ndarray, keep: list[s
 
     def run(batches):
         for batch in batches:
-            for part in sliced(batch, 1 << 20):
+            for part in sliced(batch, (1 << 23) // max(8, len(names))):
                 text = part.column(part.schema.get_field_index("text"))
                 raw, offs = text_bytes(text)
                 share, chosen, _ = _infer(raw, offs, model.value)

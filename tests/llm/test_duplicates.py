@@ -209,7 +209,7 @@ def leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("shard", [op4_decontamination.SHARD, 17])
+@pytest.mark.parametrize("shard", [op4_decontamination.SHARD, 700])
 def test_decontamination(make, spark, shard):
     items, rng, word = benchmark()
     noise = lambda n: " ".join(word() for _ in range(n))
@@ -233,6 +233,11 @@ def test_retrieval_is_complete():
     items, rng, word = benchmark()
     index = op4_decontamination.build(items)
     texts = [" ".join(word() for _ in range(rng.randrange(1, 400))) + " " + items[i % 60][1] for i in range(40)]
+    impact: dict = {}
+    for e, (low, high) in enumerate(zip(index.postings[:-1], index.postings[1:], strict=True)):
+        for q in range(low, high):
+            assert index.segment[q] // index.block == index.entry[e] % index.blocks and index.impact[q] <= index.entry_bound[e]
+            impact.setdefault(int(index.segment[q]), {})[int(index.terms[index.entry[e] // index.blocks])] = float(index.impact[q])
     for text in texts:
         words = op4_decontamination._words(text)
         rows = np.array([0, len(words)])
@@ -243,13 +248,30 @@ def test_retrieval_is_complete():
         for p in range(n):
             own = set(words[p * step : (p + 2) * step].tolist())
             for s in range(len(index.item)):
-                held, dense = index.blocks[s // op4_decontamination.BLOCK]
-                score = sum(dense[j, s % op4_decontamination.BLOCK] for j, t in enumerate(held.tolist()) if int(index.terms[t]) in own)
+                score = sum(x for t, x in impact[s].items() if t in own)
                 if score >= op4_decontamination.THRESHOLD:
                     want[int(index.item[s])] = max(float(score), want.get(int(index.item[s]), 0.0))
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
+def index_bytes(index):
+    own = [x for x in vars(index).values() if hasattr(x, "nbytes")] + [g for name in ("question", "answer", "every") for _, g in getattr(index, name)]
+    return sum(x.nbytes for x in own) + (index_bytes(index.parts) if index.parts else 0) + sum(g.nbytes + h.nbytes for g, h in (index.known or {}).values())
+
+
+def test_an_index_is_bounded_by_its_words():
+    rng = random.Random(5)
+    many = [(i, " ".join(f"w{rng.randrange(200_000)}" for _ in range(220))) for i in range(4000)]
+    assert index_bytes(op4_decontamination.build(many)) < 200e6
+    assert index_bytes(op4_decontamination.build([(1, " ".join(f"w{i}" for i in range(1_000_000)) + ". the end of it")])) < 200e6
+
+
+def test_equal_items_are_one(make, spark):
+    items = [(1, "a b c d e f g h i j k l")] * 3 + [(2, "a b c d e f g h i j k l")]
+    got = op4_decontamination.matches(make([(7, items[0][1])]), spark.createDataFrame(items, "item_id long, text string")).filter("leak").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(7, 1), (7, 2)]
+
+
 def retrieved(index, words, rows):
     _, item, score = op4_decontamination.retrieve(index, words, rows)
     return item.tolist(), score.tolist()

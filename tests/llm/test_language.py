@@ -105,3 +105,18 @@ def test_nothing_to_learn(make, saved, spark):
     got = op9_language.op9_language(spark, saved(documents=make([(1, "some words", None)]))).collect()
     assert [r["lang_pred"] for r in got] == ["und"]
     assert op9_language.op9_language(spark, saved(documents=make([]))).count() == 0
+
+
+def test_many_labels_fit_the_model(make):
+    rng = random.Random(12)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(12)] for _ in range(900)]
+    own = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    names, logp = op9_language.trained(make([(k, own(k, 60), f"l{k:03}") for k in range(900)]))
+    assert len(names) == 900 and logp.shape == (op9_language.bins_of(900), 900) and logp.size <= op9_language.MODEL
+    got = op9_language.identified(make([(k, own(k, 40)) for k in range(0, 900, 30)]), names, logp, ["doc_id"]).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got) >= 0.95 * len(got)
+
+
+def test_bins_of():
+    assert op9_language.bins_of(4) == op9_language.bins_of(128) == op9_language.BINS
+    assert all(op9_language.bins_of(n) * n <= op9_language.MODEL and op9_language.bins_of(n) >= 1 for n in (129, 3000, 70_000, 1 << 22))

@@ -97,8 +97,8 @@ def test_quality_weighs_the_chance(make):
 
 def test_one_word_texts_have_keys_of_their_own(make):
     rows = make([(i, "w") for i in range(20_000)], extra=False)
-    sized = op5_mixing.sized(rows)
-    keyed = sized.withColumn("key", op5_mixing.log_key(F.col("draw"), F.col("size"), F.col("bytes"))).cache()
+    sized, p = op5_mixing.sized(rows)
+    keyed = sized.withColumn("key", F.col(f"{p}key")).cache()
     assert keyed.select("key").distinct().count() == 20_000
     assert keyed.groupBy(*op5_mixing.bins(F.col("key"))).count().agg(F.max("count")).first()[0] <= 3
 
