@@ -7,13 +7,13 @@
 4. pii: confirmed personal data is replaced by its kind in brackets; ``n_chars`` follows.
 5. mixing: each document gets the number of copies the mix holds of it; those with none go.
 
-Stages 1 to 4 return the columns of documents; the last adds size, source_size, target, copies and taken.
+Stages 1 to 4 return the columns of documents; the last adds size, source_size, target, copies and taken to them.
 
 Defined results, for every stage: rows are told apart by id and text, never by id alone, and a null id is an id. Null and empty texts, and
 those without a letter, go at stage 1, so no later stage drops or changes a row for want of a text. Rows of equal id and text count as one from
 stage 2 on; of near copies the least id stays, one without an id only where no other has one. A null language teaches nothing and is filled in;
-a null source is a source of its own, ranked last. Ties go by id, then by the hash of id and text. Further columns, whatever their names, pass
-through stages 1 to 4 unchanged. Empty tables give empty results; without benchmark items nothing leaks.
+a null source is a source of its own, ranked last. Ties go by id, then by the hash of id and text. Further columns, of any type and
+whatever their names, pass through all stages unchanged; the last calls one ``doc_...`` that has the name of what it adds. Empty tables give empty results; without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirekit.llm import op3_jaccard, op4_decontamination, op5_mixing, op9_language, op10_pii
-from quirekit.llm.common import marked, swept, table, written
+from quirekit.llm.common import column, marked, swept, table, written
 
 #: Share of a document its first language must hold.
 FAIR = 0.3
@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, logp = op9_language.trained(docs)
     columns = docs.columns
     told = op9_language.identified(docs, names, logp, columns, "__told_").filter((F.col("__told_lang_pred") != "und") & (F.col("__told_score") >= FAIR))
-    return told.select(*[F.col("__told_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns])
+    return told.select(*[F.col("__told_lang_pred").alias("lang") if c == "lang" else column(c) for c in columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that the mix holds, with the number of copies."""
+    """Keeps the rows that the mix holds, all columns, with the number of copies."""
     return op5_mixing.mixed(docs).filter("copies > 0")
 
 
