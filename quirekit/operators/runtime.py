@@ -109,28 +109,43 @@ def new_job(projects: DataFrame, profiles: DataFrame, pipeline: str) -> dict[str
     return {"jobs": made, "steps": jobs.exploded_steps(made.select("job_id", "pipeline"), steps), "events": events}
 
 
-#: What each step reads, by pipeline step: the step whose output it takes first, then others it may take instead.
+#: What stands for the project's own file among a step's inputs.
+FILE = "source"
+# What each step reads, in order. A pipeline has one of the two segmenting steps.
 INPUTS = {
-    "extract_text": ("detect_encoding",),
+    "detect_encoding": (FILE,),
+    "inspect_epub": (FILE,),
+    "prepare_manga": (FILE,),
+    "extract_text": (FILE, "detect_encoding"),
     "segment_text": ("extract_text",),
     "segment_epub": ("inspect_epub",),
     "translate_text": ("segment_text", "segment_epub"),
     "quality_check": ("translate_text",),
-    "export_novel": ("translate_text",),
-    "export_epub": ("translate_text",),
+    "export_novel": ("translate_text", "quality_check"),
+    "export_epub": ("inspect_epub", "translate_text", "quality_check"),
     "translate_manga": ("prepare_manga",),
     "export_manga": ("translate_manga",),
 }
 
 
-def step_inputs(runs: DataFrame) -> DataFrame:
-    """(job_id, step, input_step) of runs (job_id, step, status): the first of a step's inputs that this job has done; null where none is."""
-    spark = runs.sparkSession
-    wanted = spark.createDataFrame([(s, i, n) for s, names in INPUTS.items() for i, n in enumerate(names)], "step string, rank int, input_step string")
-    done = runs.filter(F.col("status").isin(SUCCEEDED, PARTIAL)).select("job_id", F.col("step").alias("input_step")).distinct()
-    asked = runs.select("job_id", "step").distinct().join(F.broadcast(wanted), "step")  # a fixed table of steps
-    held = asked.join(done.withColumn("held", F.lit(True)), ["job_id", "input_step"], "left")
-    return held.groupBy("job_id", "step").agg(F.min_by("input_step", F.when(F.col("held"), F.col("rank"))).alias("input_step"))
+def step_inputs(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``runs`` (job_id, step, outputs) with ``inputs``: the artifacts each step reads, those of all its inputs one after the other, in order.
+
+    ``sources`` has one (job_id, source_artifact) a job. A step that isn't in the job, or has put out nothing, adds nothing; an unknown
+    step reads nothing. A job's few steps meet in one row, so this is one shuffle by job."""
+    kind = dict(runs.dtypes)["outputs"]
+    none = F.array().cast(kind)
+    made = runs.groupBy("job_id").agg(F.collect_list(F.struct(*runs.columns)).alias("made")).join(sources.select("job_id", "source_artifact"), "job_id", "left")
+    wanted = F.create_map(*[x for step, names in INPUTS.items() for x in (F.lit(step), F.array(*map(F.lit, names)))])
+
+    def put_out(name: Column) -> Column:
+        steps = F.flatten(F.transform(F.filter("made", lambda r: r["step"] == name), lambda r: F.coalesce(r["outputs"], none)))
+        file = F.when(F.col("source_artifact").isNotNull(), F.array("source_artifact")).otherwise(none)
+        return F.when(name == FILE, file).otherwise(steps)
+
+    one = made.withColumn("run", F.explode("made"))
+    inputs = F.flatten(F.transform(F.coalesce(wanted[F.col("run.step")], F.array().cast("array<string>")), put_out))
+    return one.select("run.*", inputs.alias("inputs"))
 
 
 def resumed(segments: DataFrame, records: DataFrame | None, factory: Callable[[], object], options: dict | None = None, token: CancellationToken | None = None, folder: str | None = None, slices: int = 4) -> tuple[DataFrame, str]:

@@ -57,21 +57,35 @@ def export_pages(spark, sf_dir):
     return rt.exported_pages(pages.select("project_id", "page_id", "order"), made).select("project_id", "order", "artifact_id", "omitted")
 
 
-_STEPS = ("detect_encoding", "extract_text", "segment_text", "translate_text", "segment_epub", "quality_check", "export_novel")
-_WANTED = ", ".join(f"('{s}', {i}, '{n}')" for s, names in rt.INPUTS.items() for i, n in enumerate(names))
+_PIPELINES = (
+    ("detect_encoding", "extract_text", "segment_text", "translate_text", "quality_check", "export_novel", "unknown"),
+    ("inspect_epub", "segment_epub", "translate_text", "quality_check", "export_epub", "unknown", "unknown"),
+    ("prepare_manga", "translate_manga", "export_manga", "unknown", "unknown", "unknown", "unknown"),
+)
 
 
 @query(
-    f"""WITH r AS (SELECT l_orderkey AS job_id, {list(_STEPS)}[l_linenumber::INT] AS step, l_returnflag IN ('A', 'R') AS done FROM lineitem), w(step, k, input_step) AS (VALUES {_WANTED}),
-j AS (SELECT r.job_id, r.step, w.k, w.input_step, EXISTS (SELECT 1 FROM r d WHERE d.job_id = r.job_id AND d.step = w.input_step AND d.done) AS held FROM (SELECT DISTINCT job_id, step FROM r) r JOIN w ON w.step = r.step)
-SELECT job_id, step, arg_min(CASE WHEN held THEN input_step END, CASE WHEN held THEN k END) AS input_step FROM j GROUP BY 1, 2"""
+    """WITH r AS (SELECT l_orderkey AS job_id, l_linenumber AS run, CASE l_suppkey WHEN 1 THEN NULL ELSE CASE WHEN l_returnflag = 'N' THEN [] ELSE [l_partkey, l_suppkey] END END AS outputs, o_custkey AS file,
+ CASE l_orderkey % 3 WHEN 0 THEN ['detect_encoding', 'extract_text', 'segment_text', 'translate_text', 'quality_check', 'export_novel', 'unknown'][l_linenumber::INT]
+  WHEN 1 THEN ['inspect_epub', 'segment_epub', 'translate_text', 'quality_check', 'export_epub', 'unknown', 'unknown'][l_linenumber::INT]
+  ELSE ['prepare_manga', 'translate_manga', 'export_manga', 'unknown', 'unknown', 'unknown', 'unknown'][l_linenumber::INT] END AS step FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+o AS (SELECT job_id, any_value(outputs) FILTER (step = 'detect_encoding') AS enc, any_value(outputs) FILTER (step = 'extract_text') AS txt, any_value(outputs) FILTER (step = 'inspect_epub') AS epub,
+ any_value(outputs) FILTER (step IN ('segment_text', 'segment_epub')) AS seg, any_value(outputs) FILTER (step = 'translate_text') AS tr, any_value(outputs) FILTER (step = 'quality_check') AS qa,
+ any_value(outputs) FILTER (step = 'prepare_manga') AS prep, any_value(outputs) FILTER (step = 'translate_manga') AS pages FROM r GROUP BY 1)
+SELECT job_id, run, step, coalesce(array_to_string(CASE WHEN step IN ('detect_encoding', 'inspect_epub', 'prepare_manga') THEN [file] WHEN step = 'extract_text' THEN [file] || coalesce(enc, [])
+ WHEN step = 'segment_text' THEN txt WHEN step = 'segment_epub' THEN epub WHEN step = 'translate_text' THEN seg WHEN step = 'quality_check' THEN tr WHEN step = 'export_novel' THEN coalesce(tr, []) || coalesce(qa, [])
+ WHEN step = 'export_epub' THEN coalesce(epub, []) || coalesce(tr, []) || coalesce(qa, []) WHEN step = 'translate_manga' THEN prep WHEN step = 'export_manga' THEN pages END, ','), '') AS inputs FROM r JOIN o USING (job_id)"""
 )
 def step_inputs(spark, sf_dir):
-    """The step each step of a job reads from: the first of its inputs that is done, wholly or in part."""
+    """The artifacts each step of a job reads: orders are jobs of three pipelines, lineitems their steps with two artifacts, or none, put out."""
     rows = table(spark, sf_dir, "lineitem")
-    step = F.element_at(F.array(*[F.lit(s) for s in _STEPS]), F.col("l_linenumber").cast("int"))
-    status = F.when(F.col("l_returnflag") == "A", "succeeded").when(F.col("l_returnflag") == "R", "partially_succeeded").otherwise("failed")
-    return rt.step_inputs(rows.select(F.col("l_orderkey").alias("job_id"), step.alias("step"), status.alias("status")))
+    place = F.col("l_linenumber").cast("int")
+    kind = F.col("l_orderkey") % 3
+    step = F.when(kind == 0, F.element_at(F.array(*map(F.lit, _PIPELINES[0])), place)).when(kind == 1, F.element_at(F.array(*map(F.lit, _PIPELINES[1])), place)).otherwise(F.element_at(F.array(*map(F.lit, _PIPELINES[2])), place))
+    outputs = F.when(F.col("l_suppkey") != 1, F.when(F.col("l_returnflag") == "N", F.array().cast("array<bigint>")).otherwise(F.array("l_partkey", "l_suppkey")))
+    runs = rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("run"), step.alias("step"), outputs.alias("outputs"))
+    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("source_artifact"))
+    return rt.step_inputs(runs, sources).select("job_id", "run", "step", F.array_join("inputs", ",").alias("inputs"))
 
 
 @query(

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go at its end.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = Path(__file__).resolve().parent
-#: Folders of the tables written so far, in order.
-_PATHS: list[str] = []
+#: Folders of the tables that this thread's run has written so far, in order.
+_PATHS: ContextVar[tuple[str, ...]] = ContextVar("quirekit-written", default=())
 
 
 def shipped(spark: SparkSession) -> None:
@@ -42,28 +45,34 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, folder: str | None = None, files: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, or in ``folder``: cuts lineage, survives the loss of executors.
 
-    ``files`` bounds the files of a table that is small beside what it was made from."""
+    ``files`` bounds the files of a table that is small beside what it was made from. Shuffle files of the write go with it, not when the driver
+    next happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
-    _PATHS.append(path)
+    had = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        (df.coalesce(files) if files else df).write.parquet(path)
+    finally:
+        spark.conf.unset(_FREED) if had is None else spark.conf.set(_FREED, had)
+    _PATHS.set((*_PATHS.get(), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def marked() -> int:
-    """A mark: what is written from here on can be swept."""
-    return len(_PATHS)
+    """A mark: what this thread writes from here on can be swept; other threads' runs have marks of their own."""
+    return len(_PATHS.get())
 
 
 def swept(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Deletes the tables written since a mark, but for those that ``keep`` reads."""
+    """Deletes the tables this thread has written since a mark, but for those that ``keep`` reads."""
     needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for f in df.inputFiles()}
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     left = []
-    for path in _PATHS[mark:]:
+    for path in _PATHS.get()[mark:]:
         if path.rsplit("/", 1)[1] in needed:
             left.append(path)
         else:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
-    _PATHS[mark:] = left
+    _PATHS.set((*_PATHS.get()[:mark], *left))
