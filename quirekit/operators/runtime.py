@@ -11,14 +11,13 @@ import math
 import os
 import re
 from collections.abc import Callable, Mapping
-from functools import reduce
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..schemas import CANCELLED, DONE, FAILED, PARTIAL, SUCCEEDED
+from ..schemas import DONE, FAILED
 from ..session import written
 from . import jobs, translate
 
@@ -148,35 +147,6 @@ def step_inputs(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return one.select("run.*", inputs.alias("inputs"))
 
 
-def resumed(segments: DataFrame, records: DataFrame | None, factory: Callable[[], object], options: dict | None = None, token: CancellationToken | None = None, folder: str | None = None, slices: int = 4) -> tuple[DataFrame, str]:
-    """A translate step that goes on where it stopped: segments with a done record are passed over; the others' records are written slice by
-    slice (of their ids' hashes), so that a run that breaks off loses one slice at most. Answers with this run's records and the step's status.
-
-    With a token each segment asks it before its provider call; those that come too late are cancelled."""
-    had = None if records is None else records.filter(F.col("status").isin(*DONE)).select("segment_id").distinct()
-    todo = (segments if had is None else segments.join(had, "segment_id", "left_anti")).dropDuplicates(["segment_id"])
-    asked = factory if token is None else lambda: _Asking(factory(), token)
-    parts = []
-    for i in range(slices):
-        made = translate.executed(todo.filter(F.pmod(F.xxhash64("segment_id"), F.lit(slices)) == i), asked, options)
-        parts.append(written(made.withColumn("status", F.when(F.col("error.code") == "CANCELLED", CANCELLED).otherwise(F.col("status"))), "records", folder))
-    out = reduce(DataFrame.unionByName, parts)
-    status = out.agg(translate.batch_status().alias("status")).first()["status"]
-    return out, PARTIAL if status in (FAILED, CANCELLED) and had is not None and not had.isEmpty() else status
-
-
-class _Asking:
-    """A provider that asks a token first."""
-
-    def __init__(self, provider, token: CancellationToken):
-        self.provider, self.token, self.id = provider, token, getattr(provider, "id", "")
-
-    def translate(self, text: str, options: dict) -> dict:
-        if self.token.cancelled:
-            raise translate.ProviderError("CANCELLED", "the step was cancelled")
-        return self.provider.translate(text, options)
-
-
 def reused_pages(pages: DataFrame, artifacts: DataFrame, earlier: DataFrame) -> DataFrame:
     """``pages`` (project_id, page_id, order) with their source artifact and the translated artifact of an earlier job that was made from the
     same source artifact: then the page is reused, else it is to be translated."""

@@ -78,6 +78,34 @@ def planned(segments: DataFrame, selected: DataFrame | None = None, existing: Da
     return out.withColumn("action", F.when(F.coalesce(keep, F.lit(False)), "keep").when(F.col("chosen"), "work").otherwise(SOURCE))
 
 
+def called(provider, text: str, policy: dict, protected: tuple[str, ...] = (), sleep: bool = True, note: Callable[[str, int, dict | None], None] = lambda kind, attempt, error: None) -> dict:
+    """One text through a provider, with bounded retries and growing pauses: a record's values. ``note`` hears of each retry and of the end."""
+    attempt = 0
+    while True:
+        attempt += 1
+        try:
+            answer = provider.translate(text, policy)
+            body = answer.get("text")
+            if not isinstance(body, str) or not body.strip():
+                raise ProviderError("OUTPUT_MISSING", "the provider returned no text", True)
+            if any(p and p in body for p in protected):
+                raise ProviderError("OUTPUT_INVALID", "the output repeats a protected value")
+            usage = {k: int(v) for k, v in (answer.get("usage") or {}).items() if isinstance(v, int) and not isinstance(v, bool) and v >= 0}
+            note(SUCCEEDED, attempt, None)
+            return {"status": SUCCEEDED, "translated_text": body, "model": answer.get("model"), "attempts": attempt, "usage": usage, "error": None}
+        except Exception as e:  # noqa: BLE001  any provider error becomes the row's error
+            known = isinstance(e, ProviderError)
+            error = {"code": e.code if known else "PROVIDER_FAILURE", "message": str(e) if known else type(e).__name__, "details": "{}", "retryable": bool(known and e.retryable)}
+            if known and e.retryable and attempt <= policy["max_retries"]:
+                note("retry", attempt, error)
+                if sleep:
+                    time.sleep(min(policy["retry_backoff_seconds"] * 2 ** (attempt - 1), 10.0))
+                continue
+            ended = CANCELLED if error["code"] == "CANCELLED" else FAILED
+            note(ended, attempt, error)
+            return {"status": FAILED, "translated_text": None, "model": None, "attempts": attempt, "usage": {}, "error": error}
+
+
 def executed(work: DataFrame, factory: Callable[[], object], options: dict | None = None, protected: tuple[str, ...] = (), sleep: bool = True) -> DataFrame:
     """Results of a provider over ``work`` (segment_id, source_text): status, text, provider, model, attempts, usage, error.
 
@@ -85,32 +113,10 @@ def executed(work: DataFrame, factory: Callable[[], object], options: dict | Non
     policy = OPTIONS | (options or {})
     shipped(work.sparkSession)
 
-    def one(provider, text: str) -> dict:
-        attempt = 0
-        while True:
-            attempt += 1
-            try:
-                answer = provider.translate(text, policy)
-                body = answer.get("text")
-                if not isinstance(body, str) or not body.strip():
-                    raise ProviderError("OUTPUT_MISSING", "the provider returned no text", True)
-                if any(p and p in body for p in protected):
-                    raise ProviderError("OUTPUT_INVALID", "the output repeats a protected value")
-                usage = {k: int(v) for k, v in (answer.get("usage") or {}).items() if isinstance(v, int) and not isinstance(v, bool) and v >= 0}
-                return {"status": SUCCEEDED, "translated_text": body, "model": answer.get("model"), "attempts": attempt, "usage": usage, "error": None}
-            except Exception as e:  # noqa: BLE001  any provider error becomes the row's error
-                known = isinstance(e, ProviderError)
-                if known and e.retryable and attempt <= policy["max_retries"]:
-                    if sleep:
-                        time.sleep(min(policy["retry_backoff_seconds"] * 2 ** (attempt - 1), 10.0))
-                    continue
-                error = {"code": e.code if known else "PROVIDER_FAILURE", "message": str(e) if known else type(e).__name__, "details": "{}", "retryable": bool(known and e.retryable)}
-                return {"status": FAILED, "translated_text": None, "model": None, "attempts": attempt, "usage": {}, "error": error}
-
     def run(frames):
         provider = factory()
         for frame in frames:
-            rows = [{"segment_id": k, "provider_id": getattr(provider, "id", ""), **one(provider, t)} for k, t in zip(frame["segment_id"], frame["source_text"], strict=True)]
+            rows = [{"segment_id": k, "provider_id": getattr(provider, "id", ""), **called(provider, t, policy, protected, sleep)} for k, t in zip(frame["segment_id"], frame["source_text"], strict=True)]
             yield pd.DataFrame(rows, columns=["segment_id", "status", "translated_text", "provider_id", "model", "attempts", "usage", "error"])
 
     schema = f"segment_id string, status string, translated_text string, provider_id string, model string, attempts int, usage map<string,bigint>, error {ERROR}"

@@ -34,25 +34,6 @@ def test_projects_and_jobs(spark):
         rt.deletable(none, {}, active, "x")
 
 
-def test_a_step_goes_on_where_it_stopped(spark, tmp_path):
-    segments = spark.createDataFrame([(str(i), "[[MOCK_FAIL]]" if i == 3 else f"t{i}") for i in range(10)], "segment_id string, source_text string")
-    quick = {"retry_backoff_seconds": 0.0}
-    first, status = rt.resumed(segments.filter("segment_id < 6"), None, translate.MockProvider, quick)
-    assert status == "partially_succeeded" and first.filter("status = 'succeeded'").count() == 5
-    again, status = rt.resumed(segments, first, translate.MockProvider, quick)
-    assert {r["segment_id"] for r in again.collect()} == {"3", "6", "7", "8", "9"} and status == "partially_succeeded"
-    done = first.unionByName(again).filter("segment_id <> '3'")
-    _, status = rt.resumed(segments.filter("segment_id <> '3'"), done, translate.MockProvider, quick)
-    assert status == "noop"
-    token = rt.CancellationToken(str(tmp_path / "tokens" / "job"))
-    token.checkpoint()
-    token.cancel()
-    stopped, status = rt.resumed(segments, None, translate.MockProvider, quick, token)
-    assert status == "cancelled" and stopped.filter("status = 'cancelled'").count() == 10
-    with pytest.raises(rt.Cancelled):
-        token.checkpoint()
-
-
 def test_nested_rows_are_bounded(spark):
     parents = spark.createDataFrame([(1,), (2,)], "k int")
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "k int, name string, pos int")
