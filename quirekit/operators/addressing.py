@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -29,14 +29,39 @@ def normalised(status: Column, *candidates: Column) -> Column:
     return F.when(fine & (fx.strip(body) != ""), fx.strip(body))
 
 
+# Kinds of keys a mapping of translations may have.
+NUMBER, TEXT, TUPLE = "number", "text", "tuple"
+
+
 def addressed(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """``units`` (doc, sequence, locator_key) with ``value`` of entries (doc, address, value): the first of the addresses sequence, locator that
-    an entry has decides, even where its value is null."""
-    wanted = units.select("doc", "sequence", F.posexplode(F.array(F.col("sequence").cast("string"), F.col("locator_key"))).alias("rank", "address"))
-    hits = wanted.join(entries, ["doc", "address"])
-    first = F.row_number().over(Window.partitionBy("doc", "sequence").orderBy("rank", F.col("value").asc_nulls_last()))
-    best = hits.withColumn("_n", first).filter("_n = 1").select("doc", "sequence", "value")
-    return units.join(best, ["doc", "sequence"], "left")
+    """``units`` (doc, sequence, locator_key[, locator_tuple]) with ``value`` of a mapping's entries (doc, address, value[, kind]).
+
+    A unit is looked for by its sequence as a number, as text, by its locator's key and by the tuple of its locator's values; the first of these
+    addresses that an entry has decides, even where its value is null. Entries without a kind are texts; of equal ones the largest value counts."""
+    if "kind" not in entries.columns:
+        entries = entries.withColumn("kind", F.lit(TEXT))
+    number = F.col("sequence").cast("string")
+    ways = [(NUMBER, number), (TEXT, number), (TEXT, F.col("locator_key"))] + ([(TUPLE, F.col("locator_tuple"))] if "locator_tuple" in units.columns else [])
+    tried = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), address.alias("address")) for i, (kind, address) in enumerate(ways)])
+    wanted = units.select("doc", "sequence", F.explode(tried).alias("way")).select("doc", "sequence", "way.*")
+    one = entries.groupBy("doc", "kind", "address").agg(F.max("value").alias("value"))
+    best = wanted.join(one, ["doc", "kind", "address"]).groupBy("doc", "sequence").agg(F.min_by(F.struct("value"), "rank").alias("hit"))
+    return units.join(best, ["doc", "sequence"], "left").withColumn("value", F.col("hit.value")).drop("hit")
+
+
+def addressed_list(units: DataFrame, records: DataFrame) -> DataFrame:
+    """``units`` (doc, sequence, locator_key) with ``value`` of a list's records (doc, position, sequence as text, locator_key, value).
+
+    A record goes to the sequence it names, else to that of its locator, else, where it names neither or an unknown locator, to the one of its own position.
+    Sequences that are no whole number, or that no unit has, go nowhere. Records without a value are passed over; of several the last one counts."""
+    size = units.groupBy("doc").agg(F.count("*").alias("_size"))
+    placed = units.groupBy("doc", "locator_key").agg(F.max("sequence").alias("_placed"))
+    found = records.filter("value is not null").join(size, "doc").join(placed, ["doc", "locator_key"], "left")
+    named = F.when(F.col("sequence").rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"), F.regexp_replace("sequence", r"[\s_+]", "").try_cast("long"))
+    goal = F.when(F.col("sequence").isNotNull(), named).otherwise(F.coalesce("_placed", "position")).cast("long")
+    found = found.withColumn("_goal", goal).filter(F.col("_goal").between(0, F.col("_size") - 1))
+    last = found.groupBy("doc", F.col("_goal").alias("sequence")).agg(F.max_by("value", "position").alias("value"))
+    return units.join(last, ["doc", "sequence"], "left")
 
 
 def carried_segments(fresh: DataFrame, history: DataFrame, own: DataFrame) -> DataFrame:

@@ -64,11 +64,15 @@ _PIPELINES = (
 )
 
 
+#: Line numbers of an order repeat here and there: places are counted; those after the seventh are no steps.
+_PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+
+
 @query(
-    """WITH r AS (SELECT l_orderkey AS job_id, l_linenumber AS run, CASE l_suppkey WHEN 1 THEN NULL ELSE CASE WHEN l_returnflag = 'N' THEN [] ELSE [l_partkey, l_suppkey] END END AS outputs, o_custkey AS file,
- CASE l_orderkey % 3 WHEN 0 THEN ['detect_encoding', 'extract_text', 'segment_text', 'translate_text', 'quality_check', 'export_novel', 'unknown'][l_linenumber::INT]
-  WHEN 1 THEN ['inspect_epub', 'segment_epub', 'translate_text', 'quality_check', 'export_epub', 'unknown', 'unknown'][l_linenumber::INT]
-  ELSE ['prepare_manga', 'translate_manga', 'export_manga', 'unknown', 'unknown', 'unknown', 'unknown'][l_linenumber::INT] END AS step FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    f"""WITH r AS (SELECT l_orderkey AS job_id, {_PLACE} AS run, CASE l_suppkey WHEN 1 THEN NULL ELSE CASE WHEN l_returnflag = 'N' THEN [] ELSE [l_partkey, l_suppkey] END END AS outputs, o_custkey AS file,
+ CASE l_orderkey % 3 WHEN 0 THEN ['detect_encoding', 'extract_text', 'segment_text', 'translate_text', 'quality_check', 'export_novel', 'unknown'][run::INT]
+  WHEN 1 THEN ['inspect_epub', 'segment_epub', 'translate_text', 'quality_check', 'export_epub', 'unknown', 'unknown'][run::INT]
+  ELSE ['prepare_manga', 'translate_manga', 'export_manga', 'unknown', 'unknown', 'unknown', 'unknown'][run::INT] END AS step FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 o AS (SELECT job_id, any_value(outputs) FILTER (step = 'detect_encoding') AS enc, any_value(outputs) FILTER (step = 'extract_text') AS txt, any_value(outputs) FILTER (step = 'inspect_epub') AS epub,
  any_value(outputs) FILTER (step IN ('segment_text', 'segment_epub')) AS seg, any_value(outputs) FILTER (step = 'translate_text') AS tr, any_value(outputs) FILTER (step = 'quality_check') AS qa,
  any_value(outputs) FILTER (step = 'prepare_manga') AS prep, any_value(outputs) FILTER (step = 'translate_manga') AS pages FROM r GROUP BY 1)
@@ -78,12 +82,12 @@ SELECT job_id, run, step, coalesce(array_to_string(CASE WHEN step IN ('detect_en
 )
 def step_inputs(spark, sf_dir):
     """The artifacts each step of a job reads: orders are jobs of three pipelines, lineitems their steps with two artifacts, or none, put out."""
-    rows = table(spark, sf_dir, "lineitem")
-    place = F.col("l_linenumber").cast("int")
+    rows = table(spark, sf_dir, "lineitem").withColumn("run", F.expr(_PLACE).cast("long"))
+    place = (F.col("run") - 1).cast("int")
     kind = F.col("l_orderkey") % 3
-    step = F.when(kind == 0, F.element_at(F.array(*map(F.lit, _PIPELINES[0])), place)).when(kind == 1, F.element_at(F.array(*map(F.lit, _PIPELINES[1])), place)).otherwise(F.element_at(F.array(*map(F.lit, _PIPELINES[2])), place))
+    step = F.when(kind == 0, F.get(F.array(*map(F.lit, _PIPELINES[0])), place)).when(kind == 1, F.get(F.array(*map(F.lit, _PIPELINES[1])), place)).otherwise(F.get(F.array(*map(F.lit, _PIPELINES[2])), place))
     outputs = F.when(F.col("l_suppkey") != 1, F.when(F.col("l_returnflag") == "N", F.array().cast("array<bigint>")).otherwise(F.array("l_partkey", "l_suppkey")))
-    runs = rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("run"), step.alias("step"), outputs.alias("outputs"))
+    runs = rows.select(F.col("l_orderkey").alias("job_id"), "run", step.alias("step"), outputs.alias("outputs"))
     sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("source_artifact"))
     return rt.step_inputs(runs, sources).select("job_id", "run", "step", F.array_join("inputs", ",").alias("inputs"))
 
