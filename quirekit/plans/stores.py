@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import addressing, attempts, commits, deletion
+from ..operators import addressing, attempts, commits, deletion, prefix
 from ..streaming import runner
 from .texts import table
 
@@ -133,3 +133,39 @@ def address_list(spark, sf_dir):
     locator = F.when(q > 10, F.concat(F.lit("k"), F.col("l_partkey") + (q > 30).cast("int")))
     records = rows.select("doc", F.col("sequence").alias("position"), named.alias("sequence"), locator.alias("locator_key"), F.when(q > 3, F.concat(F.lit("v"), n)).alias("value"))
     return addressing.addressed_list(rows.select("doc", "sequence", "locator_key"), records).select("doc", "sequence", "value")
+
+
+_CENTS = "round(l_extendedprice * 100)"
+_IN_FLAG = "OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, place ROWS UNBOUNDED PRECEDING)"
+
+
+def _placed(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("place", F.expr(_PLACE).cast("long"))
+    return rows.select("l_returnflag", "l_orderkey", "place", F.expr(_CENTS).cast("long").alias("size"))
+
+
+@query(f"SELECT l_returnflag, l_orderkey, place, size, (sum(size) {_IN_FLAG})::BIGINT AS running FROM (SELECT *, {_PLACE} AS place, {_CENTS}::BIGINT AS size FROM lineitem)")
+def running_sizes(spark, sf_dir):
+    """Lineitems as members of three huge archives, one a return flag: the bytes read up to each."""
+    return prefix.running_sums(_placed(spark, sf_dir), ["l_returnflag"], ["l_orderkey", "place"], F.col("size"))
+
+
+@query(
+    f"""SELECT l_returnflag, l_orderkey, place, running FROM (SELECT l_returnflag, l_orderkey, place, (sum(size) {_IN_FLAG})::BIGINT AS running FROM (SELECT *, {_PLACE} AS place, {_CENTS}::BIGINT AS size FROM lineitem))
+WHERE running > 1000000000 QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, place) = 1"""
+)
+def size_limits(spark, sf_dir):
+    """The member at which each of those archives passes ten million units."""
+    return prefix.over_limit(_placed(spark, sf_dir), ["l_returnflag"], ["l_orderkey", "place"], F.col("size"), 1_000_000_000).select("l_returnflag", "l_orderkey", "place", "running")
+
+
+@query("SELECT event_type, user_id, first, (row_number() OVER (PARTITION BY event_type ORDER BY first) - 1)::BIGINT AS place FROM (SELECT event_type, user_id, min(event_id) AS first FROM events GROUP BY 1, 2)")
+def first_occurrences(spark, sf_dir):
+    """Users in the order in which they first appear among the events of a type: a spine's documents, once each."""
+    return prefix.first_occurrences(table(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id")
+
+
+@query("SELECT doc_id, source, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents")
+def unit_starts(spark, sf_dir):
+    """Where each document's characters begin in its source, read one after the other."""
+    return prefix.starts(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.length("text").cast("long")).select("doc_id", "source", "start")
