@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import addressing, attempts, commits, deletion, prefix
+from ..operators import addressing, attempts, commits, deletion, doctor, prefix
 from ..streaming import runner
 from .texts import table
 
@@ -169,3 +169,25 @@ def first_occurrences(spark, sf_dir):
 def unit_starts(spark, sf_dir):
     """Where each document's characters begin in its source, read one after the other."""
     return prefix.starts(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.length("text").cast("long")).select("doc_id", "source", "start")
+
+
+@query(
+    """WITH n AS (SELECT 'project' AS kind, o_custkey::VARCHAR AS key, 'PROJECT_MISSING' AS code FROM orders UNION ALL SELECT 'project', user_id::VARCHAR, 'PROJECT_MISSING' FROM events UNION ALL SELECT 'project', s_nationkey::VARCHAR, 'PROJECT_MISSING' FROM supplier
+ UNION ALL SELECT 'artifact', s_suppkey::VARCHAR, 'ARTIFACT_MISSING' FROM supplier UNION ALL SELECT 'job', l_orderkey::VARCHAR, 'JOB_MISSING' FROM lineitem),
+h AS (SELECT 'project' AS kind, c_custkey::VARCHAR AS key FROM customer UNION SELECT 'job', o_orderkey::VARCHAR FROM orders UNION SELECT 'artifact', event_id::VARCHAR FROM events),
+a AS (SELECT 'f' || (event_id % 300) AS key, event_id % 3 AS size FROM events), b AS (SELECT key, count(*) AS n, min(size) AS low, max(size) AS high FROM a GROUP BY 1), f AS (SELECT 'f' || p_partkey AS key, p_partkey % 3 AS size FROM part)
+SELECT kind, key, max(code) AS code, count(*) AS "references" FROM n ANTI JOIN h USING (kind, key) GROUP BY 1, 2
+UNION ALL SELECT 'payload', key, CASE WHEN f.key IS NULL THEN 'PAYLOAD_MISSING' WHEN b.key IS NULL THEN 'PAYLOAD_ORPHAN' ELSE 'PAYLOAD_ALTERED' END, coalesce(n, 0) FROM b FULL JOIN f USING (key) WHERE f.key IS NULL OR b.key IS NULL OR low <> size OR high <> size"""
+)
+def reconciliation(spark, sf_dir):
+    """Customers as projects, orders as jobs, events as artifacts, suppliers as sources, lineitems as segments, parts as files."""
+    rows = {name: table(spark, sf_dir, name) for name in ("customer", "orders", "events", "supplier", "lineitem", "part")}
+    tables = {
+        "projects": rows["customer"].select(F.col("c_custkey").alias("project_id")),
+        "jobs": rows["orders"].select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id")),
+        "artifacts": rows["events"].select(F.col("event_id").alias("artifact_id"), F.col("user_id").alias("project_id"), F.concat(F.lit("f"), F.col("event_id") % 300).alias("storage_key"), (F.col("event_id") % 3).alias("size")),
+        "sources": rows["supplier"].select(F.col("s_nationkey").alias("project_id"), F.col("s_suppkey").alias("artifact_id")),
+        "segments": rows["lineitem"].select(F.col("l_orderkey").alias("job_id")),
+    }
+    files = rows["part"].select(F.concat(F.lit("f"), "p_partkey").alias("storage_key"), (F.col("p_partkey") % 3).alias("size"))
+    return doctor.reconciled(tables, files)
