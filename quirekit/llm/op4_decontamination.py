@@ -53,7 +53,7 @@ SURE = 1 - 1e-3
 #: Leading bits of a word's hash by which its term is looked up.
 HEAD = 18
 #: Entries of the index opened at a time.
-HELD = 1 << 21
+HELD = 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
@@ -208,12 +208,18 @@ def _scored(index: Index, term: np.ndarray, starts: np.ndarray, threshold: float
     most, pair = most[live], pair[live]
 
     def entries(pair, low, count):
-        """For terms low, low + 1, ... of each pair's passage: the pair and the entry of the term in the pair's block, where there is one."""
-        of = np.repeat(np.arange(len(pair)), count)
-        key = term[_spread(low, count)] * index.blocks + pair[of] % index.blocks
-        spot = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
-        hit = index.entry[spot] == key
-        return of[hit], spot[hit]
+        """For terms low, low + 1, ... of each pair's passage: the pair and the entry of the term in the pair's block, where there is one. So many pairs
+        at a time that their terms fit."""
+        upto, found, i = np.cumsum(count), [], 0
+        while i < len(pair):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HELD, "right")))
+            of = np.repeat(np.arange(i, j), count[i:j])
+            key = term[_spread(low[i:j], count[i:j])] * index.blocks + pair[of] % index.blocks
+            spot = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
+            hit = index.entry[spot] == key
+            found.append((of[hit], spot[hit]))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
     passage = pair // index.blocks
     of, spot = entries(pair, starts[passage], skipped[passage])

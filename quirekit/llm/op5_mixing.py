@@ -16,10 +16,13 @@ in is taken where this comes nearer to the target. Further columns of any type p
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, column, table, written
+from .common import column, table, tuned, written
+from .words import sliced, text_bytes, word_bounds
 
 #: Weights of sources in the order of their names, repeating; what the mix holds of all words; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -46,15 +49,32 @@ def _named(columns: list[str]) -> tuple[dict[str, str], str]:
     return own, prefix
 
 
-def sized(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, str]:
-    """``docs`` with words and bytes of each text, a number below 2**52 drawn by id and text, its log key and bins, their names after the prefix that
-    is answered too."""
+def _measured(kept: list[str], added: list[str]):
+    """Kept columns, the draw, and words and bytes of ``text``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch):
+                raw, offs = text_bytes(part.column(part.schema.get_field_index("text")))
+                _, _, rows = word_bounds(raw, offs)
+                own = [part.column(i) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, part.column(part.num_columns - 1), pa.array(rows[1:] - rows[:-1]), pa.array(offs[1:] - offs[:-1])], kept + added)
+
+    return run
+
+
+def sized(docs: DataFrame, seed: int = 17, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Columns ``keep`` (all, by default) of ``docs`` with words and bytes of each text, a number below 2**52 drawn by id and text, its log key and
+    bins, their names after the prefix that is answered too."""
+    tuned(docs.sparkSession)
     own, p = _named(docs.columns)
+    keep = docs.columns if keep is None else keep
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")
-    size, n_bytes = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    kept = [column(c).alias(n) for c, n in own.items()]
-    rows = docs.select(*kept, size.alias(f"{p}size"), draw.alias(f"{p}draw"), n_bytes.alias(f"{p}bytes"))
+    read = docs.select(*[column(c).alias(own[c]) for c in keep], *([] if "text" in keep else ["text"]), draw.alias(f"{p}draw"))
+    kept, added = [own[c] for c in keep], [f"{p}draw", f"{p}size", f"{p}bytes"]
+    schema = StructType([*[StructField(own[c], docs.schema[c].dataType) for c in keep], *[StructField(n, LongType()) for n in added]])
+    rows = read.mapInArrow(_measured(kept, added), schema)
     rows = rows.withColumn(f"{p}key", log_key(F.col(f"{p}draw"), F.col(f"{p}size"), F.col(f"{p}bytes")))
     return rows.select("*", *[b.alias(f"{p}bin{k}") for k, b in enumerate(bins(F.col(f"{p}key")))]), p
 
@@ -109,12 +129,18 @@ def ends(slim: DataFrame, per: DataFrame) -> DataFrame:
     return found.drop("rest")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
-    """``docs``, all columns, with size, source_size, target, copies and taken. Texts neither shuffle nor are they written, unless sources are too many to
-    be broadcast."""
-    rows, p = sized(docs, seed)
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, all columns or those to keep, with size, source_size, target, copies and taken.
+
+    Measures are written once; where texts are kept, words are counted once more with the rows, so that texts neither shuffle nor are written (unless sources
+    are too many to be broadcast)."""
+    keep = docs.columns if keep is None else list(dict.fromkeys([*keep, "doc_id", "source"]))
+    rows, p = sized(docs, seed, keep if "text" not in keep else ["source"])
     names = [f"bin{k}" for k in range(LEVELS)]
-    slim = written(rows.select("source", *[F.col(f"{p}{n}").alias(n) for n in ("size", *names)]), "mix")
+    rows = written(rows, "mix")
+    slim = rows.select("source", *[F.col(f"{p}{n}").alias(n) for n in ("size", *names)])
+    if "text" in keep:
+        rows, p = sized(docs, seed, keep)
     per = source_targets(slim, weights, share, epochs)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     per = per.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
@@ -137,7 +163,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int =
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of all documents; see the module's defined results."""
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 #: The same mix by one sort a source.
