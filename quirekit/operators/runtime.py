@@ -10,7 +10,7 @@ import json
 import math
 import os
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -215,33 +215,45 @@ def reserved_parameters(parameters: Column, reserved=values.RESERVED) -> Column:
 
 
 class Registry:
-    """Providers or adapters by name: made once a task, asked for their health on the driver."""
+    """Providers or adapters by name: made once a task, asked for their health on the driver, chosen by what they declare they can do."""
 
     def __init__(self):
-        self._made: dict[str, Callable[[], object]] = {}
+        self._made: dict[str, tuple[Callable[[], object], frozenset[str]]] = {}
 
-    def register(self, name: str, factory: Callable[[], object]) -> None:
+    def register(self, name: str, factory: Callable[[], object], capabilities: Iterable[str] = ()) -> None:
         if not re.fullmatch(r"[a-z0-9][a-z0-9_-]{0,63}", name):
             raise ValueError("CONFIGURATION: a provider's name is lower-case letters, digits, - and _")
         if name in self._made:
             raise ValueError(f"CONFIGURATION: {name} is registered already")
-        self._made[name] = factory
+        self._made[name] = factory, frozenset(capabilities)
 
-    def factory(self, name: str) -> Callable[[], object]:
+    def factory(self, name: str, capability: str | None = None) -> Callable[[], object]:
+        """The factory of a name, which must declare the capability where one is asked for."""
         if name not in self._made:
             raise ValueError(f"PROVIDER_NOT_FOUND: {name}")
-        return self._made[name]
+        made, known = self._made[name]
+        if capability is not None and capability not in known:
+            raise ValueError(f"CONFIGURATION: {name} does not declare {capability}")
+        return made
+
+    def chosen(self, capability: str) -> str:
+        """The first name registered that declares the capability and is well; those that come before it and are sick are passed over."""
+        for name, (factory, known) in self._made.items():
+            if capability in known and self._told(factory) == "ok":
+                return name
+        raise ValueError(f"ADAPTER_UNAVAILABLE: nothing that is well declares {capability}")
+
+    @staticmethod
+    def _told(factory: Callable[[], object]) -> str:
+        try:
+            made = factory()
+            return str(made.health() if hasattr(made, "health") else "ok")
+        except Exception as e:  # noqa: BLE001  a sick provider must not hide the others
+            return values.redacted_text(f"{type(e).__name__}: {e}")
 
     def health(self) -> dict[str, str]:
         """``ok``, or why not, of each; one that has no ``health`` is ok once it can be made."""
-        out = {}
-        for name, factory in sorted(self._made.items()):
-            try:
-                made = factory()
-                out[name] = str(made.health() if hasattr(made, "health") else "ok")
-            except Exception as e:  # noqa: BLE001  a sick provider must not hide the others
-                out[name] = values.redacted_text(f"{type(e).__name__}: {e}")
-        return out
+        return {name: self._told(factory) for name, (factory, _) in sorted(self._made.items())}
 
 
 class HttpProvider:
@@ -265,17 +277,26 @@ class HttpProvider:
         body = json.dumps({**parameters, "model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
         headers = {"Content-Type": "application/json"}
         if self.key_name:
-            headers["Authorization"] = f"Bearer {os.environ.get(self.key_name, '')}"
+            key = os.environ.get(self.key_name, "").strip()
+            if not key:
+                raise translate.ProviderError("CONFIGURATION", f"{self.key_name} is not set")
+            headers["Authorization"] = f"Bearer {key}"
         request = urllib.request.Request(f"{self.endpoint}/chat/completions", body, headers)  # noqa: S310  the scheme was checked
         try:
             with (self.opener or urllib.request.urlopen)(request, timeout=self.timeout) as answer:
                 got = json.loads(answer.read())
             content = got["choices"][0]["message"]["content"]
         except urllib.error.HTTPError as e:
-            raise translate.ProviderError("PROVIDER_FAILURE", f"status {e.code}", e.code in (408, 409, 425, 429) or e.code >= 500) from None
-        except (urllib.error.URLError, TimeoutError):
-            raise translate.ProviderError("PROVIDER_UNAVAILABLE", "the endpoint did not answer", True) from None
+            code = "RATE_LIMIT" if e.code == 429 else "MODEL_API"
+            raise translate.ProviderError(code, f"status {e.code}", e.code == 429 or e.code >= 500) from None
+        except TimeoutError:
+            raise translate.ProviderError("TIMEOUT", "the endpoint took too long", True) from None
+        except urllib.error.URLError as e:
+            late = isinstance(e.reason, TimeoutError)
+            raise translate.ProviderError("TIMEOUT" if late else "MODEL_API", "the endpoint took too long" if late else "the endpoint could not be reached", True) from None
         except (ValueError, KeyError, IndexError, TypeError):
-            raise translate.ProviderError("PROVIDER_RESPONSE_INVALID", "the answer has no text", True) from None
+            raise translate.ProviderError("OUTPUT_MISSING", "the answer has no text", True) from None
+        if not isinstance(content, str) or not content.strip():
+            raise translate.ProviderError("OUTPUT_MISSING", "the answer has no text", True)
         usage = {k: v for k, v in (got.get("usage") or {}).items() if isinstance(v, int) and not isinstance(v, bool)}
-        return {"text": content, "model": got.get("model", self.model), "usage": usage}
+        return {"text": content.strip(), "model": got.get("model", self.model), "usage": usage}

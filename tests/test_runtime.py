@@ -109,11 +109,34 @@ def test_http_provider(monkeypatch):
 
         return rt.HttpProvider("http://h", "m", opener=opener)
 
-    for error, code, again in ((urllib.error.HTTPError("u", 503, "x", {}, None), "PROVIDER_FAILURE", True), (urllib.error.HTTPError("u", 401, "x", {}, None), "PROVIDER_FAILURE", False), (urllib.error.URLError("x"), "PROVIDER_UNAVAILABLE", True)):
+    http = lambda n: urllib.error.HTTPError("u", n, "x", {}, None)
+    for error, code, again in ((http(503), "MODEL_API", True), (http(401), "MODEL_API", False), (http(429), "RATE_LIMIT", True), (urllib.error.URLError("x"), "MODEL_API", True), (urllib.error.URLError(TimeoutError()), "TIMEOUT", True), (TimeoutError(), "TIMEOUT", True)):
         with pytest.raises(translate.ProviderError) as e:
             failing(error).translate("t", POLICY)
         assert (e.value.code, e.value.retryable) == (code, again)
     with pytest.raises(translate.ProviderError, match="no text"):
         rt.HttpProvider("http://h", "m", opener=lambda r, timeout: _Answer(b"{}")).translate("t", POLICY)
+    with pytest.raises(translate.ProviderError, match="is not set"):
+        rt.HttpProvider("http://h", "m", "NO_SUCH_KEY").translate("t", POLICY)
     with pytest.raises(translate.ProviderError, match="reserved"):
         rt.HttpProvider("http://h", "m").translate("t", POLICY | {"model_parameters": {"model": "x"}})
+
+
+def test_a_registry_chooses_by_capability_and_health():
+    class Made:
+        def __init__(self, told):
+            self.told = told
+
+        def health(self):
+            return self.told
+
+    known = rt.Registry()
+    known.register("sick", lambda: Made("models are missing"), ["translate_page"])
+    known.register("broken", lambda: 1 / 0, ["translate_page"])
+    known.register("well", lambda: Made("ok"), ["translate_page", "ocr"])
+    known.register("plain", lambda: object())
+    assert known.chosen("translate_page") == "well" and known.health()["sick"] == "models are missing" and known.health()["plain"] == "ok"
+    assert known.factory("well", "ocr")().told == "ok"
+    for wrong in (lambda: known.factory("sick", "ocr"), lambda: known.chosen("none"), lambda: known.factory("x")):
+        with pytest.raises(ValueError):
+            wrong()
