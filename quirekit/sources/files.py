@@ -10,7 +10,6 @@ import fnmatch
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as fx
 from ..schemas import ERROR, MAX_SOURCE_BYTES
@@ -20,8 +19,8 @@ from ..session import shipped
 SIGNATURES = (b"\x7fELF", b"7z\xbc\xaf\x27\x1c", b"%PDF-", b"BM", b"GIF87a", b"GIF89a", b"II*\0", b"MM\0*", b"PK\x03\x04", b"Rar!\x1a\x07", b"\x1f\x8b", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
 
 
-def error(code: str, message: str, retryable: bool = False) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit("{}").alias("details"), F.lit(retryable).alias("retryable")).cast(ERROR)
+def error(code: str, message: str | Column, retryable: bool = False) -> Column:
+    return F.struct(F.lit(code).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit("{}").alias("details"), F.lit(retryable).alias("retryable")).cast(ERROR)
 
 
 def no_error() -> Column:
@@ -142,12 +141,6 @@ def decode_texts(files: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("error").isNull(), fx.plain_newlines(F.col("text"))))
 
 
-def read_versioned(spark: SparkSession, path: str, schema: StructType | str, version: str) -> DataFrame:
-    """JSON lines of a fixed schema; rows of another schema_version come with an error instead of failing."""
-    rows = spark.read.schema(schema).json(path)
-    return rows.withColumn("error", F.when(F.col("schema_version").eqNullSafe(F.lit(version)), no_error()).otherwise(error("SCHEMA_VERSION", f"expected {version}")))
-
-
 def checked_payloads(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """Artifacts (storage_key, size, checksum) with their payloads; missing or altered ones come with an error."""
     found = files.select(F.col("path").alias("storage_key"), "content", F.col("source_size").alias("found_size"), F.col("source_sha256").alias("found_sha"))
