@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators import addressing, attempts, commits, deletion, doctor, prefix
+from ..sources import records
 from ..streaming import runner
 from .texts import table
 
@@ -191,3 +192,20 @@ def reconciliation(spark, sf_dir):
     }
     files = rows["part"].select(F.concat(F.lit("f"), "p_partkey").alias("storage_key"), (F.col("p_partkey") % 3).alias("size"))
     return doctor.reconciled(tables, files)
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 1 THEN NULL WHEN 4 THEN NULL ELSE CASE WHEN event_type = 'click' THEN 'pdf' ELSE 'txt' END END AS source_format, CASE WHEN event_id % 5 IN (0, 3) THEN user_id END AS output_size,
+ CASE event_id % 5 WHEN 1 THEN 'SCHEMA_VERSION:expected build-result.v1' WHEN 4 THEN 'INVALID_FORMAT:not a JSON object' WHEN 2 THEN 'INVALID_FORMAT:field output_size'
+ ELSE CASE WHEN event_type = 'click' THEN 'INVALID_FORMAT:field source_format' END END AS problem FROM events"""
+)
+def record_loads(spark, sf_dir):
+    """Events as build records: some of an unknown version, some without a field, of a wrong format, or no JSON at all; sizes as numbers and texts."""
+    kind, form = F.col("event_id") % 5, F.when(F.col("event_type") == "click", "pdf").otherwise("txt")
+    size = F.when(kind == 2, "").when(kind == 3, F.concat(F.lit(',"output_size":"'), "user_id", F.lit('"'))).otherwise(F.concat(F.lit(',"output_size":'), "user_id"))
+    version = F.when(kind == 1, "build-result.v9").otherwise("build-result.v1")
+    body = F.concat(F.lit('{"schema_version":"'), version, F.lit('","source_format":"'), form, F.lit('","output_sha256":"x","translated_count":1,"preserved_count":0'), size, F.lit("}"))
+    texts = table(spark, sf_dir, "events").select("event_id", F.when(kind == 4, "no json").otherwise(body).alias("value"))
+    return records.loaded(texts, "build-result.v1").select("event_id", "source_format", "output_size", F.concat_ws(":", "problem.code", "problem.message").alias("said"), "problem").select(
+        "event_id", "source_format", "output_size", F.when(F.col("problem").isNotNull(), F.col("said")).alias("problem")
+    )
