@@ -72,17 +72,24 @@ def rebuild_documents(records: DataFrame, segments: DataFrame | None = None) ->
 def translate_documents(spark: SparkSession, path: str, target: str, factory: Callable[[], object] = translate.MockProvider, options: dict | None = None, pattern: str | None = None, selected: DataFrame | None = None, existing: DataFrame | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
     """Text files from source to result in one call: inspected, segmented, translated, rebuilt and written to the table ``target``.
 
-    Returns the manifest, the segments, the records, the status by document and what was built. Bad files stay in the manifest with their error.
+    Returns the manifest, the segments, the records, the status by document, what was built, and what was left out: bad files with their error, and
+    packages and pages, which ``sources.epub`` and ``sources.archives`` read.
     The sources are read again before the result is written: a file that changed meanwhile is refused."""
     sinks.require_apart(path, target)
     found = inspect_documents(spark, path, pattern)
     manifest = written(found, "manifest")
-    segments = extract_segments(manifest.filter("source_format = 'txt'"), options)
+    segments = written(extract_segments(manifest.filter("source_format = 'txt'"), options), "segments")
     records, status = translate_segments(segments, factory, selected, existing, options)
     now = files.read_files(spark, path, pattern)
     _refuse(changed_sources(manifest, now), "SOURCE_MISMATCH", "sources changed")
     sinks.write_table(rebuild_documents(records, segments), target, overwrite)
-    return {"manifest": manifest, "segments": segments, "records": records, "status": status, "built": spark.read.parquet(target)}
+    return {"manifest": manifest, "segments": segments, "records": records, "status": status, "built": spark.read.parquet(target), "left_out": left_out(manifest)}
+
+
+def left_out(manifest: DataFrame) -> DataFrame:
+    """(path, source_format, code) of files that a text run doesn't take: their error's code, or UNSUPPORTED_FORMAT."""
+    code = F.coalesce("error.code", F.when(~F.col("source_format").eqNullSafe("txt"), "UNSUPPORTED_FORMAT"))
+    return manifest.select("path", "source_format", code.alias("code")).filter("code is not null")
 
 
 def unmatched_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:

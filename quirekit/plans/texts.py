@@ -241,9 +241,8 @@ def rebuild_sha(spark, sf_dir):
     """Segments, mock translation and rebuild of every document."""
     rows = units(spark, sf_dir).withColumn("status", F.lit("succeeded")).withColumn("out", fx.mock_translation(F.col("source_text"), F.lit(TARGET)))
     rows = rows.withColumn("value", checks.value_of(F.col("status"), F.col("out"), F.col("source_text")))
-    texts = checks.rebuilt(rows, "doc_id")
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("segments"))
-    return texts.join(counts, "doc_id").select("doc_id", "segments", ids.sha_text(F.col("text")).alias("rebuilt_sha256"))
+    texts = checks.rebuilt(rows, "doc_id", "value", F.count("*").alias("segments"))
+    return texts.select("doc_id", "segments", ids.sha_text(F.col("text")).alias("rebuilt_sha256"))
 
 
 @query(

@@ -75,6 +75,7 @@ def test_one_call_from_files_to_texts(spark, tmp_path):
     got = workspace.translate_documents(spark, str(folder), target)
     assert [(r["text"], r["translated"]) for r in got["built"].collect()] == [("[en] One.\n\n[en] Two.", 2)]
     assert [r["status"] for r in got["status"].collect()] == ["succeeded"] and got["manifest"].filter("error is not null").count() == 1
+    assert got["left_out"].count() == 1 and got["left_out"].first()["code"] is not None
     with pytest.raises(ValueError, match="OUTPUT_CONFLICT"):
         workspace.translate_documents(spark, str(folder), str(folder))
     changed = got["manifest"].withColumn("source_size", F.lit(1).cast("long"))
