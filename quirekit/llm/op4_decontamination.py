@@ -54,6 +54,8 @@ SURE = 1 - 1e-3
 HEAD = 18
 #: Entries of the index opened at a time.
 HELD = 1 << 20
+#: Most terms x blocks whose entries have a table of places.
+PLACES = 1 << 22
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
@@ -81,6 +83,7 @@ class Index:
     postings: np.ndarray  # place of each entry's first posting
     segment: np.ndarray  # of each posting
     impact: np.ndarray
+    place: np.ndarray | None  # of the entry of each term and block, -1 where there is none; kept for small indexes only, others search
     item: np.ndarray  # of each segment
     blocks: int
     block: int  # segments in a block
@@ -174,8 +177,12 @@ def _indexed(ids: list, parts: list, owner: list, block: int, k1: float, b: floa
     entry, entry_bound = entry[postings], np.maximum.reduceat(impact, postings)
     entries = np.searchsorted(entry // n_blocks, np.arange(len(terms) + 1))
     bound = np.maximum.reduceat(entry_bound, entries[:-1])
+    place = None
+    if len(terms) * n_blocks <= PLACES:
+        place = np.full(len(terms) * n_blocks, -1, np.int32)
+        place[entry] = np.arange(len(entry))
     first = np.searchsorted(terms, np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD))
-    return Index(ids, terms, np.r_[first, len(terms)].astype(np.int32), bound, entries, entry, entry_bound, np.r_[postings, len(impact)], segment.astype(np.int32), impact, owner, n_blocks, block, *told)
+    return Index(ids, terms, np.r_[first, len(terms)].astype(np.int32), bound, entries, entry, entry_bound, np.r_[postings, len(impact)], segment.astype(np.int32), impact, place, owner, n_blocks, block, *told)
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -215,8 +222,12 @@ def _scored(index: Index, term: np.ndarray, starts: np.ndarray, threshold: float
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HELD, "right")))
             of = np.repeat(np.arange(i, j), count[i:j])
             key = term[_spread(low[i:j], count[i:j])] * index.blocks + pair[of] % index.blocks
-            spot = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
-            hit = index.entry[spot] == key
+            if index.place is None:
+                spot = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
+                hit = index.entry[spot] == key
+            else:
+                spot = index.place[key]
+                hit = spot >= 0
             found.append((of[hit], spot[hit]))
             i = j
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
