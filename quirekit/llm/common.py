@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Records an Arrow batch holds; whole texts travel in batches, so few rows bound the memory.
 ARROW_ROWS = 1000
 
+#: Characters of a query's plan that are kept for display.
+PLAN_CHARS = 1 << 16
+
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` that no pending result reads any more."""
@@ -33,6 +36,8 @@ def tuned(spark: SparkSession) -> None:
     shipped(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # unless the session sets its own
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))  # the driver keeps each query's; long expressions make megabytes
 
 
 def column(name: str) -> Column:

@@ -98,13 +98,23 @@ def _sum_cells(rows: pd.DataFrame) -> pd.DataFrame:
     for body in rows["cells"]:
         planes = np.frombuffer(pa.decompress(body, len(total) * 4, "zstd", asbytes=True), np.uint8)
         total += np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "cells": [total.tobytes()]})
+    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "cells": [_packed(total)]})
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a slice byte by byte, so that they compress."""
+    return pa.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _counts(cells: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(bytes(cells), 8 << (CELLS - 4), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _order(slices: list) -> tuple[np.ndarray, np.ndarray]:
     """Level of each cell: 0 for counts that chance explains, else the logarithm of the excess; and the places that cut the global
     order into FRAGMENTS of as many occurrences."""
-    held = {int(row["slice"]): np.frombuffer(row["cells"], np.int64) for row in slices}  # slice by slice: the driver holds no second copy
+    held = {int(row["slice"]): _counts(row["cells"]) for row in slices}
     part = lambda k: slice(k << CELLS - 4, (k + 1) << CELLS - 4)
     total = sum(int(own.sum()) for own in held.values())
     mean = total / (1 << CELLS)

@@ -127,7 +127,7 @@ def test_fragments_cut_the_global_order():
     rng = np.random.default_rng(3)
     count = rng.poisson(9, 1 << op3_jaccard.CELLS)
     count[rng.integers(0, len(count), 200)] += 5000
-    slices = [{"slice": k, "cells": x.astype(np.int64).tobytes()} for k, x in enumerate(np.split(count, 16))]
+    slices = [{"slice": k, "cells": op3_jaccard._packed(x.astype(np.int64))} for k, x in enumerate(np.split(count, 16))]
     levels, pivots = op3_jaccard._order(slices)
     hashes = (np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(64 - op3_jaccard.CELLS)) + rng.integers(0, 1 << 40, count.sum(), dtype=np.uint64)
     held = np.bincount(np.searchsorted(pivots, op3_jaccard._keys(hashes, levels), "right"), minlength=op3_jaccard.FRAGMENTS)
@@ -227,9 +227,12 @@ def test_decontamination(make, spark, shard):
     assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("1", two[1][1]), ("None", two[3][1])]
 
 
-def test_retrieval_is_complete():
+@pytest.mark.parametrize("places", [op4_decontamination.PLACES, 0])
+def test_retrieval_is_complete(monkeypatch, places):
     import numpy as np
 
+    monkeypatch.setattr(op4_decontamination, "PLACES", places)
+
     items, rng, word = benchmark()
     index = op4_decontamination.build(items)
     texts = [" ".join(word() for _ in range(rng.randrange(1, 400))) + " " + items[i % 60][1] for i in range(40)]
