@@ -19,6 +19,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -30,6 +31,7 @@ SUBMIT, CONTROL, RESULT, EXPIRED = "submit", "control", "result", "expired"
 EVENT, ORDER, REFUSED = "event", "order", "refused"
 MESSAGES = "job_id string, kind string, word string, step string, try int, outputs array<string>, code string, at timestamp"
 ANSWERS = "job_id string, seq long, kind string, status string, step string, try int, code string"
+_TOLD = pa.schema([("job_id", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("status", pa.string()), ("step", pa.string()), ("try", pa.int32()), ("code", pa.string())])
 
 
 class JobRun:
@@ -178,12 +180,35 @@ class JobRuns(StatefulProcessor):
         pass
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to messages that come job by job, in order: one job is held at a time, however many messages it has."""
+    job, run = None, JobRun()
+    names = [f.name for f in _TOLD]
+    for batch in batches:
+        out: list[tuple] = []
+        for key, kind, word, step, number, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != job:
+                job, run = key, JobRun()
+            run.take(kind, word, step, number, code)
+            out += [(key, i, *a) for i, a in enumerate(run.answers, run.seq)]
+            run.seq += len(run.answers)
+            run.answers.clear()
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOLD, strict=True)], names)
+
+
 def answers(messages: DataFrame, patience: float | None = None) -> DataFrame:
-    """Events and orders of a stream, or of a whole table, of messages. ``patience`` (seconds) sets timers, which only a stream has."""
+    """Events and orders of a stream, or of a whole table, of messages. ``patience`` (seconds) sets timers, which only a stream has.
+
+    A table holds all of a job's messages, so its runs are folded from sorted rows and need no state store, whose calls cost milliseconds a job."""
     shipped(messages.sparkSession)
-    messages.sparkSession.streams.active  # noqa: B018  the state store's coordinator comes with it, for tables too
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     known = messages.filter(F.col("job_id").isNotNull())
+    if not messages.isStreaming:
+        blank = lambda name: F.coalesce(name, F.lit(""))
+        order = [F.col("at").asc_nulls_last(), blank("kind"), blank("step"), F.coalesce("try", F.lit(0)), blank("word"), blank("code")]
+        rows = known.repartition("job_id").sortWithinPartitions("job_id", *order)
+        return rows.select("job_id", "kind", "word", "step", "try", "code").mapInArrow(_told, ANSWERS)
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return known.groupBy("job_id").transformWithStateInPandas(JobRuns(patience), ANSWERS, "append", "processingTime" if patience is not None else "none")
 
 

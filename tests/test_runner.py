@@ -77,6 +77,27 @@ def test_a_table_of_messages(spark):
     assert sum(r["status"] == "cancelling" and r["kind"] == "event" for r in made) == 5
 
 
+def test_tables_are_folded_without_a_state_store(spark):
+    """What the jobs' messages give one by one, in any order of rows; no call of a state store a job, which takes milliseconds."""
+    rows = []
+    for i in range(300):
+        rows += [(f"j{i}", SUBMIT, "manga_full_v1", None, None, None, 0), (f"j{i}", RESULT, "succeeded", "prepare_manga", 1, None, 1 + i % 3)]
+        rows += [(f"j{i}", CONTROL, ("pause", "cancel", "resume")[i % 3], None, None, None, 2), (f"j{i}", RESULT, "failed", "translate_manga", 2, f"c{i % 2}", 3), (f"j{i}", None, None, None, None, None, None)]
+        rows += [(f"j{i}", RESULT, "failed", "translate_manga", 2, "c1", 3)] * (i % 2)
+    rows.append((None, SUBMIT, "manga_full_v1", None, None, None, 0))
+    frame = spark.createDataFrame(rows[::-1], "job_id string, kind string, word string, step string, try int, code string, at long").withColumn("at", F.col("at").cast("timestamp"))
+    made = runner.answers(frame)
+    assert "TransformWithState" not in made._jdf.queryExecution().toString()
+    want = []
+    for job in sorted({r[0] for r in rows if r[0]}):
+        run = JobRun()
+        for r in sorted((r for r in rows if r[0] == job), key=lambda r: (r[6] is None, r[6], r[1] or "", r[3] or "", r[4] or 0, r[2] or "", r[5] or "")):
+            run.take(*r[1:6])
+        want += [(job, i, *a) for i, a in enumerate(run.answers)]
+    assert [tuple(r) for r in made.orderBy("job_id", "seq").collect()] == want
+    assert runner.answers(frame.filter("false")).isEmpty()
+
+
 def played(*messages):
     run, out = JobRun(), []
     for m in messages:
