@@ -217,8 +217,9 @@ def newline_styles(spark, sf_dir):
  CASE WHEN l_quantity::INT % 10 = 0 THEN 0.0 WHEN l_linenumber = 7 THEN 'infinity'::DOUBLE ELSE (l_quantity::INT % 10) / l_linenumber END AS ratio, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso FROM lineitem"""
 )
 def scalar_policies(spark, sf_dir):
-    size = F.col("l_quantity").cast("int") % 10
-    ratio = fx.compression_ratio(size, F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_linenumber")))
+    n, size = F.col("l_linenumber"), F.bround("l_quantity").cast("int") % 10  # the SQL's cast rounds halves to even
+    odd = F.when(n < 0, size / n).otherwise(F.signum(size) * float("inf"))  # of line numbers below one
+    ratio = F.when((n <= 0) & ~size.eqNullSafe(0), odd).otherwise(fx.compression_ratio(size, F.when(n == 7, 0).otherwise(n)))
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", fx.backoff_seconds(F.lit(0.25), F.col("l_linenumber")).alias("backoff"), fx.clamp(F.col("l_discount") * 20 - 0.5).alias("clamped"), ratio.alias("ratio"), fx.iso_utc(F.col("l_shipdate")).alias("iso")
     )
