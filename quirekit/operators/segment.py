@@ -10,12 +10,13 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text as fx
 from ..schemas import MAX_SEGMENT, SLOT_MAX
-from ..session import shipped
+from ..session import batched
 
 _BLANK = re.compile(r"\n[ \t]*\n+")
 #: The longest start of a window that ends in a sentence end, or in anything solid, before whitespace.
@@ -67,31 +68,51 @@ def slot_cuts(body: str, limit: int = SLOT_MAX) -> list[tuple[int, int, int]]:
     return out
 
 
-def _spans_udf(cuts, width: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("after", pa.int32())][: width]))
-    names = ("start", "end", "after")[:width]
+#: Texts that are cut before their spans are handed on; what Python holds of them besides the batch doesn't grow with it.
+_AT_ONCE = 64
+
+
+def _spans_udf(cuts, width: int, kept: list[str]):
+    names = ["start", "end", "after"][:width]
 
     def run(batches):
         for batch in batches:
-            bodies = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = [None if b is None else [dict(zip(names, s, strict=True)) for s in cuts(b)] for b in bodies]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                offsets, flat = [0], []
+                for body in part.column("text"):
+                    found = cuts(body.as_py()) if body.is_valid else []
+                    flat += found
+                    offsets.append(len(flat))
+                fields = [pa.array([s[i] for s in flat], pa.int32()) for i in range(width)]
+                spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names), mask=pa.compute.is_null(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), spans], [*kept, "spans"])
 
     return run
 
 
-def with_spans(docs: DataFrame, limit: int = MAX_SEGMENT) -> DataFrame:
-    """``docs`` with ``spans``, the units of ``text`` (null for a null text)."""
-    shipped(docs.sparkSession)
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_spans_udf(lambda b: text_cuts(b, limit), 2), f"{fields}, spans array<struct<start:int,end:int>>")
+def _with_spans(docs: DataFrame, cuts, width: int, kept: list[str]) -> DataFrame:
+    batched(docs.sparkSession)
+    types = dict(docs.dtypes)
+    fields = ", ".join(f"`{n}` {types[n]}" for n in kept)
+    spans = ",".join(f"{n}:int" for n in ("start", "end", "after")[:width])
+    return docs.mapInArrow(_spans_udf(cuts, width, kept), f"{fields}, spans array<struct<{spans}>>")
+
+
+def with_spans(docs: DataFrame, limit: int = MAX_SEGMENT, kept: list[str] | None = None) -> DataFrame:
+    """``docs`` (of these columns only, if given) with ``spans``, the units of ``text`` (null for a null text)."""
+    return _with_spans(docs, lambda b: text_cuts(b, limit), 2, kept or docs.columns)
 
 
 def with_slot_spans(docs: DataFrame, limit: int = SLOT_MAX) -> DataFrame:
     """``docs`` with ``spans``, the parts of the slot ``text`` and where their joiners end."""
-    shipped(docs.sparkSession)
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_spans_udf(lambda b: slot_cuts(b, limit), 3), f"{fields}, spans array<struct<start:int,end:int,after:int>>")
+    return _with_spans(docs, lambda b: slot_cuts(b, limit), 3, docs.columns)
+
+
+def unit_places(docs: DataFrame, key: str, limit: int = MAX_SEGMENT) -> DataFrame:
+    """(key, order, start, end) of the units of the texts (``key``, text); no text comes back from Python."""
+    spanned = with_spans(docs.select(key, "text").filter(F.col("text").isNotNull()), limit, [key])
+    return spanned.select(key, F.posexplode("spans").alias("order", "span")).select(key, "order", "span.start", "span.end")
 
 
 def segment_texts(docs: DataFrame, key: str, options: dict | None = None, limit: int = MAX_SEGMENT) -> DataFrame:

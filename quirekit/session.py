@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Whether the shuffle files of a query go at its end.
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts an Arrow batch holds.
+TEXT_ROWS = 500
 _ROOT = Path(__file__).resolve().parent
 #: Folders of the tables that this thread's run has written so far, in order.
 _PATHS: ContextVar[tuple[str, ...]] = ContextVar("quirekit-written", default=())
@@ -31,6 +33,13 @@ def shipped(spark: SparkSession) -> None:
     context._quirekit_shipped = True
 
 
+def batched(spark: SparkSession) -> None:
+    """Ships the code and keeps Arrow batches of whole texts small, unless the session sets its own: a batch's bytes are held by each Python worker."""
+    shipped(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only a local master gets a temporary one where it is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
