@@ -308,5 +308,5 @@ QUERIES["segment_slots"] = segment_slots
 )
 def manifest_diff(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    one, two = (segment.segment_texts(docs, "doc_id", limit=n).select("doc_id", "order", "start", "end") for n in (1800, 900))
+    one, two = (segment.unit_places(docs, "doc_id", n) for n in (1800, 900))
     return checks.manifest_difference(one, two, ["doc_id", "order"], ["start", "end"])

@@ -110,3 +110,25 @@ def test_scalars(spark):
     assert value(fx.artifact_stem(F.lit("x/ My book!.v1.txt"))) == "My-book-.v1"
     assert [value(fx.language_tag_ok(F.lit(t))) for t in ("English", "e", "en_US", "en-", "en--US", "en-u", "zh-Hans", "en-a-bbb-a-ccc")] == [False] * 6 + [True, False]
     assert value(fx.prompt("{source_language}>{target_language}|{style}|{text}", F.lit("a"), F.lit("b"), F.lit(""), F.lit("{text}"))) == "a>b||{text}"
+
+
+def test_texts_are_cut_a_few_at_a_time(spark):
+    """What a Python worker holds is bounded by rows of a batch and by what is cut at once, however large a partition is."""
+    import pyarrow as pa
+
+    bodies = [None if i % 7 == 0 else "One. Two.\n\nThree. " * (i % 5) for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": pa.array(bodies, pa.string())})
+    out = list(segment._spans_udf(lambda b: segment.text_cuts(b, 9), 2, ["doc_id"])([batch]))
+    assert max(b.num_rows for b in out) <= 64 and out[0].schema.names == ["doc_id", "spans"]
+    got = [None if s is None else [(x["start"], x["end"]) for x in s] for b in out for s in b.column("spans").to_pylist()]
+    assert got == [None if b is None else segment.text_cuts(b, 9) for b in bodies]
+    segment.with_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_places_of_units_are_those_of_the_segments(spark):
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else "One. Two three.\n\n Four. " * i) for i in range(20)], "doc_id long, text string")
+    places = segment.unit_places(docs, "doc_id", 10)
+    want = segment.segment_texts(docs, "doc_id", limit=10).select("doc_id", "order", "start", "end")
+    assert places.columns == want.columns and sorted(places.collect()) == sorted(want.collect())
+    assert "text" not in places._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n")[0].split("[")[-1]
