@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -40,13 +40,23 @@ def addressed(units: DataFrame, entries: DataFrame) -> DataFrame:
     addresses that an entry has decides, even where its value is null. Entries without a kind are texts; of equal ones the largest value counts."""
     if "kind" not in entries.columns:
         entries = entries.withColumn("kind", F.lit(TEXT))
-    number = F.col("sequence").cast("string")
-    ways = [(NUMBER, number), (TEXT, number), (TEXT, F.col("locator_key"))] + ([(TUPLE, F.col("locator_tuple"))] if "locator_tuple" in units.columns else [])
-    tried = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), address.alias("address")) for i, (kind, address) in enumerate(ways)])
-    wanted = units.select("doc", "sequence", F.explode(tried).alias("way")).select("doc", "sequence", "way.*")
-    one = entries.groupBy("doc", "kind", "address").agg(F.max("value").alias("value"))
-    best = wanted.join(one, ["doc", "kind", "address"]).groupBy("doc", "sequence").agg(F.min_by(F.struct("value"), "rank").alias("hit"))
-    return units.join(best, ["doc", "sequence"], "left").withColumn("value", F.col("hit.value")).drop("hit")
+    # Units and entries are dealt out once, by document; the ways are spread, matched and ranked where the document's rows are, in sorted windows.
+    told = entries.filter("doc is not null and kind is not null and address is not null").select("doc", F.lit(None).cast(units.select(F.struct("*")).schema[0].dataType).alias("unit"), "kind", "address", "value")
+    asked = units.select("doc", F.struct("*").alias("unit"))
+    dealt = asked.unionByName(told, allowMissingColumns=True).repartition("doc")
+    of = lambda name: F.col(f"unit.{name}")
+    number, is_unit = of("sequence").cast("string"), F.col("unit").isNotNull()
+    ways = [(NUMBER, number), (TEXT, number), (TEXT, of("locator_key"))] + ([(TUPLE, of("locator_tuple"))] if "locator_tuple" in units.columns else [])
+    way = lambda rank, kind, address: F.struct(F.lit(rank).alias("rank"), kind.alias("kind"), address.alias("address"))
+    tried = F.when(is_unit, F.array(*[way(i, F.lit(kind), address) for i, (kind, address) in enumerate(ways)])).otherwise(F.array(way(-1, F.col("kind"), F.col("address"))))
+    spread = dealt.select("doc", of("sequence").alias("sequence"), "unit", "value", F.explode(tried).alias("way"))
+    spread = spread.select("doc", "sequence", F.when(F.col("way.rank") == 0, F.col("unit")).alias("unit"), "value", "way.*")  # a unit's columns travel once
+    held = F.max(F.when(F.col("rank") < 0, F.struct("value"))).over(Window.partitionBy("doc", "kind", "address"))
+    found = spread.withColumn("hit", held).filter("rank >= 0").select("doc", "sequence", "unit", "rank", "hit")
+    best = F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("rank"))).over(Window.partitionBy("doc", "sequence"))
+    ranked = found.withColumn("best", best).filter("rank = 0")
+    others = [of(c).alias(c) for c in units.columns if c not in ("doc", "sequence", "value")]
+    return ranked.select("doc", "sequence", *others, F.when(F.col("sequence").isNotNull(), F.col("best.value")).alias("value"))
 
 
 def addressed_list(units: DataFrame, records: DataFrame) -> DataFrame:

@@ -105,11 +105,14 @@ def address_kinds(spark, sf_dir):
     """Lineitems as units of their order; entries of all kinds of addresses, some with a null value that decides all the same."""
     rows = _lines(spark, sf_dir)
     number, text = F.col("sequence").cast("string"), lambda letter, name: F.concat(F.lit(letter), F.col(name))
-    entry = lambda kept, kind, address, value: rows.filter(kept).select("doc", F.lit(kind).alias("kind"), address.alias("address"), value.alias("value"))
-    entries = entry("l_returnflag = 'A'", addressing.NUMBER, number, F.when(F.col("l_quantity") >= 10, text("n", "l_partkey")))
-    entries = entries.unionByName(entry("l_returnflag = 'R'", addressing.TEXT, number, F.when(F.col("l_quantity") >= 20, text("s", "l_partkey"))))
-    entries = entries.unionByName(entry("l_quantity > 25", addressing.TEXT, F.col("locator_key"), text("k", "l_linenumber")))
-    entries = entries.unionByName(entry("l_quantity > 5", addressing.TUPLE, F.col("locator_tuple"), text("t", "l_linenumber")))
+    entry = lambda kept, kind, address, value: F.when(F.expr(kept), F.struct(F.lit(kind).alias("kind"), address.alias("address"), value.alias("value")))
+    told = [
+        entry("l_returnflag = 'A'", addressing.NUMBER, number, F.when(F.col("l_quantity") >= 10, text("n", "l_partkey"))),
+        entry("l_returnflag = 'R'", addressing.TEXT, number, F.when(F.col("l_quantity") >= 20, text("s", "l_partkey"))),
+        entry("l_quantity > 25", addressing.TEXT, F.col("locator_key"), text("k", "l_linenumber")),
+        entry("l_quantity > 5", addressing.TUPLE, F.col("locator_tuple"), text("t", "l_linenumber")),
+    ]
+    entries = rows.select("doc", F.explode(F.array_compact(F.array(*told))).alias("entry")).select("doc", "entry.*")  # all kinds from one reading
     return addressing.addressed(rows.select("doc", "sequence", "locator_key", "locator_tuple"), entries).select("doc", "sequence", "value")
 
 

@@ -111,3 +111,19 @@ def test_events_of_all_kinds(spark, tmp_path):
     query = attempts.event_stream(spark, log).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("told").count() == n == spark.table("told").select("event_id").distinct().count()
+
+
+def test_addresses_are_dealt_out_once(spark):
+    """Nulls, repeated units and further columns, with one exchange of units and entries, by document."""
+    from quirekit.operators import addressing
+
+    units = [(1, 0, "k0", "t0", "a"), (1, 0, "k0", "t0", "a"), (1, 1, "k1", None, None), (1, None, "k0", "t0", "c"), (None, 0, "k0", "t0", "d"), (2, 0, None, "t0", "e"), (2, 1, "k1", "t1", "f")]
+    entries = [(1, "number", "0", None), (1, "text", "0", "no"), (1, "text", "k0", "no"), (1, "text", "k1", "x"), (1, "text", "k1", "y"), (None, "text", "k0", "no"), (2, "tuple", "t0", "z"), (2, None, "1", "no"), (2, "text", None, "no"), (2, "tuple", "0", "no")]
+    made = addressing.addressed(
+        spark.createDataFrame(units, "doc long, sequence int, locator_key string, locator_tuple string, more string"), spark.createDataFrame(entries, "doc long, kind string, address string, value string")
+    )
+    assert made.columns == ["doc", "sequence", "locator_key", "locator_tuple", "more", "value"]
+    want = [(*u, v) for u, v in zip(units, [None, None, "y", None, None, "z", None], strict=True)]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+    final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # the adaptive plan shows both
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
