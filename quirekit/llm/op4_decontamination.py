@@ -242,7 +242,7 @@ def _scored(index: Index, term: np.ndarray, starts: np.ndarray, threshold: float
     posting = _spread(index.postings[spot], n)
     place = np.repeat(of, n) * index.block + index.segment[posting] % index.block
     score = np.bincount(place, index.impact[posting], len(pair) * index.block)
-    place = np.flatnonzero(score >= threshold)
+    place = np.flatnonzero((score >= threshold) & (score > 0))  # at a threshold of nothing the last block's unused places would count
     return passage[place // index.block], pair[place // index.block] % index.blocks * index.block + place % index.block, score[place]
 
 
